@@ -127,3 +127,32 @@ def map_arrow(df: DataFrame, f: Callable, schema: str) -> DataFrame:
 def fresh(df: DataFrame, *names: str) -> DataFrame:
     """The named columns only; a table's further columns can't clash with ours."""
     return df.select(*names)
+
+
+def string_hashes(values: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each string (none null), for all of them at once.
+
+    Bytes become pseudo-random words, weighted by powers of an odd constant;
+    differences of prefix sums, brought back to power zero, are the strings'
+    values.  Stable over processes and machines.
+    """
+    values = values.cast(pa.large_binary())
+    if isinstance(values, pa.ChunkedArray):
+        values = values.combine_chunks()
+    n = len(values)
+    if n == 0:
+        return np.zeros(0, np.uint64)
+    offsets = np.frombuffer(values.buffers()[1], np.int64, count=n + 1, offset=8 * values.offset)
+    data = values.buffers()[2]
+    raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint8)
+    offsets = offsets - offsets[0]
+    symbol = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    base, inverse = 0x5851F42D4C957F2D, pow(0x5851F42D4C957F2D, -1, 1 << 64)
+    power = np.full(len(raw) + 1, base, np.uint64)
+    back = np.full(len(raw) + 1, inverse, np.uint64)
+    power[0] = back[0] = 1
+    np.multiply.accumulate(power, out=power)
+    np.multiply.accumulate(back, out=back)
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(symbol[raw] * power[:-1], out=sums[1:])
+    return mix((sums[offsets[1:]] - sums[offsets[:-1]]) * back[offsets[:-1]] + np.diff(offsets).astype(np.uint64))
