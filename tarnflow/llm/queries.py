@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .attribution import token_counts
+from .classlm import score_documents
 from .common import read_table
 from .mixing import mix
 from .packing import pack_documents
@@ -33,6 +34,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op8_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(read_table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -46,6 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mixing": op3_mixing,
     "op5_packing": op5_packing,
     "op7_simhash": op7_simhash,
+    "op8_class_lm": op8_class_lm,
     "op9_toxicity": op9_toxicity,
     "op10_token_counts": op10_token_counts,
 }
