@@ -12,6 +12,7 @@ from .classlm import score_documents
 from .common import read_table
 from .mixing import mix
 from .packing import pack_documents
+from .pii import personal_data
 from .simhash import near_duplicates
 from .substring import remove_repeats
 from .toxicity import toxicity
@@ -30,6 +31,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(read_table(spark, sf_dir, "documents"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
@@ -50,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op3_mixing": op3_mixing,
     "op5_packing": op5_packing,
+    "op6_personal_data": op6_personal_data,
     "op7_simhash": op7_simhash,
     "op8_class_lm": op8_class_lm,
     "op9_toxicity": op9_toxicity,
