@@ -24,6 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import cut, map_arrow, mix, partitions
 from .components import connected_components
@@ -197,6 +198,13 @@ def links(nodes: DataFrame, radius: int = 2) -> DataFrame:
     return spread.mapInArrow(run, "a long, b long")
 
 
+def groups(rows: DataFrame, radius: int = 2) -> DataFrame:
+    """rows (doc_id, fp) -> (fp, root, least): each fingerprint's component and its smallest id."""
+    nodes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    roots = connected_components(links(nodes.select("fp"), radius))
+    return nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
+
+
 def near_duplicates(docs: DataFrame, radius: int = 2) -> DataFrame:
     """Per row of docs: doc_id, fingerprint (16 hex digits), component_id.
 
@@ -206,9 +214,22 @@ def near_duplicates(docs: DataFrame, radius: int = 2) -> DataFrame:
     all its rows have null ids (then null).  Repeated rows stay rows.
     """
     rows = cut(fingerprints(docs))
-    nodes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = connected_components(links(nodes.select("fp"), radius))
-    named = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    named = groups(rows, radius)
     smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
     component = named.join(smallest, "root").select("fp", "component_id")
     return rows.join(component, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, radius: int = 2) -> DataFrame:
+    """One row of each component, with all its columns: that of the smallest id (null ids last)."""
+    rows = cut(fingerprints(docs))
+    first = F.min(F.struct(F.col("least").isNull(), "least", "fp")).alias("first")
+    chosen = groups(rows, radius).groupBy("root").agg(first).select(F.col("first.least").alias("_id"), F.col("first.fp").alias("_of"))
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        fp = text_fingerprints(batch.column("text").to_pylist())
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(fp.view(np.int64))], names=[*batch.schema.names, "_fp"])
+
+    marked = map_arrow(docs, run, T.StructType([*docs.schema.fields, T.StructField("_fp", T.LongType())]))
+    both = marked.join(chosen, (F.col("_fp") == F.col("_of")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id")))
+    return both.dropDuplicates(["_of"]).select(*docs.columns)

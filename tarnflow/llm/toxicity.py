@@ -155,7 +155,7 @@ def score_toxicity(docs: DataFrame, model: MilModel, keep: tuple[str, ...] = ("d
     """`keep`, score (0..1), n_sentences, worst_sentence (index from 0; null: no sentence), worst_score."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # at most the vocabulary's size
-    columns = docs.select(*keep, "text")
+    columns = docs.select(*dict.fromkeys([*keep, "text"]))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in columns.schema if f.name in keep)
 
     def score(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -204,6 +204,13 @@ def training_sample(docs: DataFrame, labels: DataFrame, folds: int = 5, sample_d
     return [r["text"] for r in rows], toxic, weights / max(weights.mean(), 1e-9) if len(rows) else weights
 
 
+def drop_toxic(docs: DataFrame, labels: DataFrame, folds: int = 5, threshold: float = 0.5, **sample) -> DataFrame:
+    """The rows of docs, with their columns, that score below the threshold."""
+    texts, toxic, weights = training_sample(docs, labels, folds, **sample)
+    scored = score_toxicity(docs, fit(texts, toxic, weights), tuple(docs.columns))
+    return scored.where(F.col("score") < threshold).select(*docs.columns)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, **sample) -> DataFrame:
     """Every row of docs with doc_id, held_out, score, predicted and where the worst sentence is.
 
