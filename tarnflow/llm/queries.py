@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ann import nearest
 from .attribution import token_counts
 from .classlm import score_documents
 from .common import read_table
+from .mips import top_inner_products
 from .mixing import mix
 from .packing import pack_documents
 from .pii import personal_data
@@ -23,10 +25,18 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
 
 
+def op2_top_inner_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_inner_products(read_table(spark, sf_dir, "embeddings"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read_table(spark, sf_dir, "documents"))
 
 
+def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(read_table(spark, sf_dir, "embeddings"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read_table(spark, sf_dir, "documents"))
 
@@ -53,7 +63,9 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_top_inner_products": op2_top_inner_products,
     "op3_mixing": op3_mixing,
+    "op4_nearest": op4_nearest,
     "op5_packing": op5_packing,
     "op6_personal_data": op6_personal_data,
     "op7_simhash": op7_simhash,
