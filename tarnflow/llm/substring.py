@@ -138,30 +138,62 @@ def _first(table: pa.Table, name: str) -> int:
     return table.column(name)[0].as_py()
 
 
-def confirm(texts: list[bytes], first_doc: np.ndarray, last_doc: np.ndarray, window: int) -> tuple[list[tuple], ahocorasick.Automaton | None]:
-    """Word numbers of each text, and the automaton of the windows that two documents have; its values are first documents."""
-    number: dict[bytes, int] = {}
-    numbered = [tuple([number.setdefault(w, len(number)) for w in x.split()]) for x in texts]
-    low: dict[tuple, int] = {}
-    high: dict[tuple, int] = {}
-    for words, a, b in zip(numbered, first_doc.tolist(), last_doc.tolist()):
-        for i in range(len(words) - window + 1):
-            key = words[i : i + window]
-            if key not in low:
-                low[key], high[key] = a, b
-            else:
-                if a < low[key]:
-                    low[key] = a
-                if b > high[key]:
-                    high[key] = b
+def locate_segments(texts: list[bytes], text: np.ndarray, doc: np.ndarray, window: int) -> np.ndarray:
+    """Per segment (its text's index, its document) the bits of its windows that a smaller document has.
+
+    Windows are grouped by a hash of their words; a group's members are compared
+    word by word with its first, so the groups are exact.  The automaton holds
+    the passages, maximal runs of windows that two documents have or more, with
+    each window's smallest id; every text that has such a window streams through.
+    """
+    mark = np.zeros(len(text), "<u2")
+    low, high = np.full(len(texts), _LAST), np.full(len(texts), np.iinfo(np.int64).min)
+    np.minimum.at(low, text, doc)
+    np.maximum.at(high, text, doc)
+    flat, offsets = split_words(pa.array(texts, pa.large_binary()).cast(pa.large_string()))
+    codes, distinct = encode(flat)
+    counts = np.maximum(np.diff(offsets) - window + 1, 0)
+    of = np.repeat(np.arange(len(texts)), counts)
+    at = offsets[:-1][of] + np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
+    if not len(at):
+        return mark
+    groups, first, group = np.unique(_rolling(mix(codes.astype(np.uint64) + np.uint64(1)), window)[at], return_index=True, return_inverse=True)
+    alike = np.ones(len(at), bool)
+    for k in range(window):
+        alike &= codes[at + k] == codes[at[first][group] + k]
+    if not alike.all():  # two window texts with one hash: number all windows by their words
+        rows = np.lib.stride_tricks.sliding_window_view(codes, window)[at]
+        groups, first, group = np.unique(rows, axis=0, return_index=True, return_inverse=True)
+        group = group.ravel()
+    least, most = np.full(len(groups), _LAST), np.full(len(groups), np.iinfo(np.int64).min)
+    np.minimum.at(least, group, low[of])
+    np.maximum.at(most, group, high[of])
+    shared = (least < most)[group]
+    if not shared.any():
+        return mark
+    # Passages: a text's maximal runs of shared windows, each once, with the windows' first documents.
+    begins = shared.copy()
+    begins[1:] &= ~shared[:-1] | (of[1:] != of[:-1])
+    ends = shared.copy()
+    ends[:-1] &= ~shared[1:] | (of[1:] != of[:-1])
+    owner = least[group]
+    words = tuple(codes.tolist())
     automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-    for key, a in low.items():
-        if a < high[key]:
-            automaton.add_word(key, a)
-    if not len(automaton):
-        return numbered, None
+    for a, b in zip(np.flatnonzero(begins).tolist(), np.flatnonzero(ends).tolist()):
+        run = words[at[a] : at[b] + window]
+        if run not in automaton:
+            automaton.add_word(run, owner[a : b + 1])
     automaton.make_automaton()
-    return numbered, automaton
+    order = np.argsort(text, kind="stable")
+    begin = np.searchsorted(text[order], np.arange(len(texts) + 1)).tolist()
+    bounds = offsets.tolist()
+    bits = 1 << np.arange(16)
+    for t in np.unique(of[shared]).tolist():
+        own = order[begin[t] : begin[t + 1]]
+        for end, owners in automaton.iter(words[bounds[t] : bounds[t + 1]]):
+            here = bits[end + 2 - window - len(owners) :][: len(owners)]
+            mark[own] |= ((owners[None, :] < doc[own][:, None]) * here[None, :]).sum(axis=1).astype("<u2")
+    return mark
 
 
 def remove_repeats(docs: DataFrame, window: int = 13, seed: int = 5, hot: int = 4096) -> DataFrame:
@@ -261,26 +293,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, seed: int = 5, hot: int =
         text = np.concatenate(place)
         segment, row = _joined(table.column("segment"), "<u4")
         doc, _ = _joined(table.column("doc"), np.int64)
-        low, high = np.full(len(texts), _LAST), np.full(len(texts), np.iinfo(np.int64).min)
-        np.minimum.at(low, text, doc)
-        np.maximum.at(high, text, doc)
-        numbered, automaton = confirm(list(texts), low, high, window)
-        mark = np.zeros(len(text), "<u2")
-        if automaton is not None:
-            order = np.argsort(text, kind="stable")
-            begin = np.searchsorted(text[order], np.arange(len(texts) + 1))
-            for t, words in enumerate(numbered):
-                own = order[begin[t] : begin[t + 1]]
-                own_doc = doc[own]
-                if len(own) == 1:
-                    d, bits = int(own_doc[0]), 0
-                    for end, owner in automaton.iter(words):
-                        if owner < d:
-                            bits |= 1 << (end - window + 1)
-                    mark[own[0]] = bits
-                    continue
-                for end, owner in automaton.iter(words):
-                    mark[own[own_doc > owner]] |= np.uint16(1 << (end - window + 1))
+        mark = locate_segments(list(texts), text, doc, window)
         block = table.column("block").to_numpy()[row]
         order = np.argsort(block, kind="stable")
         rows = _rows(block[order], 0, {"segment": segment[order], "mark": mark[order]})
