@@ -36,11 +36,15 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _query(sql: str | None = None, name: str | None = None):
+def _query(sql: str | None = None, name: str | None = None, dates: tuple[str, ...] = ()):
+    """Register a query; its date columns come out as ISO text on both sides, which compares the same everywhere."""
+
     def register(f: Query) -> Query:
-        QUERIES[name or f.__name__] = f
+        key = name or f.__name__
+        QUERIES[key] = (lambda spark, sf_dir: f(spark, sf_dir).withColumns({d: F.col(d).cast("string") for d in dates})) if dates else f
         if sql is not None:
-            ORACLE_SQL[name or f.__name__] = sql
+            replaced = ", ".join(f"CAST({d} AS VARCHAR) AS {d}" for d in dates)
+            ORACLE_SQL[key] = f"SELECT * REPLACE ({replaced}) FROM ({sql}) q" if dates else sql
         return f
 
     return register
@@ -120,7 +124,7 @@ def _rolled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rolling.rolling_means(_joined(spark, sf_dir), "qtot", {"6m": 6, "12m": 12})
 
 
-@_query(f"WITH {_PANEL} SELECT BASIN_ID, NAME, REGION, hydro_model, climate_model, ssp_scenario, year, month, round(qtot_mean, 6) AS qtot_mean, round(qtot_std, 6) AS qtot_std, qtot_min, qtot_max, date FROM monthly")
+@_query(f"WITH {_PANEL} SELECT BASIN_ID, NAME, REGION, hydro_model, climate_model, ssp_scenario, year, month, round(qtot_mean, 6) AS qtot_mean, round(qtot_std, 6) AS qtot_std, qtot_min, qtot_max, date FROM monthly", dates=("date",))
 def monthly_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(_monthly(spark, sf_dir), "qtot_mean", "qtot_std")
 
@@ -142,7 +146,7 @@ def wide_basin_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _wide(spark, sf_dir)
 
 
-@_query(f"WITH {_PANEL} SELECT BASIN_ID, NAME, REGION, make_date(year, month, 15) AS date, max(qtot) AS qtot, year, month FROM panel WHERE year = 1997 GROUP BY BASIN_ID, NAME, REGION, year, month")
+@_query(f"WITH {_PANEL} SELECT BASIN_ID, NAME, REGION, make_date(year, month, 15) AS date, max(qtot) AS qtot, year, month FROM panel WHERE year = 1997 GROUP BY BASIN_ID, NAME, REGION, year, month", dates=("date",))
 def unpivot_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pn.to_long(_wide(spark, sf_dir), "qtot", _WIDE_KEYS)
 
@@ -169,19 +173,19 @@ def annual_wide_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pn.to_years(annual, basins, _YEARS, {"Model": "CWatM", "Scenario": "historical", "Variable": "qtot", "Region": "R12", "Unit": "km3/year"})
 
 
-@_query(f"WITH {_JOINED} SELECT BASIN_ID, NAME, REGION, hydro_model, climate_model, ssp_scenario, year, month, round(qtot, 6) AS qtot, date, data_period FROM joined")
+@_query(f"WITH {_JOINED} SELECT BASIN_ID, NAME, REGION, hydro_model, climate_model, ssp_scenario, year, month, round(qtot, 6) AS qtot, date, data_period FROM joined", dates=("date",))
 def union_hist_future(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(_joined(spark, sf_dir), "qtot")
 
 
-@_query(f"WITH {_ROLLED} SELECT BASIN_ID, hydro_model, climate_model, ssp_scenario, date, data_period, round(qtot_6m, 6) AS qtot_6m, round(qtot_12m, 6) AS qtot_12m FROM rolled")
+@_query(f"WITH {_ROLLED} SELECT BASIN_ID, hydro_model, climate_model, ssp_scenario, date, data_period, round(qtot_6m, 6) AS qtot_6m, round(qtot_12m, 6) AS qtot_12m FROM rolled", dates=("date",))
 def rolling_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(_rolled(spark, sf_dir).select("BASIN_ID", "hydro_model", "climate_model", "ssp_scenario", "date", "data_period", "qtot_6m", "qtot_12m"), "qtot_6m", "qtot_12m")
 
 
 @_query("""WITH d AS (SELECT user_id, CAST(ts AS DATE) AS date, round(sum(value), 6) AS value FROM events GROUP BY user_id, CAST(ts AS DATE))
 SELECT user_id, date, round(CASE WHEN count(value) OVER w = 7 THEN avg(value) OVER w END, 5) AS value_7d FROM d
-WINDOW w AS (PARTITION BY user_id ORDER BY date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)""")
+WINDOW w AS (PARTITION BY user_id ORDER BY date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)""", dates=("date",))
 def rolling_mean_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = _table(spark, sf_dir, "events").groupBy("user_id", F.to_date("ts").alias("date")).agg(F.round(F.sum("value"), 6).alias("value"))
     out = rolling.rolling_means(events, "value", {"7d": 7}, ("user_id",), method="prefix")
@@ -189,13 +193,13 @@ def rolling_mean_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(f"""WITH {_JOINED} SELECT BASIN_ID, hydro_model, climate_model, ssp_scenario, date, year BETWEEN 1995 AND 1996 AS period_1995_1996, year BETWEEN 1997 AND 1998 AS period_1997_1998,
-year BETWEEN 1999 AND 2001 AS period_1999_2001, CAST(floor(year / 10.0) * 10 AS INTEGER) AS decade FROM joined""")
+year BETWEEN 1999 AND 2001 AS period_1999_2001, CAST(floor(year / 10.0) * 10 AS INTEGER) AS decade FROM joined""", dates=("date",))
 def period_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     flagged = rolling.with_periods(_joined(spark, sf_dir), ((1995, 1996), (1997, 1998), (1999, 2001)))
     return flagged.select("BASIN_ID", "hydro_model", "climate_model", "ssp_scenario", "date", "period_1995_1996", "period_1997_1998", "period_1999_2001", "decade")
 
 
-@_query(f"WITH {_ROLLED} SELECT BASIN_ID, hydro_model, climate_model, ssp_scenario, date, round(qtot_12m, 6) AS qtot_12m FROM rolled WHERE year >= {_SEAM} AND ssp_scenario IN ('F')")
+@_query(f"WITH {_ROLLED} SELECT BASIN_ID, hydro_model, climate_model, ssp_scenario, date, round(qtot_12m, 6) AS qtot_12m FROM rolled WHERE year >= {_SEAM} AND ssp_scenario IN ('F')", dates=("date",))
 def future_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = rolling.future_only(_rolled(spark, sf_dir), _SEAM, ("F",))
     return _round(kept.select("BASIN_ID", "hydro_model", "climate_model", "ssp_scenario", "date", "qtot_12m"), "qtot_12m")
@@ -209,19 +213,19 @@ def rolling_availability(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Ensemble ---------------------------------------------------------------------------------------
 
-_TARGETS = ("united", "IN", "^c.*a$", "nowhere")
+_TARGETS = ("nation_1", "N_2$", "^n.*7$", "nowhere")
 
 
-@_query(f"WITH {_PANEL}, t AS (SELECT unnest(['united', 'IN', '^c.*a$', 'nowhere']) AS target), m AS (SELECT DISTINCT target, BASIN_ID, NAME FROM panel JOIN t ON regexp_matches(NAME, target, 'i')) "
+@_query(f"WITH {_PANEL}, t AS (SELECT unnest(['nation_1', 'N_2$', '^n.*7$', 'nowhere']) AS target), m AS (SELECT DISTINCT target, BASIN_ID, NAME FROM panel JOIN t ON regexp_matches(NAME, target, 'i')) "
         "SELECT target, BASIN_ID, NAME FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY BASIN_ID) AS k FROM m) WHERE k = 1")
 def basin_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ensemble.match_basins(daily_panel(spark, sf_dir), _TARGETS)
 
 
-@_query(f"WITH {_PANEL} SELECT BASIN_ID, date, count(*) AS n FROM panel WHERE BASIN_ID IN (SELECT min(BASIN_ID) FROM panel WHERE regexp_matches(NAME, 'IN', 'i')) AND hydro_model NOT IN ('N') AND year BETWEEN 1996 AND 1999 GROUP BY BASIN_ID, date")
+@_query(f"WITH {_PANEL} SELECT BASIN_ID, date, count(*) AS n FROM panel WHERE BASIN_ID IN (SELECT min(BASIN_ID) FROM panel WHERE regexp_matches(NAME, 'ation_3', 'i')) AND hydro_model NOT IN ('N') AND year BETWEEN 1996 AND 1999 GROUP BY BASIN_ID, date", dates=("date",))
 def basin_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     panel = ensemble.without_hydro_models(daily_panel(spark, sf_dir), ("N",))
-    kept = ensemble.only_basins(panel, ensemble.match_basins(daily_panel(spark, sf_dir), ("IN",)))
+    kept = ensemble.only_basins(panel, ensemble.match_basins(daily_panel(spark, sf_dir), ("ation_3",)))
     return ensemble.years(kept, 1996, 1999).groupBy("BASIN_ID", "date").agg(F.count("*").alias("n"))
 
 
@@ -243,7 +247,7 @@ def regional_annual_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ensemble.regional_annual(daily_panel(spark, sf_dir), "qtot")
 
 
-@_query(f"WITH {_PANEL} SELECT REGION, climate_model, ssp_scenario, hydro_model, year, month, coalesce(sum(qtot), 0) AS qtot, min(date) AS date, REGION AS BASIN_ID, REGION AS NAME FROM panel GROUP BY REGION, climate_model, ssp_scenario, hydro_model, year, month")
+@_query(f"WITH {_PANEL} SELECT REGION, climate_model, ssp_scenario, hydro_model, year, month, coalesce(sum(qtot), 0) AS qtot, min(date) AS date, REGION AS BASIN_ID, REGION AS NAME FROM panel GROUP BY REGION, climate_model, ssp_scenario, hydro_model, year, month", dates=("date",))
 def regional_monthly_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ensemble.regional_monthly(daily_panel(spark, sf_dir), "qtot")
 
@@ -270,7 +274,7 @@ def climatology_by_ssp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(ensemble.climatology(daily_panel(spark, sf_dir), "qtot", "ssp_scenario"), "qtot_mean", "qtot_std", "band_low", "band_high")
 
 
-@_query(f"WITH {_PANEL} SELECT BASIN_ID, NAME, REGION, ssp_scenario, climate_model, hydro_model, date, year, month, {_MONTHS} AS month_name, round(qtot_mean, 6) AS qtot_mean FROM monthly")
+@_query(f"WITH {_PANEL} SELECT BASIN_ID, NAME, REGION, ssp_scenario, climate_model, hydro_model, date, year, month, {_MONTHS} AS month_name, round(qtot_mean, 6) AS qtot_mean FROM monthly", dates=("date",))
 def monthly_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(ensemble.monthly_rows(_monthly(spark, sf_dir), "qtot_mean"), "qtot_mean")
 
@@ -421,7 +425,7 @@ def cell_basin_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid(spark, sf_dir).join(_map(spark), ["lat_idx", "lon_idx"]).groupBy("BASIN_ID", "lat_idx", "lon_idx").agg(F.count("time_idx").alias("steps"))
 
 
-@_query(f"WITH {_GRID}, l AS (SELECT max(BASIN_ID) AS BASIN_ID, lat_idx, lon_idx FROM mapped GROUP BY lat_idx, lon_idx) SELECT BASIN_ID, date, round(sum(value), 6) AS value FROM grid JOIN l USING (lat_idx, lon_idx) GROUP BY BASIN_ID, date")
+@_query(f"WITH {_GRID}, l AS (SELECT max(BASIN_ID) AS BASIN_ID, lat_idx, lon_idx FROM mapped GROUP BY lat_idx, lon_idx) SELECT BASIN_ID, date, round(sum(value), 6) AS value FROM grid JOIN l USING (lat_idx, lon_idx) GROUP BY BASIN_ID, date", dates=("date",))
 def mask_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(zonal.zonal(grid(spark, sf_dir), _map(spark, overlap="last"), "sum"), "value")
 
@@ -431,7 +435,7 @@ def _zonal(method: str) -> Query:
 
 
 for _name, _f in (("sum", "sum"), ("mean", "avg"), ("max", "max")):
-    _query(f"WITH {_GRID}, z AS (SELECT BASIN_ID, date, round({_f}(value), 6) AS value FROM grid JOIN mapped USING (lat_idx, lon_idx) GROUP BY BASIN_ID, date) SELECT CAST(b AS BIGINT) AS BASIN_ID, date, value FROM (VALUES (1), (2), (3), (4)) t(b) LEFT JOIN z ON z.BASIN_ID = b", f"zonal_{_name}")(_zonal(_name))
+    _query(f"WITH {_GRID}, z AS (SELECT BASIN_ID, date, round({_f}(value), 6) AS value FROM grid JOIN mapped USING (lat_idx, lon_idx) GROUP BY BASIN_ID, date) SELECT CAST(b AS BIGINT) AS BASIN_ID, date, value FROM (VALUES (1), (2), (3), (4)) t(b) LEFT JOIN z ON z.BASIN_ID = b", f"zonal_{_name}", ("date",))(_zonal(_name))
 
 
 _YEARLY = {
@@ -451,7 +455,7 @@ SELECT CAST(b AS BIGINT) AS BASIN_ID, n.year, round(coalesce(value, 0), 6) AS va
 
 
 @_query(f"""WITH {_GRID} SELECT BASIN_ID, date, round(sum(value * ((lat_idx * 8 + lon_idx + 1) * 1e6 * (365.25 * 86400 * 1e-12))), 9) AS qtot_km3, round(max(value * (365.25 * 86400 * 1e-9)), 9) AS dis_km3
-FROM grid JOIN mapped USING (lat_idx, lon_idx) GROUP BY BASIN_ID, date""")
+FROM grid JOIN mapped USING (lat_idx, lon_idx) GROUP BY BASIN_ID, date""", dates=("date",))
 def unit_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = grid(spark, sf_dir).join(with_weights(_map(spark), None), ["lat_idx", "lon_idx"]).join(_area(spark), ["lat_idx", "lon_idx"])
     v = F.col("value")
@@ -460,7 +464,7 @@ def unit_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("""WITH t AS (SELECT o_orderkey, (o_orderkey % 2000) + 0.5 AS t, CASE CAST(o_orderkey % 5 AS INTEGER) WHEN 0 THEN 'days since 1661-1-1' WHEN 1 THEN 'hours since 1901-01-01 00:00:00' WHEN 2 THEN 'months since 1850-1-31' WHEN 3 THEN 'years since 1604-2-29' ELSE 'steps' END AS units FROM orders),
 n AS (SELECT *, CAST(CASE WHEN CAST(floor(t) AS BIGINT) % 2 = 0 THEN floor(t) ELSE ceil(t) END AS INTEGER) AS k FROM t)
-SELECT o_orderkey, units, CASE CAST(o_orderkey % 5 AS INTEGER) WHEN 0 THEN DATE '1661-01-01' + k WHEN 1 THEN DATE '1901-01-01' + CAST(floor(k / 24.0) AS INTEGER) WHEN 2 THEN CAST(DATE '1850-01-31' + to_months(k) AS DATE) WHEN 3 THEN CAST(DATE '1604-02-29' + to_months(12 * k) AS DATE) END AS date FROM n""")
+SELECT o_orderkey, units, CASE CAST(o_orderkey % 5 AS INTEGER) WHEN 0 THEN DATE '1661-01-01' + k WHEN 1 THEN DATE '1901-01-01' + CAST(floor(k / 24.0) AS INTEGER) WHEN 2 THEN CAST(DATE '1850-01-31' + to_months(k) AS DATE) WHEN 3 THEN CAST(DATE '1604-02-29' + to_months(12 * k) AS DATE) END AS date FROM n""", dates=("date",))
 def time_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     units = F.element_at(F.array(*map(F.lit, ("days since 1661-1-1", "hours since 1901-01-01 00:00:00", "months since 1850-1-31", "years since 1604-2-29", "steps"))), (F.col("o_orderkey") % 5 + 1).cast("int"))
     rows = _table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 2000 + 0.5).alias("t"), units.alias("units"))
@@ -557,7 +561,7 @@ def run_file_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "supplier").select("s_suppkey", parse_run_file(name).alias("r")).select("s_suppkey", "r.*")
 
 
-@_query("SELECT o_orderkey, ['Jan', 'Feb', 'Mar', 'Apr', 'May', 'Jun', 'Jul', 'Aug', 'Sep', 'Oct', 'Nov', 'Dec'][month(o_orderdate)] AS month_name, make_date(year(o_orderdate), month(o_orderdate), 15) AS mid FROM orders")
+@_query("SELECT o_orderkey, ['Jan', 'Feb', 'Mar', 'Apr', 'May', 'Jun', 'Jul', 'Aug', 'Sep', 'Oct', 'Nov', 'Dec'][month(o_orderdate)] AS month_name, make_date(year(o_orderdate), month(o_orderdate), 15) AS mid FROM orders", dates=("mid",))
 def representative_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = F.to_date("o_orderdate")
     from .functions.dates import mid_month
