@@ -124,9 +124,12 @@ def map_arrow(df: DataFrame, f: Callable, schema: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def fresh(df: DataFrame, *names: str) -> DataFrame:
-    """The named columns only; a table's further columns can't clash with ours."""
-    return df.select(*names)
+def masked(docs: DataFrame, *kept: str) -> DataFrame:
+    """docs with every column but the kept ones under a neutral name, so that none can clash with ours.
+
+    `toDF(*docs.columns)` undoes it.
+    """
+    return docs.toDF(*[c if c in kept else f"_c{i}" for i, c in enumerate(docs.columns)])
 
 
 def string_hashes(values: pa.Array) -> np.ndarray:

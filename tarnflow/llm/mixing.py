@@ -24,7 +24,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, masked
 
 WORD = r"[^\x20\x09-\x0D]+"
 FAN = 32
@@ -136,11 +136,12 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: float = 3
 
 def apply_mix(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     """docs with each row as often as the mix takes it."""
+    plain = masked(docs, "doc_id", "text", "source")
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     key = F.xxhash64("doc_id", F.coalesce("source", F.lit("")), F.col("source").isNull(), "size")
-    left = docs.withColumn("size", size).withColumn("_key", key)
+    left = plain.withColumn("size", size).withColumn("_key", key)
     left = left.withColumn("_nth", F.row_number().over(Window.partitionBy("_key").orderBy("text")))
     right = mixed.select(key.alias("_key"), "copies")
     right = right.withColumn("_nth", F.row_number().over(Window.partitionBy("_key").orderBy(F.col("copies").desc())))
     taken = left.join(right.where("copies > 0"), ["_key", "_nth"]).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    return taken.select(*docs.columns)
+    return taken.select(*plain.columns).toDF(*docs.columns)

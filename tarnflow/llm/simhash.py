@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, map_arrow, mix, partitions
+from .common import cut, map_arrow, masked, mix, partitions
 from .components import connected_components
 
 PIVOTS = 32
@@ -230,6 +230,7 @@ def keep_one(docs: DataFrame, radius: int = 2) -> DataFrame:
         fp = text_fingerprints(batch.column("text").to_pylist())
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array(fp.view(np.int64))], names=[*batch.schema.names, "_fp"])
 
-    marked = map_arrow(docs, run, T.StructType([*docs.schema.fields, T.StructField("_fp", T.LongType())]))
+    plain = masked(docs, "doc_id", "text")
+    marked = map_arrow(plain, run, T.StructType([*plain.schema.fields, T.StructField("_fp", T.LongType())]))
     both = marked.join(chosen, (F.col("_fp") == F.col("_of")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id")))
-    return both.dropDuplicates(["_of"]).select(*docs.columns)
+    return both.dropDuplicates(["_of"]).select(*plain.columns).toDF(*docs.columns)
