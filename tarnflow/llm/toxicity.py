@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import encode, fold, map_arrow, split_words
+from .common import encode, fold, map_arrow, split_words, string_hashes
 
 _BREAK = "\x1e"
 _EDGE = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"
@@ -82,6 +82,55 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
+def _cells(texts: list[str | None], vocabulary: int, least_docs: int, chunk: int = 128) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """Names of the chosen features, (sentence, feature) pairs, and each sentence's document.
+
+    Two passes over the texts in chunks, so that what is held is the distinct
+    features of the documents first and then the chosen pairs.
+    """
+
+    def parts(i: int):
+        codes, distinct, sentence, sentence_doc = sentences(pa.array(texts[i : i + chunk], pa.string()))
+        lists = _features(distinct) if len(distinct) else []
+        return codes, sentence, sentence_doc, lists, [string_hashes(x) for x in lists]
+
+    found, times = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    for i in range(0, len(texts), chunk):
+        codes, sentence, sentence_doc, lists, hashed = parts(i)
+        if not lists:
+            continue
+        occurs = np.unique(sentence_doc[sentence] * len(lists[0]) + codes)
+        doc, word = occurs // len(lists[0]), occurs % len(lists[0])
+        ids, at = np.unique(np.concatenate([h[word] for h in hashed]), return_inverse=True)
+        in_docs = np.unique(np.tile(doc, len(hashed)) * len(ids) + at) % len(ids)
+        both, where = np.unique(np.concatenate([found, ids]), return_inverse=True)
+        times = np.bincount(where, np.concatenate([times, np.bincount(in_docs, minlength=len(ids))]), len(both)).astype(np.int64)
+        found = both
+    empty = string_hashes(pa.array([""], pa.large_string()))[0]
+    times[found == empty] = 0
+    chosen = np.flatnonzero(times >= least_docs)
+    chosen = np.sort(found[chosen[np.argsort(-times[chosen], kind="stable")][:vocabulary]])
+    names: list[str] = [""] * len(chosen)
+    rows, columns, docs, sentences_so_far = [], [], [], 0
+    for i in range(0, len(texts), chunk):
+        codes, sentence, sentence_doc, lists, hashed = parts(i)
+        docs.append(sentence_doc + i)
+        for values, h in zip(lists, hashed):
+            at = np.minimum(np.searchsorted(chosen, h), max(0, len(chosen) - 1))
+            known = chosen[at] == h if len(chosen) else np.zeros(len(h), bool)
+            for k in np.flatnonzero(known).tolist():
+                if not names[at[k]]:
+                    names[at[k]] = values[k].as_py()
+            hit = known[codes]
+            # A feature counts once in a sentence.
+            cell = np.unique(sentence[hit] * max(1, len(chosen)) + at[codes[hit]])
+            rows.append((cell // max(1, len(chosen)) + sentences_so_far).astype(np.int32))
+            columns.append((cell % max(1, len(chosen))).astype(np.int32))
+        sentences_so_far += len(sentence_doc)
+    join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int32)
+    return names, join(rows), join(columns), join(docs).astype(np.int64)
+
+
 def fit(texts: list[str | None], labels: np.ndarray, weights: np.ndarray | None = None, vocabulary: int = 1 << 16, rounds: int = 100, rate: float = 0.15, l2: float = 2e-3, least_docs: int = 3) -> MilModel:
     """Full-batch Adam on the noisy-or likelihood.
 
@@ -95,28 +144,12 @@ def fit(texts: list[str | None], labels: np.ndarray, weights: np.ndarray | None
     prior = float((labels * weights).sum() / weights.sum()) if len(labels) else 0.0
     if not len(labels) or labels.min() == labels.max():
         return MilModel([], np.zeros(0), -12.0, prior)
-    codes, distinct, sentence, sentence_doc = sentences(pa.array(texts, pa.string()))
-    if not len(distinct):
+    names, row, column, sentence_doc = _cells(texts, vocabulary, least_docs)
+    if not names:
         return MilModel([], np.zeros(0), -12.0, prior)
-    parts = _features(distinct)
-    of, names = encode(pa.concat_arrays(parts))
-    of = of.reshape(len(parts), len(distinct))
-    occurs = np.unique(sentence_doc[sentence] * len(distinct) + codes)
-    pairs = np.unique((occurs // len(distinct))[None, :] * len(names) + of[:, occurs % len(distinct)])
-    frequency = np.bincount(pairs % len(names), minlength=len(names))
-    frequency[of[:, pc.equal(parts[0], "").to_numpy(zero_copy_only=False)].ravel()] = 0
-    frequency[pc.equal(names, "").to_numpy(zero_copy_only=False)] = 0
-    chosen = np.flatnonzero(frequency >= least_docs)
-    chosen = chosen[np.argsort(-frequency[chosen], kind="stable")][:vocabulary]
-    local = np.full(len(names), -1)
-    local[chosen] = np.arange(len(chosen))
-    # A feature counts once in a sentence.
-    cells = [sentence[local[f[codes]] >= 0] * max(1, len(chosen)) + local[f[codes]][local[f[codes]] >= 0] for f in of]
-    cell = np.unique(np.concatenate(cells))
-    row, column = cell // max(1, len(chosen)), cell % max(1, len(chosen))
     n = len(sentence_doc)
-    w, b, leak = np.zeros(len(chosen)), -5.0, -4.0
-    moment = [np.zeros(len(chosen) + 2), np.zeros(len(chosen) + 2)]
+    w, b, leak = np.zeros(len(names)), -5.0, -4.0
+    moment = [np.zeros(len(names) + 2), np.zeros(len(names) + 2)]
     total = weights.sum()
     for step in range(1, rounds + 1):
         z = b + np.bincount(row, w[column], n)
@@ -135,7 +168,7 @@ def fit(texts: list[str | None], labels: np.ndarray, weights: np.ndarray | None
         w, b, leak = w - move[:-2], b - move[-2], leak - move[-1]
         w = np.sign(w) * np.maximum(np.abs(w) - 2e-3, 0)
     used = np.flatnonzero(np.abs(w) > 0.02)
-    return MilModel(names.take(pa.array(chosen[used])).to_pylist(), w[used], float(b), float(_sigmoid(np.array([leak]))[0]))
+    return MilModel([names[k] for k in used.tolist()], w[used], float(b), float(_sigmoid(np.array([leak]))[0]))
 
 
 def sentence_scores(texts: pa.Array, model: MilModel) -> tuple[np.ndarray, np.ndarray]:
@@ -179,7 +212,7 @@ def score_toxicity(docs: DataFrame, model: MilModel, keep: tuple[str, ...] = ("d
     return map_arrow(columns, score, f"{kinds}, score double, n_sentences bigint, worst_sentence bigint, worst_score double")
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, folds: int = 5, sample_docs: int = 3000, sample_chars: int = 20_000) -> tuple[list, np.ndarray, np.ndarray]:
+def training_sample(docs: DataFrame, labels: DataFrame, folds: int = 5, sample_docs: int = 2000, sample_chars: int = 20_000) -> tuple[list, np.ndarray, np.ndarray]:
     """Texts, labels and weights of the bounded sample.
 
     Only rows outside fold 0 are looked at.  Of each class, the `sample_docs`
@@ -194,14 +227,14 @@ def training_sample(docs: DataFrame, labels: DataFrame, folds: int = 5, sample_d
         part = known.where(F.col("toxic") == kind).orderBy(order, "doc_id").limit(sample_docs)
         drawn = part if drawn is None else drawn.unionByName(part)
     texts = docs.select("doc_id", "text").where(F.length("text") <= sample_chars)
-    rows = texts.join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "toxic").collect()  # at most 2 * sample_docs rows
-    rows.sort(key=lambda r: (r["doc_id"], r["text"]))
-    toxic = np.array([r["toxic"] for r in rows], float)
-    weights = np.ones(len(rows))
+    rows = texts.join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "toxic").toArrow()  # at most 2 * sample_docs documents
+    rows = rows.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    toxic = rows.column("toxic").to_numpy().astype(float)
+    weights = np.ones(len(toxic))
     for kind in (0, 1):
         n = (toxic == kind).sum()
         weights[toxic == kind] = counts.get(kind, 0) / max(1, n)
-    return [r["text"] for r in rows], toxic, weights / max(weights.mean(), 1e-9) if len(rows) else weights
+    return rows.column("text").to_pylist(), toxic, weights / max(weights.mean(), 1e-9) if len(toxic) else weights
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, folds: int = 5, threshold: float = 0.5, **sample) -> DataFrame:
