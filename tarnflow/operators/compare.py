@@ -11,7 +11,7 @@ def _measures(a: str, b: str) -> list:
     relative = F.when(F.abs(x) > 0, F.abs(x - y) / F.abs(x))
     span = lambda c: F.max(c) - F.min(c)
     return [
-        F.count("*").alias("n"), F.corr(x, y).alias("r"), F.avg(relative).alias("mean_relative"), F.max(relative).alias("max_relative"),
+        F.count("*").alias("n"), F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)).alias("r"), F.avg(relative).alias("mean_relative"), F.max(relative).alias("max_relative"),
         F.median(F.abs(x)).alias("median_scale"), F.when(span(x) > 0, span(y) / span(x)).alias("range_ratio"),
     ]
 
