@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import encode, fold, map_arrow, split_words, string_hashes
+from .common import encode, fold, map_arrow, masked, split_words, string_hashes
 
 _BREAK = "\x1e"
 _EDGE = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"
@@ -240,8 +240,9 @@ def training_sample(docs: DataFrame, labels: DataFrame, folds: int = 5, sample_d
 def drop_toxic(docs: DataFrame, labels: DataFrame, folds: int = 5, threshold: float = 0.5, **sample) -> DataFrame:
     """The rows of docs, with their columns, that score below the threshold."""
     texts, toxic, weights = training_sample(docs, labels, folds, **sample)
-    scored = score_toxicity(docs, fit(texts, toxic, weights), tuple(docs.columns))
-    return scored.where(F.col("score") < threshold).select(*docs.columns)
+    plain = masked(docs, "text")
+    scored = score_toxicity(plain, fit(texts, toxic, weights), tuple(plain.columns))
+    return scored.where(F.col("score") < threshold).select(*plain.columns).toDF(*docs.columns)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, **sample) -> DataFrame:
