@@ -132,6 +132,17 @@ def masked(docs: DataFrame, *kept: str) -> DataFrame:
     return docs.toDF(*[c if c in kept else f"_c{i}" for i, c in enumerate(docs.columns)])
 
 
+def sampled(df: DataFrame, size: int, rows: int, key: Column) -> DataFrame:
+    """About `size` of df's `rows` rows, chosen by a hash of the key: the same ones in every run and layout.
+
+    A sort with a limit would send that limit from each partition; this sends
+    the sample alone.  With no more rows than that, all of them.
+    """
+    if rows <= size:
+        return df
+    return df.where(F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1 << 30)) < F.lit(int((1 << 30) * size / rows)))
+
+
 def string_hashes(values: pa.Array) -> np.ndarray:
     """A 64-bit hash of each string (none null), for all of them at once.
 

@@ -9,9 +9,10 @@ of an inner product.  Candidates are taken from long to short, in blocks:
   whose partial sum plus that bound is below the k-th best is dropped;
 * the others get their exact integer product.
 
-Bounds are compared with a slack that covers rounding, so nothing is lost.  The
-`HEAD` longest candidates, a bounded number, are seen first by all queries: their
-k-th best starts every block's pruning.  Queries meet candidates block by block.
+Bounds are compared with a slack that covers rounding, so nothing is lost.
+About `HEAD` of the longest candidates, a bounded number, are seen first by all
+queries: their k-th best starts every block's pruning.  Queries meet candidates
+block by block.
 """
 
 from __future__ import annotations
@@ -21,12 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, partitions
+from .common import cut, partitions, sampled
 from .vectors import best, first_of_equals, matrix, ranked, usable
 
 HEAD = 4096
 BLOCK = 4096
 QUERIES = 1024
+#: Below this share of pairs left, pairs are handled one by one; else block by block.
+SPARSE = 0.01
 _LEAST = np.iinfo(np.int64).min
 
 
@@ -41,6 +44,9 @@ def search_block(q: np.ndarray, q_id: np.ndarray, floor: np.ndarray, v: np.ndarr
     q_norm, v_norm = np.linalg.norm(rq, axis=1), np.linalg.norm(rv, axis=1)
     tail = lambda x, d: np.sqrt(np.square(x[:, d:]).sum(axis=1))
     q_tail, v_tail = {d: tail(rq, d) for d in depths}, {d: tail(rv, d) for d in depths}
+    # Integers below 2 ** 53 multiply and add exactly as doubles, in any order.
+    exact = np.abs(q).max(initial=0).astype(float) * np.abs(v).max(initial=0) * dims < 2.0**53
+    as_double = (q.astype(float), v.astype(float)) if exact else (None, None)
     held = [np.zeros(0, np.int64)] * 3
     limit = floor.astype(float)
     for a in range(0, len(v), step):
@@ -49,25 +55,24 @@ def search_block(q: np.ndarray, q_id: np.ndarray, floor: np.ndarray, v: np.ndarr
         live = np.flatnonzero(q_norm * v_norm[a] + slack >= limit)
         if not len(live):
             break
-        i = j = None
-        seen = 0
+        part, seen, keep = 0.0, 0, np.ones((len(live), len(v[own])), bool)
         for d in depths:
-            if i is None:
-                part = rq[live, :d] @ rv[own, :d].T
-                keep = part + q_tail[d][live][:, None] * v_tail[d][own][None, :] + slack[live][:, None] >= limit[live][:, None]
-                i, j = np.nonzero(keep)
-                part, i, j = part[i, j], live[i], j + a
-            else:
-                part = part + (rq[i, seen:d] * rv[j, seen:d]).sum(axis=1)
-                keep = part + q_tail[d][i] * v_tail[d][j] + slack[i] >= limit[i]
-                part, i, j = part[keep], i[keep], j[keep]
+            part = part + rq[live, seen:d] @ rv[own, seen:d].T
+            keep &= part + (slack[live][:, None] + q_tail[d][live][:, None] * v_tail[d][own][None, :]) >= limit[live][:, None]
             seen = d
-        if i is None:
-            i, j = (x.ravel() for x in np.meshgrid(live, np.arange(a, min(a + step, len(v))), indexing="ij"))
-        other = q_id[i] != v_id[j]
-        i, j = i[other], j[other]
-        score = (q[i].astype(np.int64) * v[j].astype(np.int64)).sum(axis=1)
-        held = [np.concatenate(x) for x in zip(held, (i, v_id[j], score))]
+            if np.count_nonzero(keep) < SPARSE * keep.size:
+                break
+        if exact and np.count_nonzero(keep) >= SPARSE * keep.size:
+            score = as_double[0][live] @ as_double[1][own].T
+            keep &= score >= limit[live][:, None]
+            i, j = np.nonzero(keep)
+            score, i, j = score[i, j].astype(np.int64), live[i], j + a
+        else:
+            i, j = np.nonzero(keep)
+            i, j = live[i], j + a
+            score = (q[i].astype(np.int64) * v[j].astype(np.int64)).sum(axis=1)
+        fine = (q_id[i] != v_id[j]) & (score >= limit[i])
+        held = [np.concatenate(x) for x in zip(held, (i[fine], v_id[j[fine]], score[fine]))]
         top = best(held[0], held[2], held[1], k)
         held = [x[top] for x in held]
         full = np.bincount(held[0], minlength=len(q)) == k
@@ -107,7 +112,10 @@ def top_inner_products(vectors: DataFrame, k: int = 5, every: int = 50, scale: f
     total[cells.column("at").to_numpy()] = cells.column("x").to_numpy()
     _, vectors_ = np.linalg.eigh(total.reshape(width, width))
     rotation = spark.sparkContext.broadcast(np.ascontiguousarray(vectors_[:, ::-1]))
-    longest = candidates.orderBy(F.col("norm").desc(), "vec_id").limit(HEAD).toArrow()
+    number = candidates.count()
+    least = candidates.agg(F.percentile_approx("norm", F.lit(max(0.0, 1 - HEAD / max(1, number))), F.lit(10_000)).alias("x")).collect()[0]["x"]
+    long = candidates.where(F.col("norm") >= F.lit(least or 0.0))
+    longest = sampled(long, HEAD, long.count(), F.col("vec_id")).toArrow().sort_by([("norm", "descending"), ("vec_id", "ascending")])
     head = spark.sparkContext.broadcast((matrix(longest.column("v"), width, np.int64), longest.column("vec_id").to_numpy()))
     queries = rows.where(F.col("vec_id") % every == 0)
     n_blocks = max(1, -(-queries.count() // QUERIES))
