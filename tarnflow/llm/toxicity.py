@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import encode, fold, map_arrow, masked, split_words, string_hashes
+from .common import encode, fold, map_arrow, masked, sampled, split_words, string_hashes
 
 _BREAK = "\x1e"
 _EDGE = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"
@@ -82,7 +82,14 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def _cells(texts: list[str | None], vocabulary: int, least_docs: int, chunk: int = 128) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+def _evidence(n: np.ndarray, k: np.ndarray, share: float) -> np.ndarray:
+    """Log-likelihood ratio of k positive documents among n, 0 if no more than the share lets expect."""
+    part = lambda a, b: np.where(a > 0, a * np.log(np.maximum(a, 1) / np.maximum(b, 1e-300)), 0.0)
+    g = 2 * (part(k, n * share) + part(n - k, n * (1 - share)))
+    return np.where(k > n * share, g, 0.0)
+
+
+def _cells(texts: list[str | None], labels: np.ndarray, vocabulary: int, least_docs: int, evidence: float, chunk: int = 128) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
     """Names of the chosen features, (sentence, feature) pairs, and each sentence's document.
 
     Two passes over the texts in chunks, so that what is held is the distinct
@@ -94,7 +101,7 @@ def _cells(texts: list[str | None], vocabulary: int, least_docs: int, chunk: int
         lists = _features(distinct) if len(distinct) else []
         return codes, sentence, sentence_doc, lists, [string_hashes(x) for x in lists]
 
-    found, times = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    found, times, hits = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     for i in range(0, len(texts), chunk):
         codes, sentence, sentence_doc, lists, hashed = parts(i)
         if not lists:
@@ -102,14 +109,16 @@ def _cells(texts: list[str | None], vocabulary: int, least_docs: int, chunk: int
         occurs = np.unique(sentence_doc[sentence] * len(lists[0]) + codes)
         doc, word = occurs // len(lists[0]), occurs % len(lists[0])
         ids, at = np.unique(np.concatenate([h[word] for h in hashed]), return_inverse=True)
-        in_docs = np.unique(np.tile(doc, len(hashed)) * len(ids) + at) % len(ids)
+        pairs = np.unique(np.tile(doc, len(hashed)) * len(ids) + at)
+        in_docs, positive = pairs % len(ids), labels[i + pairs // len(ids)] > 0
         both, where = np.unique(np.concatenate([found, ids]), return_inverse=True)
-        times = np.bincount(where, np.concatenate([times, np.bincount(in_docs, minlength=len(ids))]), len(both)).astype(np.int64)
-        found = both
+        merged = lambda old, own: np.bincount(where, np.concatenate([old, np.bincount(own, minlength=len(ids))]), len(both)).astype(np.int64)
+        times, hits, found = merged(times, in_docs), merged(hits, in_docs[positive]), both
     empty = string_hashes(pa.array([""], pa.large_string()))[0]
     times[found == empty] = 0
-    chosen = np.flatnonzero(times >= least_docs)
-    chosen = np.sort(found[chosen[np.argsort(-times[chosen], kind="stable")][:vocabulary]])
+    strength = _evidence(times, hits, float((labels > 0).mean()))
+    chosen = np.flatnonzero((times >= least_docs) & (strength >= evidence))
+    chosen = np.sort(found[chosen[np.argsort(-strength[chosen], kind="stable")][:vocabulary]])
     names: list[str] = [""] * len(chosen)
     rows, columns, docs, sentences_so_far = [], [], [], 0
     for i in range(0, len(texts), chunk):
@@ -131,12 +140,13 @@ def _cells(texts: list[str | None], vocabulary: int, least_docs: int, chunk: int
     return names, join(rows), join(columns), join(docs).astype(np.int64)
 
 
-def fit(texts: list[str | None], labels: np.ndarray, weights: np.ndarray | None = None, vocabulary: int = 1 << 16, rounds: int = 100, rate: float = 0.15, l2: float = 2e-3, least_docs: int = 3) -> MilModel:
+def fit(texts: list[str | None], labels: np.ndarray, weights: np.ndarray | None = None, vocabulary: int = 1 << 16, rounds: int = 100, rate: float = 0.15, l2: float = 2e-3, least_docs: int = 3, evidence: float = 15.0) -> MilModel:
     """Full-batch Adam on the noisy-or likelihood.
 
     `weights` are per-document weights (for a sample that isn't drawn evenly
     over the classes).  The vocabulary holds the features of at least
-    `least_docs` documents, the commonest first.  Without documents of both classes the
+    `least_docs` documents whose documents are positive more often than chance
+    lets expect (log-likelihood ratio of `evidence` or more), the surest first.  Without documents of both classes the
     model has the leak alone, at the prior.
     """
     labels = np.asarray(labels, float)
@@ -144,7 +154,7 @@ def fit(texts: list[str | None], labels: np.ndarray, weights: np.ndarray | None
     prior = float((labels * weights).sum() / weights.sum()) if len(labels) else 0.0
     if not len(labels) or labels.min() == labels.max():
         return MilModel([], np.zeros(0), -12.0, prior)
-    names, row, column, sentence_doc = _cells(texts, vocabulary, least_docs)
+    names, row, column, sentence_doc = _cells(texts, labels, vocabulary, least_docs, evidence)
     if not names:
         return MilModel([], np.zeros(0), -12.0, prior)
     n = len(sentence_doc)
@@ -215,19 +225,18 @@ def score_toxicity(docs: DataFrame, model: MilModel, keep: tuple[str, ...] = ("d
 def training_sample(docs: DataFrame, labels: DataFrame, folds: int = 5, sample_docs: int = 2000, sample_chars: int = 20_000) -> tuple[list, np.ndarray, np.ndarray]:
     """Texts, labels and weights of the bounded sample.
 
-    Only rows outside fold 0 are looked at.  Of each class, the `sample_docs`
-    rows that come first by a hash of their id; class counts over all labelled
+    Only rows outside fold 0 are looked at.  Of each class about `sample_docs`
+    rows, chosen by a hash of their id; class counts over all labelled
     rows give the weights that undo the even draw.
     """
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), folds) != 0)).dropDuplicates(["doc_id"])
     counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    order = F.xxhash64(F.col("doc_id").cast("string"))
     drawn = None
     for kind in (0, 1):
-        part = known.where(F.col("toxic") == kind).orderBy(order, "doc_id").limit(sample_docs)
+        part = sampled(known.where(F.col("toxic") == kind), sample_docs, counts.get(kind, 0), F.col("doc_id").cast("string"))
         drawn = part if drawn is None else drawn.unionByName(part)
     texts = docs.select("doc_id", "text").where(F.length("text") <= sample_chars)
-    rows = texts.join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "toxic").toArrow()  # at most 2 * sample_docs documents
+    rows = texts.join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "toxic").toArrow()  # about 2 * sample_docs documents
     rows = rows.sort_by([("doc_id", "ascending"), ("text", "ascending")])
     toxic = rows.column("toxic").to_numpy().astype(float)
     weights = np.ones(len(toxic))
