@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_arrow
+from .common import map_arrow, sampled
 from .tagger import BiLstmCrf
 
 KINDS = ("email", "ip", "card", "phone")
@@ -195,7 +195,7 @@ def _made(kind: str, rng: np.random.Generator) -> str:
     return str(rng.choice(forms))
 
 
-def training_windows(texts: list[str], generated: int = 900, seed: int = 11, most: int = 900) -> tuple[np.ndarray, np.ndarray]:
+def training_windows(texts: list[str], generated: int = 1200, seed: int = 11, most: int = 900) -> tuple[np.ndarray, np.ndarray]:
     """Symbols and tags: windows of the texts by their base spans, and generated ones."""
     rng = np.random.default_rng(seed)
     xs, ys = [], []
@@ -221,7 +221,7 @@ def training_windows(texts: list[str], generated: int = 900, seed: int = 11, mos
             if rng.random() < 0.25:
                 text += str(rng.choice([_number(rng, int(rng.integers(1, 9))), f"20{_number(rng, 2)}-0{_number(rng, 1)}-1{_number(rng, 1)}", f"{_number(rng, 2)}.{_number(rng, 2)}", "AKIA" + "X7Q2" * 3, "%x" % rng.integers(1 << 40, 1 << 60)])) + " "
                 continue
-            for kind in rng.choice(KINDS, 1 + int(rng.random() < 0.35)):
+            for kind in rng.choice(KINDS, 1 + int(rng.random() < 0.5)):
                 made = _made(str(kind), rng)
                 spans.append((str(kind), len(text), len(text) + len(made)))
                 text += made + str(rng.choice([" ", " ", " ", ". ", ", ", "\n"]))
@@ -231,10 +231,16 @@ def training_windows(texts: list[str], generated: int = 900, seed: int = 11, mos
     return np.array(xs), np.array(ys)
 
 
-def train(docs: DataFrame, sample_docs: int = 300, epochs: int = 10) -> BiLstmCrf:
-    """The tagger, from at most `sample_docs` documents of at most 20,000 characters that hold a trigger."""
-    held = docs.select("text").where(F.col("text").rlike("[0-9@]") & (F.length("text") <= 20_000))
-    texts = [r["text"] for r in held.orderBy(F.xxhash64("text"), "text").limit(sample_docs).collect()]
+def train(docs: DataFrame, sample_docs: int = 300, look_at: int = 6000, epochs: int = 12) -> BiLstmCrf:
+    """The tagger, from a bounded sample.
+
+    Of about `look_at` documents, chosen by a hash of their id, at most
+    `sample_docs` that hold a trigger and have 20,000 characters at most.
+    """
+    key = F.col("doc_id").cast("string") if "doc_id" in docs.columns else F.col("text")
+    drawn = sampled(docs, look_at, docs.count(), key).select("text", F.xxhash64(key).alias("_h"))
+    held = drawn.where(F.col("text").rlike("[0-9@]") & (F.length("text") <= 20_000))
+    texts = [r["text"] for r in held.orderBy("_h", "text").limit(sample_docs).collect()]
     x, y = training_windows(texts)
     model = BiLstmCrf(_CLASSES, 1 + 2 * len(KINDS))
     model.fit(x, y, epochs)
