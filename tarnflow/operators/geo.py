@@ -51,12 +51,13 @@ def boxes(basins: DataFrame) -> DataFrame:
     return basins.withColumns({"xmin": F.array_min(xs), "xmax": F.array_max(xs), "ymin": F.array_min(ys), "ymax": F.array_max(ys)})
 
 
-def cell_basin(cells: DataFrame, basins: DataFrame, overlap: str = "all", all_touched: bool = False, half: float = 0.25, tile: float = 10.0) -> DataFrame:
+def cell_basin(cells: DataFrame, basins: DataFrame, overlap: str = "all", all_touched: bool = False, half: float = 0.25, tile: float = 10.0, mark_contained: bool = False) -> DataFrame:
     """cells (lat_idx, lon_idx, lat, lon), basins (BASIN_ID, rings) -> BASIN_ID, lat_idx, lon_idx.
 
     A basin has the cells whose centre it contains; with all_touched also those
     it touches.  overlap "all": a cell counts for each basin that has it;
     "last": for the last basin only, by `position` if there is one, else by id.
+    mark_contained adds `contained`, whether the centre itself is inside.
     """
     if overlap not in ("all", "last"):
         raise ValueError("overlap must be 'all' or 'last'")
@@ -67,14 +68,12 @@ def cell_basin(cells: DataFrame, basins: DataFrame, overlap: str = "all", all_to
     shape = shape.withColumn("_tx", F.explode(spread("xmin", "xmax"))).withColumn("_ty", F.explode(spread("ymin", "ymax")))
     grid = cells.select("lat_idx", "lon_idx", "lat", "lon", F.floor(F.col("lon") / tile).alias("_tx"), F.floor(F.col("lat") / tile).alias("_ty"))
     near = F.col("lon").between(F.col("xmin") - margin, F.col("xmax") + margin) & F.col("lat").between(F.col("ymin") - margin, F.col("ymax") + margin)
-    held = contains(F.col("rings"), F.col("lon"), F.col("lat"))
-    if all_touched:
-        held = held | touches(F.col("rings"), F.col("lon"), F.col("lat"), half)
-    out = grid.join(shape, ["_tx", "_ty"]).where(near).where(held)
+    out = grid.join(shape, ["_tx", "_ty"]).where(near).withColumn("contained", contains(F.col("rings"), F.col("lon"), F.col("lat")))
+    out = out.where(F.col("contained") | touches(F.col("rings"), F.col("lon"), F.col("lat"), half) if all_touched else F.col("contained"))
     if overlap == "last":
         last = Window.partitionBy("lat_idx", "lon_idx").orderBy(F.col("_order").desc(), F.col("BASIN_ID").desc())
         out = out.withColumn("_n", F.row_number().over(last)).where("_n = 1")
-    return out.select("BASIN_ID", "lat_idx", "lon_idx")
+    return out.select("BASIN_ID", "lat_idx", "lon_idx", *(["contained"] if mark_contained else []))
 
 
 def with_weights(mapped: DataFrame, area: DataFrame | None, factor: float = 1.0) -> DataFrame:

@@ -11,8 +11,8 @@ from ..functions.cells import clean
 def outlets(grid: DataFrame, mapped: DataFrame, key: str = "time_idx") -> DataFrame:
     """BASIN_ID, key, lat_idx, lon_idx, value: the cell of the largest value; ties to the first by row, then column.
 
-    With a map that has `contained` (the centre is inside), contained cells
-    win ties over merely touched ones.
+    With a map that has `contained` (see `geo.cell_basin`), contained cells win
+    ties over merely touched ones.
     """
     prefer = [F.col("contained").cast("int")] if "contained" in mapped.columns else []
     v = clean(F.col("value"))

@@ -36,6 +36,12 @@ def zonal(grid: DataFrame, mapped: DataFrame, method: str = "sum", variable: str
     return out.withColumn("value", clean(F.col("value"))) if mask_stage == "post" else out
 
 
+def sample_steps(grid: DataFrame, every: int = 1, first: int | None = None) -> DataFrame:
+    """Every n-th time step, of the first ones only if `first` is given; both reach the scan as filters."""
+    kept = grid.where(F.col("time_idx") < first) if first is not None else grid
+    return kept.where(F.col("time_idx") % every == 0) if every > 1 else kept
+
+
 def with_basins(basins: DataFrame, values: DataFrame, metadata: tuple[str, ...] = ("BASIN_ID", "BCU_name", "NAME", "REGION", "area_km2")) -> DataFrame:
     """Every basin's metadata with its values, NULL where it has none."""
     return basins.select(*[c for c in metadata if c in basins.columns]).join(values, "BASIN_ID", "left")

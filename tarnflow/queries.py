@@ -492,6 +492,12 @@ report AS (SELECT CAST(b AS BIGINT) AS BASIN_ID, CASE WHEN n IS NULL THEN 'empty
   FROM (VALUES (1), (2), (3), (4)) t(b) LEFT JOIN places p ON p.BASIN_ID = b LEFT JOIN seen s ON s.BASIN_ID = b)"""
 
 
+@_query(f"WITH {_GRID} SELECT BASIN_ID, time_idx, round(max(value), 6) AS value FROM grid JOIN mapped USING (lat_idx, lon_idx) WHERE time_idx < 100 AND time_idx % 5 = 0 GROUP BY BASIN_ID, time_idx")
+def step_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sampled = zonal.sample_steps(grid(spark, sf_dir), 5, 100)
+    return _round(zonal.zonal(sampled, _map(spark), "max", keys=("time_idx",)), "value")
+
+
 @_query(f"WITH {_OUTLETS} SELECT BASIN_ID, time_idx, lat_idx, lon_idx, round(value, 6) AS value FROM outlets")
 def outlet_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(outlet.outlets(grid(spark, sf_dir), _map(spark)), "value")
@@ -520,6 +526,13 @@ def method_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outlet.agreement(_report(spark, sf_dir), _report(spark, sf_dir, overlap="last"))
 
 
+@_query()
+def outlet_all_touched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mapped = _map(spark, all_touched=True, half=0.5, mark_contained=True)
+    report = outlet.stability(outlet.outlets(grid(spark, sf_dir), mapped), basins(spark))
+    return report.select("BASIN_ID", "status", "n_unique_locations", "n_observations")
+
+
 # Runs -------------------------------------------------------------------------------------------
 
 

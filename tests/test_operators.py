@@ -82,6 +82,16 @@ def test_all_touched_adds_border_cells(spark):
     assert by_basin(zonal.zonal(grid, m, "sum")) == {1: 1.0, 2: 4.0}
 
 
+def test_contained_cells_win_ties_over_touched_ones(spark):
+    grid = grid_frame(spark, ONES)
+    basins = basin_frame(spark, {1: [rect(-3.2, -3.2, -1.8, -1.8)]})  # one centre, and parts of the eight cells around it
+    m = cell_basin(cells_of(grid), basins, all_touched=True, half=0.5, mark_contained=True)
+    assert m.count() == 9 and m.where("contained").count() == 1
+    top = outlet.outlets(grid, m).collect()[0]
+    assert (top["lat_idx"], top["lon_idx"]) == (6, 1)
+    assert zonal.sample_steps(grid_frame(spark, {t: ONES[0] for t in range(7)}), 3, 6).select("time_idx").distinct().count() == 2
+
+
 def test_tiles_lose_no_cell(spark):
     cells = spark.range(36 * 18).select((F.floor(F.col("id") / 36)).cast("int").alias("lat_idx"), (F.col("id") % 36).cast("int").alias("lon_idx")).select("*", (F.col("lat_idx") * 10 - 85.0).alias("lat"), (F.col("lon_idx") * 10 - 175.0).alias("lon"))
     basins = basin_frame(spark, {1: [rect(-180, -90, 180, 90)], 2: [rect(-31, -31, 29, 31)]})
