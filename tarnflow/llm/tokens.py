@@ -14,7 +14,7 @@ from functools import lru_cache
 
 import numpy as np
 
-#: How this family of byte-level vocabularies cuts a text before merging.
+# Fixed value: how this family of byte-level vocabularies cuts a text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LONG = 1 << 20
 
