@@ -8,7 +8,7 @@ block of columns if that estimate exceeds the query's k-th best distance by
 more than the test allows, (1 + epsilon / sqrt(d)); what is left after all
 columns is scored exactly, on the original vectors in double precision.
 
-Centroids come from a bounded sample (`sample` rows); every row is indexed.
+Centroids come from a bounded sample (about `sample` rows, or 16 a list if more); every row is indexed.
 Lists beyond `CELL` rows are split, so that no task holds a hot list.  A query's
 nearest list is searched first; its k-th best distance there starts the tests
 in the other lists.
@@ -22,10 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, sampled
 from .vectors import best, first_of_equals, matrix, ranked, usable
 
 CELL = 8192
+#: Below this share of pairs left, pairs are handled one by one; else block by block.
+SPARSE = 0.02
 
 
 def rotation(width: int, seed: int = 29) -> np.ndarray:
@@ -66,11 +68,17 @@ def scan(q: np.ndarray, q_id: np.ndarray, limit: np.ndarray, v: np.ndarray, v_id
     held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
     for a in range(0, len(v), step):
         own = slice(a, a + step)
-        d = min(columns, dims)
-        part = np.square(rq[:, :d]).sum(axis=1)[:, None] + np.square(rv[own, :d]).sum(axis=1)[None, :] - 2 * rq[:, :d] @ rv[own, :d].T
-        i, j = np.nonzero(part * (dims / d) <= limit[:, None] * (1 + epsilon / np.sqrt(d)) ** 2 + 1e-12)
+        # Blocks of columns for all pairs, until few are left; then for those alone.
+        d, part, alive = 0, 0.0, np.ones((len(q), len(v[own])), bool)
+        while d < dims and np.count_nonzero(alive) >= SPARSE * alive.size:
+            e = min(d + columns, dims)
+            part = part + (np.square(rq[:, d:e]).sum(axis=1)[:, None] + np.square(rv[own, d:e]).sum(axis=1)[None, :] - 2 * rq[:, d:e] @ rv[own, d:e].T)
+            slack = 1.0 if e == dims else (1 + epsilon / np.sqrt(e)) ** 2
+            alive &= part * (dims / e) <= limit[:, None] * slack + 1e-9
+            d = e
+        i, j = np.nonzero(alive)
         part, j = part[i, j], j + a
-        while d < dims:
+        while d < dims and len(i):
             e = min(d + columns, dims)
             part = part + np.square(rq[i, d:e] - rv[j, d:e]).sum(axis=1)
             slack = 1.0 if e == dims else (1 + epsilon / np.sqrt(e)) ** 2
@@ -96,15 +104,15 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, lists: int | None =
     without an id, without a vector, with a null or non-finite component or of
     length zero take no part; rows of the query's own id are no candidates.
     Equal scores rank by id.  Lists default to half the square root of the
-    number of rows (16 to 256), probes to two thirds of the lists: high, since
+    number of rows (16 to 4096), probes to two thirds of the lists: high, since
     vectors may be near-random, where neighbours are spread over many lists.
     """
     spark = vectors.sparkSession
     rows = cut(usable(vectors).where(F.exists("v", lambda x: x != 0)).dropDuplicates(["vec_id"]))
     facts = rows.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("width")).collect()[0]
-    width, lists = max(1, facts["width"] or 1), lists or int(min(256, max(16, round(facts["n"] ** 0.5 / 2))))
+    width, lists = max(1, facts["width"] or 1), lists or int(min(4096, max(16, round(facts["n"] ** 0.5 / 2))))
     probes = min(lists, probes or -(-2 * lists // 3))
-    drawn = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toArrow()
+    drawn = sampled(rows, max(sample, 16 * lists), facts["n"], F.col("vec_id")).toArrow().sort_by("vec_id")
     centres = centroids(unit(matrix(drawn.column("v"), width)), lists) if drawn.num_rows else np.zeros((1, width))
     shared = spark.sparkContext.broadcast((centres, rotation(width)))  # lists * width numbers
 
