@@ -196,7 +196,7 @@ def locate_segments(texts: list[bytes], text: np.ndarray, doc: np.ndarray, windo
     return mark
 
 
-def remove_repeats(docs: DataFrame, window: int = 13, seed: int = 5, hot: int = 4096) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 13, seed: int = 5, hot: int = 512) -> DataFrame:
     """Per row of docs: doc_id, n_words, n_removed, kept_text, removed.
 
     kept_text is the kept words joined by one space; removed holds word spans
