@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .common import encode, mix, partitions, split_words, string_hashes
 
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 4 << 20
 SHARD_BYTES = 2 << 20
 _LAST = np.iinfo(np.int64).max
 
@@ -59,6 +59,7 @@ class Block:
 
 
 def read_block(table: pa.Table) -> Block:
+    pa.default_memory_pool().release_unused()  # what the worker's last block held
     order = pc.sort_indices(table.select(["doc_id", "text"]), sort_keys=[("doc_id", "ascending"), ("text", "ascending")])
     table = table.take(order).combine_chunks()
     texts = table.column("text").combine_chunks() if table.num_rows else pa.array([], pa.string())
