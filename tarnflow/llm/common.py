@@ -74,7 +74,9 @@ def split_words(texts: pa.Array, lower: bool = False) -> tuple[pa.Array, np.ndar
     A word is a maximal run of characters other than space and U+0009..U+000D.
     Null texts have no words.  `lower` maps A-Z only.
     """
-    texts = pc.fill_null(texts, "").cast(pa.large_string())
+    texts = pc.fill_null(texts, "")
+    # The cast keeps a slice's first offset, and ascii_lower reads beside such an array's bytes: copy first.
+    texts = texts.take(pa.array(np.arange(len(texts)))).cast(pa.large_string())
     if lower:
         texts = pc.ascii_lower(texts)
     lists = pc.ascii_split_whitespace(texts)

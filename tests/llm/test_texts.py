@@ -36,6 +36,15 @@ def test_words_are_split_on_six_characters_only():
     assert common.split_words(pa.array(["ÄBc"]), lower=True)[0].to_pylist() == ["Äbc"]
 
 
+def test_slices_are_split_as_whole_arrays_are():
+    texts = [" ".join(f"Word{i} x{k}" for k in range(i % 7)) for i in range(300)]
+    for lower in (False, True):
+        for a in (0, 1, 137, 299):
+            flat, offsets = common.split_words(pa.array(texts).slice(a, 90), lower)
+            want = [(t.lower() if lower else t).split() for t in texts[a : a + 90]]
+            assert [flat[offsets[i] : offsets[i + 1]].to_pylist() for i in range(len(want))] == want
+
+
 def test_string_hashes_depend_on_the_string_alone():
     words = ["", "a", "b", "ab", "ba", "a" * 50, "é", "漢"]
     a = common.string_hashes(pa.array(words))
