@@ -502,3 +502,43 @@ def test_exchange_groups_words_by_their_company():
     m[6, 0] = m[6, 1] = m[4, 6] = m[5, 6] = 40
     of = classlm.exchange(m, 3)
     assert of[0] == of[1] and of[2] == of[3] and of[4] == of[5] and len({of[0], of[2], of[4]}) == 3 and of[6] == 3
+
+
+def test_every_word_has_a_class_by_its_own_company(spark):
+    rng = random.Random(3)
+    # Same endings, so that an ending says nothing; none is among the commonest words.
+    groups = [[f"{a}{k}ing" for k in range(12)] for a in ("x", "y")]
+    kinds = (("le", groups[0], "va", "tree"), ("go", groups[1], "ni", "run"))
+    texts = [" ".join(f"{lead} {rng.choice([*group, *[usual] * 12])} {tail}" for _ in range(8)) for lead, group, tail, usual in kinds for _ in range(40)]
+    df = docs_of(spark, texts)
+    model, words = classlm.fit(df, classes=6, own=6, endings=8)
+    class_of = {r["h"]: r["class"] for r in words.collect()}
+    found = [{class_of[int(h)] for h in common.string_hashes(pa.array(g)).view(np.int64)} for g in groups]
+    assert len(found[0]) == len(found[1]) == 1 and found[0] != found[1]
+    for table in (6, 1 << 16):  # classes by the join, and from the table
+        ids = [i for i in range(1000, 1100) if zlib.crc32(str(i).encode()) % 10 == 0][:2]
+        odd = [(ids[0], "le x3ing va go y3ing ni", "en", "s", 0), (ids[1], "le y3ing va go x3ing ni", "en", "s", 0)]
+        out = {r["doc_id"]: r for r in classlm.score_documents(df.unionByName(spark.createDataFrame(odd, DOCS)), classes=6, own=6, endings=8, table=table).collect()}
+        assert out[ids[0]]["base_score"] == pytest.approx(out[ids[1]]["base_score"]) and out[ids[0]]["score"] > out[ids[1]]["score"] + 1
+
+
+def test_exchange_step_is_the_best_move():
+    rng = np.random.default_rng(5)
+    m = rng.integers(0, 6, (9, 9)).astype(float)
+    of = np.append(rng.integers(0, 3, 8), 3)
+    f = lambda x: (x * np.log(np.maximum(x, 1))).sum()
+
+    def worth(of):
+        j = np.eye(4)[of].T @ m @ np.eye(4)[of]
+        return f(j) - f(j.sum(axis=0)) - f(j.sum(axis=1))
+
+    joint = np.eye(4)[of].T @ m @ np.eye(4)[of]
+    entries, best = [], []
+    for w in range(8):
+        slots = np.zeros(9, int)
+        np.add.at(slots, of[np.arange(9) != w], m[w, np.arange(9) != w].astype(int))
+        np.add.at(slots, 4 + of[np.arange(9) != w], m[np.arange(9) != w, w].astype(int))
+        slots[8] = m[w, w]
+        entries += [(w, s, n) for s, n in enumerate(slots) if n]
+        best.append(int(np.argmax([worth(np.where(np.arange(9) == w, c, of)) for c in range(3)])))
+    assert classlm.exchange_step(joint, of[:8], *np.array(entries).T).tolist() == best
