@@ -151,6 +151,23 @@ def unpivot_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pn.to_long(_wide(spark, sf_dir), "qtot", _WIDE_KEYS)
 
 
+def _wide_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    by_basin = monthly(daily_panel(spark, sf_dir), "qtot", _WIDE_KEYS, ("max",))
+    dates = [r["date"].isoformat() for r in by_basin.select("date").distinct().orderBy("date").collect()]  # one a month
+    return pn.to_wide(by_basin, "qtot", dates, _WIDE_KEYS)
+
+
+# The whole panel: a column for each month that it has.  (SQL with fixed columns cannot say that.)
+@_query()
+def wide_basin_table_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _wide_whole(spark, sf_dir)
+
+
+@_query(f"WITH {_PANEL} SELECT BASIN_ID, NAME, REGION, make_date(year, month, 15) AS date, max(qtot) AS qtot, year, month FROM panel GROUP BY BASIN_ID, NAME, REGION, year, month", dates=("date",))
+def unpivot_long_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pn.to_long(_wide_whole(spark, sf_dir), "qtot", _WIDE_KEYS)
+
+
 _STEPS = ", ".join(f"round(avg(qtot) FILTER (WHERE month = {m}), 6) AS timestep_{m}" for m in range(1, 13))
 
 
@@ -168,9 +185,19 @@ _BY_YEAR = ", ".join(f"""sum(qtot) FILTER (WHERE year = {y}) AS "{y}\"""" for y
 SELECT CAST(n_nationkey AS BIGINT) AS BASIN_ID, n_name AS BCU_name, "1995", "1996", "1997", "1998", 'CWatM' AS Model, 'historical' AS Scenario, 'qtot' AS Variable, 'R12' AS Region, 'km3/year' AS Unit
 FROM nation LEFT JOIN a ON n_nationkey = a.BASIN_ID""")
 def annual_wide_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _annual_wide(spark, sf_dir, _YEARS)
+
+
+@_query()
+def annual_wide_table_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    years = daily_panel(spark, sf_dir).select("year").where("year IS NOT NULL").distinct().orderBy("year").collect()
+    return _annual_wide(spark, sf_dir, [r["year"] for r in years])
+
+
+def _annual_wide(spark: SparkSession, sf_dir: str, years: list[int]) -> DataFrame:
     annual = daily_panel(spark, sf_dir).groupBy("BASIN_ID", "year").agg(F.sum("qtot").alias("value"))
     basins = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("BASIN_ID"), F.col("n_name").alias("BCU_name"))
-    return pn.to_years(annual, basins, _YEARS, {"Model": "CWatM", "Scenario": "historical", "Variable": "qtot", "Region": "R12", "Unit": "km3/year"})
+    return pn.to_years(annual, basins, years, {"Model": "CWatM", "Scenario": "historical", "Variable": "qtot", "Region": "R12", "Unit": "km3/year"})
 
 
 @_query(f"WITH {_JOINED} SELECT BASIN_ID, NAME, REGION, hydro_model, climate_model, ssp_scenario, year, month, round(qtot, 6) AS qtot, date, data_period FROM joined", dates=("date",))
