@@ -342,18 +342,53 @@ def test_windows_cover_every_trigger():
 
 def test_mix_meets_its_targets_and_repeats(spark):
     rng = random.Random(8)
-    data = [(i, " ".join(["w"] * rng.choice([1, 5, 30, 200])), "en", rng.choice(["a", "b", "c", "a", None]), 0) for i in range(1500)]
-    df = spark.createDataFrame(data, DOCS)
+    sizes = [rng.choice([1, 2, 5, 9, 30, 70, 200]) for _ in range(1500)]
+    sizes[::250] = [9_000] * 6  # outliers, each longer than a source's other documents may gain or lose by rounding
+    sources = [rng.choice(["a", "b", "c", "a", None]) for _ in sizes]
+    df = spark.createDataFrame([(i, " ".join(["w"] * n), "en", s, 0) for i, (n, s) in enumerate(zip(sizes, sources))], DOCS)
     out = mixing.mix(df).toPandas()
-    assert len(out) == 1500 and (out.taken <= 3 * out["size"]).all() and (out["size"] == [len(t.split()) for _, t, *_ in sorted(data)]).sum() >= 0
+    assert len(out) == 1500 and (out.taken <= 3 * out["size"]).all() and (out.taken % out["size"] == 0).all()
+    assert out.sort_values("doc_id")["size"].tolist() == sizes
     per = out.groupby(out.source.fillna("~")).agg(target=("target", "first"), taken=("taken", "sum"), size=("size", "sum"), source_size=("source_size", "first"))
     assert (per["size"] == per.source_size).all() and per.target.sum() == pytest.approx(per["size"].sum())
-    assert (abs(per.taken - per.target) <= 200).all()
+    assert (abs(per.taken - per.target) <= 4).all()
     again = mixing.mix(df.repartition(7)).toPandas()
     key = ["doc_id", "taken"]
     assert out[key].sort_values(key).reset_index(drop=True).equals(again[key].sort_values(key).reset_index(drop=True))
 
 
+def test_sources_of_the_test_tables_come_within_one_percent(spark):
+    out = mixing.mix(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).toPandas()
+    per = out.groupby(out.source.fillna("~")).agg(n=("size", "count"), target=("target", "first"), taken=("taken", "sum"))
+    large = per[per.n >= 50]
+    assert len(large) and (abs(large.taken / large.target - 1) < 0.01).all()
+
+
+@pytest.mark.parametrize("reserve", [64, 2])
+def test_mix_expectation_is_each_documents_share(spark, reserve, monkeypatch):
+    monkeypatch.setattr(mixing, "RESERVE", reserve)
+    monkeypatch.setattr(mixing, "FAN", 2)
+    sizes = (1, 1, 2, 3, 5, 8, 8, 13, 21, 40, 300)
+    # Many sources with the same sizes: the even ones are wanted 1.2 times, the odd ones 0.8 times.
+    data = [(i * 100 + k, "w " * n, "en", f"{i:04d}", 0) for i in range(800) for k, n in enumerate(sizes)]
+    out = mixing.mix(spark.createDataFrame(data, DOCS), weights=(3, 2)).toPandas()
+    out["wanted"] = out.target / out.source_size
+    for (_, wanted), own in out.groupby([out.doc_id % 100, out.wanted.round(6)]):
+        assert wanted == pytest.approx(1.2) or wanted == pytest.approx(0.8)
+        assert abs(own.copies.mean() - wanted) < 4 * own.copies.std() / math.sqrt(len(own))  # standard errors
+
+
+def test_repeated_rows_are_rounded_one_by_one(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "CHUNK", 16)
+    same = [(7, "a b c", "en", "s", 5)] * 500
+    df = spark.createDataFrame([*same, (8, "x " * 3000, "en", "t", 1), (7, "c b a", "en", "s", 5)], DOCS)
+    mixed = mixing.mix(df)
+    rows = mixed.where("source = 's'").toPandas()
+    assert len(rows) == 501 and abs(rows.taken.sum() - rows.target.iloc[0]) <= 3 and rows.copies.max() - rows.copies.min() <= 1
+    out = mixing.apply_mix(df).groupBy("text").count().toPandas().set_index("text")["count"]
+    assert out["a b c"] + out["c b a"] == rows.copies.sum() and out["c b a"] in (rows.copies.min(), rows.copies.max())
+
+
 def test_targets_are_water_filling(spark):
     sizes = {"a": 1, "b": 100, "c": 1000, "d": 0, None: 7}
     df = spark.createDataFrame([(i, s, v) for i, (s, v) in enumerate(sizes.items())], "doc_id int, source string, size long")
@@ -374,20 +409,15 @@ def test_targets_are_water_filling(spark):
     assert got == pytest.approx(want)
 
 
-def test_mix_expectation_is_each_documents_share(spark):
-    df = docs_of(spark, ["w " * n for n in (3, 5, 8, 13, 21)]).unionByName(docs_of(spark, ["v " * 40] * 3, "t"))
-    taken = [mixing.mix(df, seed=k).where("source = 's'").groupBy().sum("copies").collect()[0][0] for k in range(12)]
-    assert 0 < np.mean(taken) <= 15
-
-
 def test_mix_and_apply_on_awkward_tables(spark):
     df = awkward(spark)
     mixed = mixing.mix(df)
     rows = mixed.collect()
     assert len(rows) == df.count()
-    out = mixing.apply_mix(df, mixed)
-    assert out.columns == df.columns and out.count() == sum(r["copies"] for r in rows)
-    assert mixing.mix(empty(spark)).count() == 0 and mixing.apply_mix(empty(spark), mixing.mix(empty(spark))).count() == 0
+    out = mixing.apply_mix(df)
+    assert out.columns == df.columns and abs(sum(r["taken"] for r in rows) - mixing.sized(out).groupBy().sum("size").collect()[0][0]) <= 60_000
+    assert {tuple(r) for r in out.collect()} <= {tuple(r) for r in df.collect()}
+    assert mixing.mix(empty(spark)).count() == 0 and mixing.apply_mix(empty(spark)).count() == 0
     nothing = docs_of(spark, [None, ""])
     assert {(r["target"], r["taken"]) for r in mixing.mix(nothing).collect()} == {(0.0, 0)}
 
