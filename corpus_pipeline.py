@@ -18,7 +18,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from tarnflow.llm.common import ensure_checkpoint_dir, read_table
-from tarnflow.llm.mixing import apply_mix, mix
+from tarnflow.llm.mixing import apply_mix
 from tarnflow.llm.packing import pack_documents
 from tarnflow.llm.pii import redact
 from tarnflow.llm.simhash import keep_one
@@ -42,7 +42,7 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its source's target weight asks."""
-    return apply_mix(docs, mix(docs))
+    return apply_mix(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
