@@ -4,22 +4,30 @@ A word goes if a window of `window` words that covers it also occurs in a
 document with a smaller id.  Nothing is sampled; the work is cut down in steps
 that can't lose a window:
 
-1. Blocks.  Documents are dealt by a hash of their id into blocks of bounded
+1. Blocks.  Documents are dealt by a hash of id and text into blocks of bounded
    bytes.  Each window has a seed: the `seed`-word phrase in it with the least
    hash.  Equal windows have equal seeds, and neighbouring windows mostly share
    theirs, so a block has one seed for about five words.  Blocks send the
    distinct seeds with their number of documents to shards by hash; a seed of
    two documents or more recurs.  One block sends one row's worth for a seed,
    however many of its documents have it.
-2. Passages.  Windows around a recurring seed go out as segments (at most
-   2 * window - seed words), by their seed, to shards.  A shard confirms which
-   windows are in two documents or more, compiles an Aho-Corasick automaton of
-   these, and streams all its segments through it: each occurrence is located
-   word by word, and is marked if the window's first document is a smaller one.
-   Seeds in over `hot` documents go as single windows by the window's own hash,
-   one per block, so that no shard gathers a phrase that a third of all
-   documents share; the block then finds its other occurrences itself.
-3. The marks go back to the blocks, which cut the words out.
+2. Confirmation.  Windows around a recurring seed go out as segments (at most
+   2 * window - seed words), by their seed, to shards: each distinct text once a
+   block, with the least and largest document that has it there.  A shard
+   confirms, word by word, which windows are in two documents or more, and each
+   one's smallest document.  Seeds in over `hot` documents go as single windows
+   by the window's own hash, so that no shard gathers a phrase that a third of
+   all documents share.
+3. Location.  The confirmed passages (a segment's runs of recurring windows, with
+   their first documents) go back to the blocks that sent them.  Each block
+   compiles them into Aho-Corasick automata of bounded size and streams its whole
+   documents through: what the automata report is where the passages are, in
+   whichever documents, and nothing else says so.  Words of a window whose first
+   document is a smaller one are cut out.
+
+Automata read words, not bytes: each word is a fixed number of symbols, the n-th
+of them from an alphabet of its own, so a passage matches at word boundaries only
+and no state has more than 256 successors.
 
 Documents are shuffled once (all three steps read that exchange).
 """
@@ -39,6 +47,8 @@ from .common import encode, mix, partitions, split_words, string_hashes
 
 BLOCK_BYTES = 4 << 20
 SHARD_BYTES = 2 << 20
+#: Symbols of passages in one automaton (about 100 bytes each); a block with more compiles several.
+AUTOMATON = 1 << 20
 _LAST = np.iinfo(np.int64).max
 
 
@@ -50,6 +60,7 @@ class Block:
     doc: np.ndarray  # id of each document; null ids as the largest number
     offsets: np.ndarray  # words of document i: offsets[i]:offsets[i + 1]
     word: np.ndarray  # hash of each word
+    code: np.ndarray  # number of each word within the block
     text: memoryview  # all documents' words, joined by one space within a document
     begin: np.ndarray  # first byte of each word
     end: np.ndarray
@@ -77,7 +88,7 @@ def read_block(table: pa.Table) -> Block:
     shift[some] = at[:-1][some] - run[offsets[:-1][some]]
     begin = run + np.repeat(shift, counts)
     data = joined.buffers()[2] if len(joined) else None
-    return Block(order.to_numpy(), doc, offsets, string_hashes(distinct)[codes], memoryview(data) if data is not None else memoryview(b""), begin, begin + length)
+    return Block(order.to_numpy(), doc, offsets, string_hashes(distinct)[codes], codes, memoryview(data) if data is not None else memoryview(b""), begin, begin + length)
 
 
 @dataclass
@@ -139,25 +150,21 @@ def _first(table: pa.Table, name: str) -> int:
     return table.column(name)[0].as_py()
 
 
-def locate_segments(texts: list[bytes], text: np.ndarray, doc: np.ndarray, window: int) -> np.ndarray:
-    """Per segment (its text's index, its document) the bits of its windows that a smaller document has.
+def confirm(texts: list[bytes], low: np.ndarray, high: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Recurring windows of the texts: index of the text, number of the window in it, smallest document.
 
-    Windows are grouped by a hash of their words; a group's members are compared
-    word by word with its first, so the groups are exact.  The automaton holds
-    the passages, maximal runs of windows that two documents have or more, with
-    each window's smallest id; every text that has such a window streams through.
+    A text is in documents from low to high (equal: in one alone).  Windows are
+    grouped by a hash of their words; a group's members are compared word by
+    word with its first, so the groups are exact.
     """
-    mark = np.zeros(len(text), "<u2")
-    low, high = np.full(len(texts), _LAST), np.full(len(texts), np.iinfo(np.int64).min)
-    np.minimum.at(low, text, doc)
-    np.maximum.at(high, text, doc)
     flat, offsets = split_words(pa.array(texts, pa.large_binary()).cast(pa.large_string()))
-    codes, distinct = encode(flat)
+    codes, _ = encode(flat)
     counts = np.maximum(np.diff(offsets) - window + 1, 0)
     of = np.repeat(np.arange(len(texts)), counts)
-    at = offsets[:-1][of] + np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
+    nth = np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
+    at = offsets[:-1][of] + nth
     if not len(at):
-        return mark
+        return of, nth, at
     groups, first, group = np.unique(_rolling(mix(codes.astype(np.uint64) + np.uint64(1)), window)[at], return_index=True, return_inverse=True)
     alike = np.ones(len(at), bool)
     for k in range(window):
@@ -170,49 +177,110 @@ def locate_segments(texts: list[bytes], text: np.ndarray, doc: np.ndarray, windo
     np.minimum.at(least, group, low[of])
     np.maximum.at(most, group, high[of])
     shared = (least < most)[group]
-    if not shared.any():
-        return mark
-    # Passages: a text's maximal runs of shared windows, each once, with the windows' first documents.
-    begins = shared.copy()
-    begins[1:] &= ~shared[:-1] | (of[1:] != of[:-1])
-    ends = shared.copy()
-    ends[:-1] &= ~shared[1:] | (of[1:] != of[:-1])
-    owner = least[group]
-    words = tuple(codes.tolist())
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-    for a, b in zip(np.flatnonzero(begins).tolist(), np.flatnonzero(ends).tolist()):
-        run = words[at[a] : at[b] + window]
-        if run not in automaton:
-            automaton.add_word(run, owner[a : b + 1])
-    automaton.make_automaton()
-    order = np.argsort(text, kind="stable")
-    begin = np.searchsorted(text[order], np.arange(len(texts) + 1)).tolist()
-    bounds = offsets.tolist()
-    bits = 1 << np.arange(16)
-    for t in np.unique(of[shared]).tolist():
-        own = order[begin[t] : begin[t + 1]]
-        for end, owners in automaton.iter(words[bounds[t] : bounds[t + 1]]):
-            here = bits[end + 2 - window - len(owners) :][: len(owners)]
-            mark[own] |= ((owners[None, :] < doc[own][:, None]) * here[None, :]).sum(axis=1).astype("<u2")
-    return mark
+    return of[shared], nth[shared], least[group][shared]
+
+
+class Stream:
+    """A block's documents as one text of symbols, a mark after each document."""
+
+    def __init__(self, block: Block):
+        size, docs = len(block.code), len(block.doc)
+        counts = np.diff(block.offsets)
+        self.place = np.arange(size) + np.repeat(np.arange(docs), counts)  # of each word, counted in words and marks
+        distinct = int(block.code.max(initial=0)) + 1
+        line = np.full(size + docs, distinct)
+        line[self.place] = block.code
+        self.word = np.cumsum(np.bincount(self.place, minlength=size + docs)) - 1  # of each place that has one
+        self.width = max(1, -(-distinct.bit_length() // 8))
+        symbols = np.empty((len(line), self.width), "<u4")
+        for k in range(self.width):
+            symbols[:, k] = 0x100 + (k << 8) + (line >> (8 * k) & 0xFF)
+        self.text = symbols.tobytes().decode("utf-32-le")
+
+    def phrase(self, first: int, words: int) -> str:
+        a = int(self.place[first]) * self.width
+        return self.text[a : a + words * self.width]
+
+    def matches(self, passages: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Every occurrence of every passage (all distinct): first word, and passage."""
+        last, which = [], []
+        begin = 0
+        while begin < len(passages):
+            automaton, room, end = ahocorasick.Automaton(), AUTOMATON, begin
+            while end < len(passages) and (room > 0 or end == begin):
+                automaton.add_word(passages[end], end)
+                room -= len(passages[end])
+                end += 1
+            automaton.make_automaton()
+            found = list(automaton.iter(self.text))
+            last.append(np.fromiter((x for x, _ in found), np.int64, len(found)))
+            which.append(np.fromiter((x for _, x in found), np.int64, len(found)))
+            begin = end
+        if not last:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        which = np.concatenate(which)
+        words = np.array([len(x) // self.width for x in passages])
+        return self.word[np.concatenate(last) // self.width - words[which] + 1], which
+
+
+def locate(block: Block, piece: np.ndarray, first: np.ndarray, owner: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Words in a recurring window, and of these the words in one that a smaller document has.
+
+    first: where a confirmed window begins in the block (one of its occurrences), by piece and
+    ascending within it; owner: its smallest document.  A piece's runs of windows are the passages;
+    they aren't joined across pieces, as another document may have one piece without the next.
+    """
+    size = len(block.code)
+    stream = Stream(block)
+    begins = np.ones(len(first), bool)
+    begins[1:] = (np.diff(first) != 1) | (np.diff(piece) != 0)
+    starts = np.flatnonzero(begins)
+    known: dict[str, int] = {}
+    chosen = []
+    for a, n in zip(starts.tolist(), np.diff(np.append(starts, len(first))).tolist()):
+        phrase = stream.phrase(first[a], n + window - 1)
+        if phrase not in known:
+            known[phrase] = len(known)
+            chosen.append((a, n))
+    at, which = stream.matches(list(known))
+    run = np.array(chosen, np.int64).reshape(-1, 2)
+    n = run[which, 1]
+    nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    window_at = np.repeat(at, n) + nth
+    doc = np.repeat(block.doc, np.diff(block.offsets))
+    earlier = owner[np.repeat(run[which, 0], n) + nth] < doc[window_at]
+
+    def covered(starts: np.ndarray) -> np.ndarray:
+        change = np.bincount(starts, minlength=size + 1) - np.bincount(starts + window, minlength=size + 1)
+        return np.cumsum(change)[:size] > 0
+
+    return covered(window_at), covered(window_at[earlier])
 
 
 def remove_repeats(docs: DataFrame, window: int = 13, seed: int = 5, hot: int = 512) -> DataFrame:
-    """Per row of docs: doc_id, n_words, n_removed, kept_text, removed.
+    """Per row of docs: doc_id, n_words, n_removed, kept_text, removed, n_recurring.
 
     kept_text is the kept words joined by one space; removed holds word spans
-    (from 0, end exclusive).  Null and empty texts have no words.  Repeated ids
-    are one document's: they don't remove each other's words.  A null id counts
-    as larger than any other.  Columns other than doc_id and text are ignored.
+    (from 0, end exclusive); n_recurring counts the words of every located
+    passage, the first document's included.  Null and empty texts have no words.
+    Long texts are searched whole, in one block.  Repeated ids are one document's: they
+    don't remove each other's words.  A null id counts as larger than any other.
+    Rows equal in id and text share a block; others are spread, whatever their
+    ids.  Columns other than doc_id and text are ignored.  An empty table gives
+    no rows.
     """
     spark = docs.sparkSession
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     size = base.agg(F.sum(F.octet_length("text")).alias("n")).collect()[0]["n"] or 0
     blocks = max(partitions(spark), -(-size // BLOCK_BYTES))
     shards = max(partitions(spark), -(-size // SHARD_BYTES))
-    dealt = base.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"))
+    dealt = base.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
     by_block = lambda: dealt.groupBy("block")
 
+    binaries = lambda *names: [(x, pa.binary()) for x in names]
+    pieces = pa.schema([("shard", pa.int32()), ("block", pa.int32()), *binaries("number", "low", "high", "texts")])
+    passages = pa.schema([("block", pa.int32()), *binaries("number", "mark", "owner")])
+
     def shard_of(h: np.ndarray) -> np.ndarray:
         return (mix(h) % np.uint64(shards)).astype(np.int64)
 
@@ -243,10 +311,13 @@ def remove_repeats(docs: DataFrame, window: int = 13, seed: int = 5, hot: int =
         rows = _rows(block[order], 0, {"seeds": h[order], "hot": (total[at] > hot)[order].astype(np.uint8)})
         return pa.table({"block": rows["shard"], "seeds": rows["seeds"], "hot": rows["hot"]}, schema=pa.schema([("block", pa.int32()), ("seeds", pa.binary()), ("hot", pa.binary())]))
 
-    def send_segments(table: pa.Table, known: pa.Table) -> pa.Table:
-        schema = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("texts", pa.binary()), ("segment", pa.binary()), ("doc", pa.binary()), ("text", pa.binary())])
+    def send_pieces(table: pa.Table, known: pa.Table) -> pa.Table:
+        """Segments of recurring seeds and windows of hot ones, each text once.
+
+        A segment's number is its own; a window's is that of its first word after those of all segments.
+        """
         if not table.num_rows or not known.num_rows:
-            return schema.empty_table()
+            return pieces.empty_table()
         block = read_block(table)
         s = segments(block, window, seed)
         seeds, _ = _joined(known.column("seeds"), "<u8")
@@ -256,87 +327,62 @@ def remove_repeats(docs: DataFrame, window: int = 13, seed: int = 5, hot: int =
         at = np.minimum(np.searchsorted(seeds, s.seed), len(seeds) - 1)
         found = seeds[at] == s.seed
         cool, warm = np.flatnonzero(found & (is_hot[at] == 0)), np.flatnonzero(found & (is_hot[at] == 1))
-        first, past, to, number, doc = s.first[cool], s.first[cool] + s.count[cool] + window - 1, shard_of(s.seed[cool]), cool, s.doc[cool]
-        if len(warm):
-            # Of each window of a hot seed, the occurrence in the block's first document.
-            each = np.repeat(s.first[warm], s.count[warm]) + np.concatenate([np.arange(c) for c in s.count[warm]])
-            whole = _rolling(block.word, window)[each]
-            of = np.repeat(s.doc[warm], s.count[warm])
-            texts = [block.phrase(a, a + window) for a in each.tolist()]
-            seen: dict[bytes, int] = {}
-            for k in np.lexsort((each, of)).tolist():
-                seen.setdefault(texts[k], k)
-            pick = np.array(sorted(seen.values()), np.int64)
-            first, past = np.concatenate([first, each[pick]]), np.concatenate([past, each[pick] + window])
-            to, number = np.concatenate([to, shard_of(whole[pick])]), np.concatenate([number, len(s.first) + each[pick]])
-            doc = np.concatenate([doc, of[pick]])
-        order = np.argsort(to, kind="stable")
-        first, past, to, number, doc = (x[order] for x in (first, past, to, number, doc))
-        out: dict[str, list] = {name: [] for name in schema.names}
-        cuts = np.flatnonzero(np.diff(to, prepend=-1)).tolist() if len(to) else []
-        for a, b in zip(cuts, [*cuts[1:], len(to)]):
-            distinct: dict[bytes, int] = {}
-            text = [distinct.setdefault(block.phrase(x, y), len(distinct)) for x, y in zip(first[a:b].tolist(), past[a:b].tolist())]
-            out["shard"].append(int(to[a]))
-            out["block"].append(_first(table, "block"))
-            out["texts"].append(b"\n".join(distinct))
-            out["segment"].append(number[a:b].astype("<u4").tobytes())
-            out["doc"].append(doc[a:b].tobytes())
-            out["text"].append(np.array(text, "<u4").tobytes())
-        return pa.table(out, schema=schema)
-
-    def locate(table: pa.Table) -> pa.Table:
-        texts: dict[bytes, int] = {}
-        place = []
-        for x, of in zip(table.column("texts").to_pylist(), table.column("text").to_pylist()):
-            own = np.array([texts.setdefault(t, len(texts)) for t in x.split(b"\n")], np.int64)
-            place.append(own[np.frombuffer(of, "<u4")])
-        text = np.concatenate(place)
-        segment, row = _joined(table.column("segment"), "<u4")
-        doc, _ = _joined(table.column("doc"), np.int64)
-        mark = locate_segments(list(texts), text, doc, window)
+        count = s.count[warm]
+        each = np.repeat(s.first[warm], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        first = np.concatenate([s.first[cool], each])
+        past = np.concatenate([s.first[cool] + s.count[cool], each + 1]) + window - 1
+        doc = np.concatenate([s.doc[cool], np.repeat(s.doc[warm], count)])
+        number = np.concatenate([cool, len(s.first) + each])
+        to = shard_of(np.concatenate([s.seed[cool], _rolling(block.word, window)[each] if len(each) else np.zeros(0, np.uint64)]))
+        distinct: dict[bytes, int] = {}
+        text = np.array([distinct.setdefault(block.phrase(x, y), len(distinct)) for x, y in zip(first.tolist(), past.tolist())], np.int64)
+        low, high = np.full(len(distinct), _LAST), np.full(len(distinct), np.iinfo(np.int64).min)
+        np.minimum.at(low, text, doc)
+        np.maximum.at(high, text, doc)
+        _, one = np.unique(text, return_index=True)  # an occurrence of each text
+        order = np.argsort(to[one], kind="stable")
+        texts = np.array(list(distinct), object)[order] if len(distinct) else np.zeros(0, object)
+        rows = _rows(to[one][order], _first(table, "block"), {"number": number[one][order].astype("<u4"), "low": low[order], "high": high[order]})
+        ends = np.cumsum([len(x) // 8 for x in rows["low"]]).tolist()
+        rows["texts"] = [b"\n".join(texts[a:b].tolist()) for a, b in zip([0, *ends], ends)]
+        return pa.table(rows, schema=pieces)
+
+    def confirmed(table: pa.Table) -> pa.Table:
+        known: dict[bytes, int] = {}
+        text = np.array([known.setdefault(t, len(known)) for x in table.column("texts").to_pylist() for t in x.split(b"\n")], np.int64)
+        number, row = _joined(table.column("number"), "<u4")
+        low, high = np.full(len(known), _LAST), np.full(len(known), np.iinfo(np.int64).min)
+        np.minimum.at(low, text, _joined(table.column("low"), np.int64)[0])
+        np.maximum.at(high, text, _joined(table.column("high"), np.int64)[0])
+        of, nth, owner = confirm(list(known), low, high, window)
+        mark = np.bincount(of, np.left_shift(1, nth), len(known)).astype("<u2")
+        begin = np.searchsorted(of, np.arange(len(known) + 1))
         block = table.column("block").to_numpy()[row]
         order = np.argsort(block, kind="stable")
-        rows = _rows(block[order], 0, {"segment": segment[order], "mark": mark[order]})
-        return pa.table({"block": rows["shard"], "segment": rows["segment"], "mark": rows["mark"]}, schema=pa.schema([("block", pa.int32()), ("segment", pa.binary()), ("mark", pa.binary())]))
+        order = order[mark[text[order]] > 0]
+        rows = _rows(block[order], 0, {"number": number[order], "mark": mark[text[order]]})
+        ends = np.cumsum([len(x) // 4 for x in rows["number"]]).tolist()
+        own = text[order].tolist()
+        rows["owner"] = [b"".join(owner[begin[t] : begin[t + 1]].tobytes() for t in own[a:b]) for a, b in zip([0, *ends], ends)]
+        return pa.table({"block": rows["shard"], **{x: rows[x] for x in ("number", "mark", "owner")}}, schema=passages)
 
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    result = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string()), ("removed", span)])
+    result = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string()), ("removed", span), ("n_recurring", pa.int64())])
 
-    def cut_out(table: pa.Table, marks: pa.Table) -> pa.Table:
+    def cut_out(table: pa.Table, found: pa.Table) -> pa.Table:
         if not table.num_rows:
             return result.empty_table()
         block = read_block(table)
-        hit = np.zeros(len(block.word) + 1, np.int64)  # windows that begin here less those that ended
-        if marks.num_rows:
+        recurs = gone = np.zeros(len(block.word), bool)
+        if found.num_rows:
             s = segments(block, window, seed)
-            number, _ = _joined(marks.column("segment"), "<u4")
-            mark, _ = _joined(marks.column("mark"), "<u2")
+            number, _ = _joined(found.column("number"), "<u4")
+            mark, _ = _joined(found.column("mark"), "<u2")
+            owner, _ = _joined(found.column("owner"), np.int64)
             number = number.astype(np.int64)
-            cool = (number < len(s.first)) & (mark > 0)
-            starts = [s.first[number[cool][mark[cool] >> b & 1 == 1]] + b for b in range(window - seed + 1)]
-            warm = np.flatnonzero(number >= len(s.first))
-            if len(warm):
-                # Other occurrences in the block of a hot window: by hash, then word by word.
-                rep = number[warm] - len(s.first)
-                whole = _rolling(block.word, window)
-                counts = np.diff(block.offsets)
-                in_doc = np.repeat(np.arange(len(counts)), counts)
-                order = np.argsort(whole[rep], kind="stable")
-                rep, gone = rep[order], mark[warm][order] > 0
-                key = whole[rep]
-                at = np.minimum(np.searchsorted(key, whole), len(key) - 1)
-                same = np.flatnonzero(key[at] == whole)
-                same = same[same + window <= block.offsets[in_doc[same] + 1]]
-                by_text: dict[bytes, int] = {block.phrase(r, r + window): k for k, r in enumerate(rep.tolist())}
-                for p in same.tolist():
-                    k = by_text.get(block.phrase(p, p + window))
-                    if k is not None and (gone[k] or block.doc[in_doc[p]] > block.doc[in_doc[rep[k]]]):
-                        starts.append(np.array([p]))
-            starts = np.concatenate(starts)
-            np.add.at(hit, starts, 1)
-            np.add.at(hit, starts + window, -1)
-        gone = np.cumsum(hit)[:-1] > 0
+            first = np.where(number < len(s.first), np.append(s.first, 0)[np.minimum(number, len(s.first))], number - len(s.first))
+            piece, nth = np.nonzero(mark[:, None] >> np.arange(16)[None, :] & 1)
+            recurs, gone = locate(block, piece, first[piece] + nth, owner, window)
         out: dict[str, list] = {name: [] for name in result.names}
         for d in range(len(block.doc)):
             a, b = int(block.offsets[d]), int(block.offsets[d + 1])
@@ -345,6 +391,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, seed: int = 5, hot: int =
             out["doc_id"].append(None if block.doc[d] == _LAST else int(block.doc[d]))
             out["n_words"].append(b - a)
             out["n_removed"].append(int(own.sum()))
+            out["n_recurring"].append(int(recurs[a:b].sum()))
             out["removed"].append([{"start": x, "end": y} for x, y in edges.tolist()])
             kept = [0, *edges.ravel().tolist(), b - a]
             out["kept_text"].append(b" ".join(block.phrase(a + x, a + y) for x, y in zip(kept[::2], kept[1::2]) if y > x).decode())
@@ -352,6 +399,6 @@ def remove_repeats(docs: DataFrame, window: int = 13, seed: int = 5, hot: int =
 
     seeds = by_block().applyInArrow(send_seeds, "shard int, block int, seeds binary, counts binary")
     known = seeds.groupBy("shard").applyInArrow(recurring, "block int, seeds binary, hot binary")
-    sent = by_block().cogroup(known.groupBy("block")).applyInArrow(send_segments, "shard int, block int, texts binary, segment binary, doc binary, text binary")
-    marks = sent.groupBy("shard").applyInArrow(locate, "block int, segment binary, mark binary")
-    return by_block().cogroup(marks.groupBy("block")).applyInArrow(cut_out, "doc_id long, n_words long, n_removed long, kept_text string, removed array<struct<start: long, end: long>>")
+    sent = by_block().cogroup(known.groupBy("block")).applyInArrow(send_pieces, "shard int, block int, number binary, low binary, high binary, texts binary")
+    back = sent.groupBy("shard").applyInArrow(confirmed, "block int, number binary, mark binary, owner binary")
+    return by_block().cogroup(back.groupBy("block")).applyInArrow(cut_out, "doc_id long, n_words long, n_removed long, kept_text string, removed array<struct<start: long, end: long>>, n_recurring long")

@@ -118,10 +118,34 @@ def test_repeats_on_awkward_and_empty_tables(spark):
     assert substring.remove_repeats(empty(spark)).count() == 0
 
 
-def test_segments_of_windows_with_one_hash_are_told_apart():
-    texts = [b"a b c d", b"a b c e"]
-    mark = substring.locate_segments(texts, np.array([0, 0, 1]), np.array([4, 9, 2]), 3)
-    assert mark.tolist() == [0b01, 0b11, 0b00]
+def test_windows_in_two_documents_are_confirmed():
+    of, nth, owner = substring.confirm([b"a b c d", b"a b c e", b"x y z"], np.array([4, 2, 7]), np.array([9, 2, 7]), 3)
+    assert list(zip(of.tolist(), nth.tolist(), owner.tolist())) == [(0, 0, 2), (0, 1, 4), (1, 0, 2)]
+
+
+@pytest.mark.parametrize("limit", [1 << 20, 40])
+def test_automata_find_what_no_other_step_says(limit, monkeypatch):
+    """One occurrence of each passage is known; the documents hold more of them."""
+    monkeypatch.setattr(substring, "AUTOMATON", limit)
+    rng = random.Random(2)
+    lists = [[rng.choice("abc") + rng.choice(["", "é", "bc"]) for _ in range(rng.randint(0, 60))] for _ in range(40)]
+    table = pa.table({"doc_id": pa.array(range(40), pa.int64()), "text": [" ".join(x) for x in lists]})
+    block = substring.read_block(table)
+    spots: dict = {}
+    for d, own in enumerate(lists):
+        for k in range(len(own) - 3):
+            spots.setdefault(tuple(own[k : k + 4]), []).append((int(block.offsets[d]) + k, d))
+    chosen = sorted((spots[w][-1][0], spots[w][0][1]) for w in sorted(spots)[::3])  # the last occurrence, the first document
+    first, owner = (np.array(x) for x in zip(*chosen))
+    recurs, gone = substring.locate(block, np.arange(len(first)), first, owner, 4)
+    want = np.zeros((2, len(block.word)), bool)
+    for w in sorted(spots)[::3]:
+        for at, d in spots[w]:
+            want[0, at : at + 4] = True
+            want[1, at : at + 4] |= spots[w][0][1] < d
+    assert (recurs == want[0]).all() and (gone == want[1]).all() and gone.any()
+    monkeypatch.setattr(substring.Stream, "matches", lambda self, passages: (np.zeros(0, np.int64), np.zeros(0, np.int64)))
+    assert not substring.locate(block, np.arange(len(first)), first, owner, 4)[0].any()
 
 
 # SimHash ------------------------------------------------------------------------------------
