@@ -8,24 +8,30 @@ block of columns if that estimate exceeds the query's k-th best distance by
 more than the test allows, (1 + epsilon / sqrt(d)); what is left after all
 columns is scored exactly, on the original vectors in double precision.
 
-Centroids come from a bounded sample (about `sample` rows, or 16 a list if more); every row is indexed.
-Lists beyond `CELL` rows are split, so that no task holds a hot list.  A query's
-nearest list is searched first; its k-th best distance there starts the tests
-in the other lists.
+Centroids come from a bounded sample (about `sample` rows, or 16 a list if more);
+every row is indexed.  Lists lie side by side on a line as long as the table, and
+equal stretches of that line are the cells that tasks hold: a hot list covers many
+cells, small ones share one.  A query goes once to each cell that holds a list it
+probes, with these lists' numbers.
+
+A query's nearest list is searched first; its k-th best distance there starts the
+tests in the other lists.  How many of these are probed is measured: the sample's
+own rows are searched in the sample, and the nearest lists that hold `recall` of
+their true neighbours are enough for all (the sample is sparser than the table, so
+its neighbours are farther off and spread over more lists).  Of them a query skips
+those that lie, by angle to the centre less the list's radius, beyond its k-th best.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, sampled
-from .vectors import best, first_of_equals, matrix, ranked, usable
+from .common import cut, partitions, sampled
+from .vectors import CELL, best, first_of_equals, matrix, meet, ranked, usable
 
-CELL = 8192
 #: Below this share of pairs left, pairs are handled one by one; else block by block.
 SPARSE = 0.02
 
@@ -47,25 +53,69 @@ def centroids(sample: np.ndarray, lists: int, rounds: int = 12, seed: int = 31)
     lists = min(lists, len(sample))
     c = sample[rng.choice(len(sample), lists, replace=False)] if lists else np.zeros((0, sample.shape[1]))
     for _ in range(rounds):
-        near = sample @ c.T
-        of = near.argmax(axis=1)
+        of, close = nearest_centres(sample, c)
+        order = np.argsort(of, kind="stable")
+        held, first = np.unique(of[order], return_index=True)
         total = np.zeros_like(c)
-        np.add.at(total, of, sample)
+        if len(held):
+            total[held] = np.add.reduceat(sample[order], first, axis=0)
         empty = np.flatnonzero(np.bincount(of, minlength=lists) == 0)
-        far = np.argsort(near.max(axis=1), kind="stable")[: len(empty)]
-        total[empty] = sample[far]
+        total[empty] = sample[np.argsort(close, kind="stable")[: len(empty)]]
         size = np.linalg.norm(total, axis=1, keepdims=True)
         c = np.where(size > 1e-12, total / np.maximum(size, 1e-12), c)
     return c
 
 
-def scan(q: np.ndarray, q_id: np.ndarray, limit: np.ndarray, v: np.ndarray, v_id: np.ndarray, turn: np.ndarray, k: int, columns: int = 16, epsilon: float = 2.1, step: int = 1024) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each query's k best of the cell: query index, id, cosine.  limit: squared distance beyond which none counts."""
-    dims = q.shape[1]
-    uq, uv = unit(q), unit(v)
-    rq, rv = uq @ turn, uv @ turn
+def nearest_centres(rows: np.ndarray, c: np.ndarray, chunk: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's centre and its cosine, a chunk of rows at a time."""
+    of, close = np.zeros(len(rows), np.int64), np.zeros(len(rows))
+    for a in range(0, len(rows), chunk):
+        near = rows[a : a + chunk] @ c.T
+        of[a : a + chunk] = near.argmax(axis=1)
+        close[a : a + chunk] = near.max(axis=1)
+    return of, close
+
+
+def enough_probes(sample: np.ndarray, centres: np.ndarray, k: int, recall: float, queries: int = 512) -> int:
+    """How many of a row's nearest lists hold `recall` of the sample rows' k true neighbours."""
+    if len(sample) < 2:
+        return 1
+    of, _ = nearest_centres(sample, centres)
+    ranks = []
+    asked = np.unique(np.linspace(0, len(sample) - 1, queries).astype(int))
+    for a in range(0, len(asked), 64):
+        own = asked[a : a + 64]
+        close = sample[own] @ sample.T
+        close[np.arange(len(own)), own] = -np.inf
+        count = min(k, len(sample) - 1)
+        true = np.argpartition(-close, count - 1, axis=1)[:, :count]
+        rank = np.argsort(np.argsort(-(sample[own] @ centres.T), axis=1, kind="stable"), axis=1)
+        ranks.append(np.take_along_axis(rank, of[true], axis=1).ravel())
+    ranks = np.sort(np.concatenate(ranks))
+    return int(ranks[min(len(ranks) - 1, int(np.ceil(recall * len(ranks))) - 1)]) + 1
+
+
+class Cell:
+    """Candidates by list: original vectors, unit ones, and these rotated."""
+
+    def __init__(self, v: np.ndarray, ids: np.ndarray, lists: np.ndarray, turn: np.ndarray):
+        order = np.argsort(lists, kind="stable")
+        self.ids, self.turn = ids[order], turn
+        self.units = unit(v[order])
+        self.turned = self.units @ turn
+        self.numbers, self.begins = np.unique(lists[order], return_index=True)
+        self.begins = np.append(self.begins, len(ids))
+
+
+def scan(uq: np.ndarray, rq: np.ndarray, q_id: np.ndarray, limit: np.ndarray, uv: np.ndarray, rv: np.ndarray, v_id: np.ndarray, k: int, columns: int = 16, epsilon: float = 2.1, step: int = 1024) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Each query's k best of one list: query index, id, cosine; and the limits, lowered.
+
+    uq, uv: unit vectors; rq, rv: the same, rotated.  limit: squared distance beyond which none counts.
+    """
+    dims = uq.shape[1]
     limit = limit.astype(float).copy()
     held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+    q, v = rq, rv
     for a in range(0, len(v), step):
         own = slice(a, a + step)
         # Blocks of columns for all pairs, until few are left; then for those alone.
@@ -94,63 +144,117 @@ def scan(q: np.ndarray, q_id: np.ndarray, limit: np.ndarray, v: np.ndarray, v_id
         worst = np.full(len(q), np.inf)
         np.minimum.at(worst, held[0], held[2])
         limit = np.where(full, np.minimum(limit, np.maximum(2 - 2 * worst, 0.0)), limit)
-    return held[0], held[1], held[2]
+    return held[0], held[1], held[2], limit
 
 
-def nearest(vectors: DataFrame, k: int = 5, every: int = 50, lists: int | None = None, probes: int | None = None, sample: int = 8192, epsilon: float = 2.1) -> DataFrame:
+def search_cell(cell: Cell, q: np.ndarray, q_id: np.ndarray, limit: np.ndarray, probes: list[np.ndarray], k: int, epsilon: float = 2.1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each query's k best of its probed lists in the cell: query index, id, cosine."""
+    uq = unit(q)
+    rq = uq @ cell.turn
+    owner = np.repeat(np.arange(len(q)), [len(x) for x in probes])
+    probed = np.concatenate(probes) if len(probes) else np.zeros(0, np.int64)
+    found = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+    limit = limit.astype(float).copy()
+    for number, a, b in zip(cell.numbers, cell.begins, cell.begins[1:]):
+        who = owner[probed == number]
+        if not len(who):
+            continue
+        i, ident, score, lowered = scan(uq[who], rq[who], q_id[who], limit[who], cell.units[a:b], cell.turned[a:b], cell.ids[a:b], k, epsilon=epsilon)
+        limit[who] = lowered
+        found = [np.concatenate(x) for x in zip(found, (who[i], ident, score))]
+    top = best(found[0], found[2], found[1], k)
+    return tuple(x[top] for x in found)
+
+
+def nearest(vectors: DataFrame, k: int = 5, every: int = 50, lists: int | None = None, probes: int | None = None, sample: int = 8192, epsilon: float = 2.1, recall: float = 0.97) -> DataFrame:
     """query_id, rank, vec_id, score (cosine) for the rows whose id is divisible by `every`.
 
     Shorter vectors count as having zeros up to the longest's length.  Rows
     without an id, without a vector, with a null or non-finite component or of
-    length zero take no part; rows of the query's own id are no candidates.
-    Equal scores rank by id.  Lists default to half the square root of the
-    number of rows (16 to 4096), probes to two thirds of the lists: high, since
-    vectors may be near-random, where neighbours are spread over many lists.
+    length zero take no part; repeated rows count once, and of one id's different
+    vectors the least, component by component; rows of the query's own id are no
+    candidates.  Scores are cosines of the vectors, each divided by its length
+    first; equal ones rank by id, and parallel vectors of different lengths tie up
+    to the rounding of that division.  Further columns are ignored.  An empty
+    table gives no rows.  Lists default to half the square root of the number of
+    rows (16 to 4096), probes to what the sample's recall asks for.
     """
     spark = vectors.sparkSession
-    rows = cut(usable(vectors).where(F.exists("v", lambda x: x != 0)).dropDuplicates(["vec_id"]))
+    rows = cut(usable(vectors).where(F.exists("v", lambda x: x != 0)))
     facts = rows.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("width")).collect()[0]
     width, lists = max(1, facts["width"] or 1), lists or int(min(4096, max(16, round(facts["n"] ** 0.5 / 2))))
-    probes = min(lists, probes or -(-2 * lists // 3))
     drawn = sampled(rows, max(sample, 16 * lists), facts["n"], F.col("vec_id")).toArrow().sort_by("vec_id")
-    centres = centroids(unit(matrix(drawn.column("v"), width)), lists) if drawn.num_rows else np.zeros((1, width))
+    units = unit(matrix(drawn.column("v"), width)) if drawn.num_rows else np.zeros((0, width))
+    centres = centroids(units, lists) if len(units) else np.zeros((1, width))
+    probes = min(len(centres), probes or enough_probes(units, centres, k, recall))
     shared = spark.sparkContext.broadcast((centres, rotation(width)))  # lists * width numbers
 
-    def place(n: int):
+    def place(batches):
+        for batch in batches:
+            of, close = nearest_centres(unit(matrix(batch.column("v"), width)), shared.value[0])
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in ("vec_id", "v")), pa.array(of.astype(np.int32)), pa.array(close)], names=["vec_id", "v", "list", "close"])
+
+    candidates = cut(first_of_equals(rows, F.col("v"), k).select("vec_id", "v").mapInArrow(place, "vec_id long, v array<double>, list int, close double"))
+    sizes = candidates.groupBy("list").agg(F.count("*").alias("n"), F.min("close").alias("farthest")).collect()  # one row a list
+    count, farthest = np.zeros(len(centres), np.int64), np.ones(len(centres))
+    for r in sizes:
+        count[r["list"]], farthest[r["list"]] = r["n"], r["farthest"]
+    begin = np.cumsum(count) - count
+    number = int(count.sum())
+    cells = max(partitions(spark), -(-number // CELL))
+    stretch = max(1, -(-number // cells))
+    line = spark.createDataFrame([(n, int(begin[n]), int(count[n])) for n in range(len(centres))], "list int, begin long, n long")
+    at = F.col("begin") + F.pmod(F.xxhash64("vec_id"), F.col("n"))
+    stored = candidates.join(F.broadcast(line), "list").select(F.floor(at / stretch).cast("int").alias("cell"), F.lit(0).alias("kind"), F.col("list").alias("place"), "vec_id", "v", F.lit(0.0).alias("worst"), F.array().cast("array<int>").alias("lists"))
+    radius = np.arccos(np.clip(farthest, -1, 1))
+
+    def send(first: int, past: int):
+        """Rows of queries, one a cell, with the cell's lists among the query's nearest ones from first to past."""
+
         def run(batches):
             for batch in batches:
-                m = matrix(batch.column("v"), width)
-                near = unit(m) @ shared.value[0].T
-                count = min(n, near.shape[1])
-                top = np.argsort(-near, axis=1, kind="stable")[:, :count]
-                row = np.repeat(np.arange(len(m)), count)
-                raw = pa.array([x.tobytes() for x in m], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(pa.array(row)), pa.array(np.tile(np.arange(count), len(m)).astype(np.int32)), pa.array(top.ravel().astype(np.int32)), raw.take(pa.array(row))], names=["vec_id", "nth", "list", "v"])
+                for a in range(0, batch.num_rows, 1024):
+                    part = batch.slice(a, 1024)
+                    close = unit(matrix(part.column("v"), width)) @ shared.value[0].T
+                    top = np.argsort(-close, axis=1, kind="stable")[:, first:past]
+                    worst = part.column("worst").to_numpy()
+                    angle = np.arccos(np.clip(np.take_along_axis(close, top, axis=1), -1, 1)) - radius[top]
+                    who, nth = np.nonzero((angle <= np.arccos(np.clip(worst, -1, 1))[:, None] + 1e-6) & (count[top] > 0))
+                    probed = top[who, nth]
+                    low, high = begin[probed] // stretch, (begin[probed] + count[probed] - 1) // stretch
+                    times = high - low + 1
+                    who, probed = np.repeat(who, times), np.repeat(probed, times)
+                    cell = np.repeat(low, times) + np.arange(len(who)) - np.repeat(np.cumsum(times) - times, times)
+                    order = np.lexsort((probed, cell, who))
+                    who, probed, cell = who[order], probed[order], cell[order]
+                    new = np.flatnonzero((np.diff(who, prepend=-1) != 0) | (np.diff(cell, prepend=-1) != 0))
+                    own = pa.array(who[new])
+                    ints = pa.ListArray.from_arrays(pa.array(np.append(new, len(who)), pa.int32()), pa.array(probed.astype(np.int32)))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(cell[new].astype(np.int32)), pa.array(np.ones(len(new), np.int32)), pa.array(np.zeros(len(new), np.int32)), *(part.column(x).take(own) for x in ("vec_id", "v", "worst")), ints],
+                        names=["cell", "kind", "place", "vec_id", "v", "worst", "lists"],
+                    )
 
         return run
 
-    kind = "vec_id long, nth int, list int, v binary"
-    candidates = cut(first_of_equals(rows, F.col("v"), k).mapInArrow(place(1), kind).drop("nth"))
-    chunks = candidates.groupBy("list").agg(F.ceil(F.count("*") / CELL).cast("int").alias("chunks"))  # as many rows as lists
-    chunks = F.broadcast(chunks)
-    dealt = candidates.join(chunks, "list").select("vec_id", "list", F.pmod(F.xxhash64("vec_id"), F.col("chunks")).cast("int").alias("chunk"), "v")
-    probing = cut(rows.where(F.col("vec_id") % every == 0).mapInArrow(place(probes), kind))
-    probing = probing.join(chunks, "list").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-
-    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
-        stack = lambda x: np.frombuffer(b"".join(x), np.float64).reshape(len(x), -1)
-        q_id = right["vec_id"].to_numpy()
-        i, ident, score = scan(stack(right["v"]), q_id, right["limit"].to_numpy(), stack(left["v"]), left["vec_id"].to_numpy(), shared.value[1], k, epsilon=epsilon)
-        return pd.DataFrame({"query_id": q_id[i], "vec_id": ident, "score": score})
-
-    def searched(queries: DataFrame) -> DataFrame:
-        return dealt.groupBy("list", "chunk").cogroup(queries.groupBy("list", "chunk")).applyInPandas(search, "query_id long, vec_id long, score double")
-
-    columns = ("vec_id", "v", "list", "chunk")
-    near = cut(ranked(searched(probing.where("nth = 0").select(*columns, F.lit(float("inf")).alias("limit"))), k))
-    known = near.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("worst"))
-    limit = F.when(F.col("n") == k, F.greatest(2 - 2 * F.col("worst"), F.lit(0.0))).otherwise(F.lit(float("inf"))).alias("limit")
-    rest = probing.where("nth > 0").join(known, F.col("vec_id") == F.col("query_id"), "left").select(*columns, limit)
-    return ranked(near.select("query_id", "vec_id", "score").unionByName(searched(rest)), k)
+    def prepare(table: pa.Table) -> Cell:
+        return Cell(matrix(table.column("v"), width), table.column("vec_id").to_numpy(), table.column("place").to_numpy(), shared.value[1])
+
+    def search(cell: Cell, table: pa.Table) -> pa.RecordBatch:
+        q_id, worst = table.column("vec_id").to_numpy(), table.column("worst").to_numpy()
+        limit = np.where(worst > -2, np.maximum(2 - 2 * worst, 0.0), np.inf)
+        probed = table.column("lists").combine_chunks()
+        bounds = np.cumsum(probed.value_lengths().to_numpy(zero_copy_only=False))[:-1]
+        i, ident, score = search_cell(cell, matrix(table.column("v"), width), q_id, limit, np.split(probed.flatten().to_numpy(), bounds), k, epsilon)
+        return pa.RecordBatch.from_arrays([pa.array(q_id[i]), pa.array(ident), pa.array(score)], names=["query_id", "vec_id", "score"])
+
+    def searched(queries: DataFrame, first: int, past: int) -> DataFrame:
+        sent = queries.select("vec_id", "v", "worst").mapInArrow(send(first, past), "cell int, kind int, place int, vec_id long, v array<double>, worst double, lists array<int>")
+        return meet(stored.unionByName(sent), cells, prepare, search, "query_id long, vec_id long, score double")
+
+    # A worst score of -3 stands for none.
+    queries = rows.where(F.col("vec_id") % every == 0).withColumn("worst", F.lit(-3.0))
+    near = cut(ranked(searched(queries, 0, 1), k))
+    known = near.groupBy("query_id").agg(F.when(F.count("*") == k, F.min("score")).otherwise(F.lit(-3.0)).alias("known"))
+    rest = rows.where(F.col("vec_id") % every == 0).join(known, F.col("vec_id") == F.col("query_id"), "left").withColumn("worst", F.coalesce("known", F.lit(-3.0)))
+    return ranked(near.select("query_id", "vec_id", "score").unionByName(searched(rest, 1, probes)), k)

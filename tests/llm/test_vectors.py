@@ -45,7 +45,7 @@ def test_block_search_finds_the_same_both_ways(sparse, monkeypatch):
     v = v[np.argsort(-np.linalg.norm(v, axis=1), kind="stable")]
     ids, q, q_id = np.arange(900), v[[5, 400, 899]], np.array([5, 400, 899])
     turn, _ = np.linalg.qr(rng.normal(size=(16, 16)))
-    i, ident, score = mips.search_block(q, q_id, np.full(3, mips._LEAST), v, ids, turn, 4, step=100)
+    i, ident, score = mips.search_block(q, q_id, np.full(3, mips._LEAST), mips.Candidates(v, ids, turn), 4, step=100)
     for k in range(3):
         s = v @ q[k]
         want = best(s, q_id[k], ids, 4)
@@ -75,13 +75,52 @@ def test_nearest_scores_and_recall(spark):
     assert hit / total >= 0.9
 
 
-def test_split_lists_change_nothing(spark, monkeypatch):
-    df, _ = table(spark)
-    a = sorted(map(tuple, ann.nearest(df, probes=20).collect()))
-    monkeypatch.setattr(ann, "CELL", 8)
-    b = sorted(map(tuple, ann.nearest(df, probes=20).collect()))
-    same = len(set((x[0], x[2]) for x in a) & set((x[0], x[2]) for x in b))
-    assert same >= 0.95 * len(a)
+def test_cells_change_nothing(spark, monkeypatch):
+    df, m = table(spark)
+    want = sorted(map(tuple, ann.nearest(df, probes=16, epsilon=50).collect()))
+    u = m.astype(float) / np.linalg.norm(m.astype(float), axis=1, keepdims=True)
+    for q in range(0, len(m), 50):  # every list, no early end: exact but for the rounding of ties
+        assert [r[3] for r in want if r[0] == q] == pytest.approx(np.sort(np.delete(u @ u[q], q))[-5:][::-1], abs=1e-12)
+    monkeypatch.setattr(ann, "CELL", 8)  # lists over many cells
+    assert sorted(map(tuple, ann.nearest(df, probes=16, epsilon=50).collect())) == want
+
+
+def test_recall_over_the_test_table(spark):
+    """Queries: rows whose id is divisible by 20, against all rows."""
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = [(r["vec_id"], r["embedding"]) for r in df.collect() if r["embedding"] is not None and all(x is not None and np.isfinite(x) for x in r["embedding"]) and any(r["embedding"])]
+    ids, m = np.array([i for i, _ in rows]), np.array([v for _, v in rows], float)
+    u = m / np.linalg.norm(m, axis=1, keepdims=True)
+    got = ann.nearest(df, every=20).toPandas()
+    hit = total = 0
+    for q in np.flatnonzero(ids % 20 == 0):
+        s = np.where(ids == ids[q], -np.inf, u @ u[q])
+        own = got[got.query_id == ids[q]].score
+        assert len(own) == 5
+        hit += int((own >= np.sort(s)[-5] - 1e-12).sum())
+        total += 5
+    assert total >= 500 and hit / total >= 0.9
+
+
+def test_one_id_with_two_vectors_counts_by_its_least(spark):
+    rows = [(0, [1.0, 0.0], 0), (1, [5.0, 0.0], 0), (1, [2.0, 1.0], 0), (2, [3.0, 1.0], 0), (2, [3.0, 1.0], 1)]
+    for df in (spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(rows[::-1], SCHEMA)):
+        assert [(r["vec_id"], r["score"]) for r in mips.top_inner_products(df).orderBy("rank").collect()] == [(2, 768 * 256), (1, 512 * 256)]
+        assert [r["vec_id"] for r in ann.nearest(df).orderBy("rank").collect()] == [2, 1]
+
+
+def test_products_beyond_64_bits_are_refused(spark):
+    with pytest.raises(ValueError):
+        mips.top_inner_products(spark.createDataFrame([(0, [1e9, 1.0], 0), (1, [1.0, 1.0], 0)], SCHEMA))
+
+
+def test_probes_follow_the_data():
+    rng = np.random.default_rng(4)
+    centres = np.eye(32)[:16]
+    clustered = ann.unit(np.repeat(centres, 40, axis=0) + rng.normal(size=(640, 32)) * 0.01)
+    assert ann.enough_probes(clustered, centres, 5, 0.97) == 1
+    spread = ann.unit(rng.normal(size=(640, 32)))
+    assert ann.enough_probes(spread, centres, 5, 0.97) > 5
 
 
 def test_empty_and_tiny_tables(spark):
