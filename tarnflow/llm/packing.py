@@ -7,6 +7,14 @@ either by the least residual norm (what is left after placing it, each
 dimension relative to its capacity and weighted) or by the largest weighted
 dot product of the piece's demand and the bin's residual.
 
+Tokens are a hard capacity, and so are limits that the caller gives.  Without
+such limits the other two are those of an even split: the shard's pieces and
+attention cost over the fewest bins that its tokens allow, times `SLACK`.  They
+bind, so that no sequence gathers hundreds of scraps while others hold two
+documents; only a piece that no open bin can take under them is placed by its
+tokens alone, and a shard that would still need more sequences than without the
+even split is packed without it.
+
 Pieces are dealt at random into shards of about `SHARD` pieces; each shard packs
 on its own, so no task holds more than that, and the loss is at most about one
 part-filled bin per shard.
@@ -26,6 +34,8 @@ from .common import cut, map_arrow
 from .tokens import default_tokenizer, tokenizer
 
 SHARD = 8192
+#: How far a bin may be above an even split.
+SLACK = 1.25
 
 
 def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -67,50 +77,70 @@ def pieces(docs: DataFrame, capacity: int = 1024, end_id: int = 2, path: str | N
     return map_arrow(docs.select("doc_id", "text"), run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids)
 
 
-def vector_best_fit(lengths: np.ndarray, capacity: int, most_pieces: int, most_attention: float, weights: tuple[float, float, float] = (1.0, 0.02, 0.02), rule: str = "residual_norm") -> tuple[np.ndarray, np.ndarray]:
-    """Bin and offset of each piece; lengths must be sorted from long to short."""
+def even_limits(lengths: np.ndarray, capacity: int) -> tuple[float, float]:
+    """Pieces and attention cost of a bin in an even split over the fewest bins, times SLACK.
+
+    The cost is that of what shares bins: full pieces have theirs alone.
+    """
+    shared = lengths[lengths < capacity].astype(float)
+    if not len(shared):
+        return 1.0, float(capacity) ** 2
+    bins = max(1.0, np.ceil(shared.sum() / capacity))
+    return max(1.0, np.ceil(SLACK * len(shared) / bins)), SLACK * np.square(shared).sum() / bins
+
+
+def vector_best_fit(
+    lengths: np.ndarray, capacity: int, most_pieces: float, most_attention: float, weights: tuple[float, float, float] = (1.0, 0.02, 0.02), rule: str = "residual_norm", even: tuple[float, float] | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bin, offset, and whether every constraint held, of each piece; lengths must be sorted from long to short.
+
+    even: limits of pieces and attention cost that give way where no open bin has room under them.
+    """
     n = len(lengths)
-    bins, offsets = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    bins, offsets, within = np.zeros(n, np.int64), np.zeros(n, np.int64), np.ones(n, bool)
     top = np.array([capacity, most_pieces, most_attention], float)
+    soft = np.minimum(top, np.array([capacity, *(even or (most_pieces, most_attention))], float))
     weight = np.sqrt(np.array(weights))
-    # Residuals of open bins, relative to capacity and weighted; closed ones are swapped out.
-    open_ = np.zeros((1024, 3))
+    # What is left in open bins; closed ones are swapped out.
     free = np.zeros((1024, 3))
     number = np.zeros(1024, np.int64)
     count, used, least = 0, 0, int(lengths[-1]) if n else 0
+    yields = top - soft
     for i, length in enumerate(lengths.tolist()):
         demand = np.array([length, 1.0, float(length) * length])
         best = -1
         if count:
             ok = (free[:count] >= demand).all(axis=1)
             if ok.any():
-                d = demand / top * weight
-                score = -np.square(open_[:count] - d).sum(axis=1) if rule == "residual_norm" else open_[:count] @ d
-                score[~ok] = -np.inf
+                left = free[:count] - yields - demand
+                every = ok & (left >= 0).all(axis=1)
+                within[i] = bool(every.any())
+                score = -np.square(left / soft * weight).sum(axis=1) if rule == "residual_norm" else ((left + demand) / soft * weight) @ (demand / soft * weight)
+                score[~(every if within[i] else ok)] = -np.inf
                 best = int(np.argmax(score))
         if best < 0:
-            if count == len(open_):
-                open_, free, number = np.concatenate([open_, open_ * 0]), np.concatenate([free, free * 0]), np.concatenate([number, number * 0])
+            if count == len(free):
+                free, number = np.concatenate([free, free * 0]), np.concatenate([number, number * 0])
             best, count, used = count, count + 1, used + 1
             free[best], number[best] = top, used - 1
         bins[i], offsets[i] = number[best], capacity - free[best, 0]
         free[best] -= demand
-        open_[best] = free[best] / top * weight
         if free[best, 0] < least or free[best, 1] < 1 or free[best, 2] < float(least) * least:
             count -= 1
-            free[best], open_[best], number[best] = free[count], open_[count], number[count]
-    return bins, offsets
+            free[best], number[best] = free[count], number[count]
+    return bins, offsets, within
 
 
 def pack(parts: DataFrame, capacity: int = 1024, most_pieces: int | None = None, most_attention: float | None = None, rule: str = "residual_norm", shard: int = SHARD) -> DataFrame:
-    """parts (length, and any columns) with sequence_id and offset.
+    """parts (length from 0 to capacity, and any columns) with sequence_id, offset and within_limits.
 
-    Without limits of their own, the number of pieces is bound by the tokens
-    and the attention cost by that of one full piece.  An empty table packs to
-    an empty one.
+    Limits that are given hold in every sequence of more than one piece; those
+    left out are the shard's even split, which gives way (within_limits is then
+    false) where no sequence has room or where it would cost a sequence.  Ties in length go by row, ties in score
+    to the first open bin.  Columns of those three names are replaced.  Repeated
+    rows are pieces of their own.  An empty table packs to an empty one.
     """
-    most_pieces = most_pieces or capacity
-    most_attention = most_attention or float(capacity) ** 2
+    parts = parts.drop("sequence_id", "offset", "within_limits")
     numbered = cut(parts.withColumn("_row", F.monotonically_increasing_id()))  # fixed once written
     shards = max(1, -(-numbered.count() // shard))
     dealt = numbered.select("_row", "length", F.pmod(F.xxhash64("_row"), F.lit(shards)).alias("_shard"))
@@ -118,15 +148,28 @@ def pack(parts: DataFrame, capacity: int = 1024, most_pieces: int | None = None,
     def run(group: pd.DataFrame) -> pd.DataFrame:
         order = np.lexsort((group["_row"].to_numpy(), -group["length"].to_numpy()))
         group = group.iloc[order]
-        bins, offsets = vector_best_fit(group["length"].to_numpy(), capacity, most_pieces, most_attention, rule=rule)
-        return pd.DataFrame({"_row": group["_row"].to_numpy(), "sequence_id": (group["_shard"].to_numpy().astype(np.int64) << 24) + bins, "offset": offsets})
-
-    placed = dealt.groupBy("_shard").applyInPandas(run, "_row long, sequence_id long, offset long")
+        lengths = group["length"].to_numpy()
+        pieces_, attention = even_limits(lengths, capacity)
+        hard = (most_pieces or capacity, most_attention or float(capacity) ** 2)
+        bins, offsets, within = vector_best_fit(lengths, capacity, *hard, rule=rule, even=(most_pieces or pieces_, most_attention or attention))
+        if bins.max() * capacity >= lengths.sum():  # perhaps not the fewest: never more than without the even split
+            others = vector_best_fit(lengths, capacity, *hard, rule=rule)
+            if others[0].max() < bins.max():
+                bins, offsets = others[:2]
+                within = np.zeros(len(bins), bool)
+        return pd.DataFrame({"_row": group["_row"].to_numpy(), "sequence_id": (group["_shard"].to_numpy().astype(np.int64) << 24) + bins, "offset": offsets, "within_limits": within})
+
+    placed = dealt.groupBy("_shard").applyInPandas(run, "_row long, sequence_id long, offset long, within_limits boolean")
     return numbered.join(placed, "_row").drop("_row")
 
 
 def pack_documents(docs: DataFrame, capacity: int = 1024, end_id: int = 2, path: str | None = None, keep_ids: bool = False, **limits) -> DataFrame:
-    """Tokenize, cut and pack; one row per piece."""
+    """Tokenize, cut and pack; one row per piece.
+
+    Null and empty texts are one piece with the end id; long texts are encoded
+    whole.  Repeated rows and null ids are packed like any other.  Columns other
+    than doc_id and text are ignored.  An empty table gives no rows.
+    """
     return pack(pieces(docs, capacity, end_id, path, keep_ids), capacity, **limits)
 
 

@@ -483,7 +483,8 @@ def test_pieces_and_packing(spark):
 @pytest.mark.parametrize("rule", ["residual_norm", "dot_product"])
 def test_every_capacity_holds(rule):
     lengths = np.sort(np.random.default_rng(1).integers(1, 100, 500))[::-1]
-    bins, offsets = packing.vector_best_fit(lengths, 100, 3, 4000.0, rule=rule)
+    bins, offsets, within = packing.vector_best_fit(lengths, 100, 3, 4000.0, rule=rule)
+    assert within.all()
     for b in np.unique(bins):
         own = lengths[bins == b]
         assert own.sum() <= 100 and len(own) <= 3
@@ -492,6 +493,24 @@ def test_every_capacity_holds(rule):
         assert (np.cumsum(own[at]) - own[at] == offsets[bins == b][at]).all()
 
 
+@pytest.mark.parametrize("rule", ["residual_norm", "dot_product"])
+def test_even_limits_bind_and_cost_no_sequence(rule):
+    rng = np.random.default_rng(7)
+    lengths = np.sort(np.concatenate([rng.integers(1, 30, 2000), rng.integers(200, 1024, 1500)]))[::-1]
+    plain = packing.vector_best_fit(lengths, 1024, 1024, 1024.0**2, rule=rule)[0]
+    even = packing.even_limits(lengths, 1024)
+    bins, offsets, within = packing.vector_best_fit(lengths, 1024, 1024, 1024.0**2, rule=rule, even=even)
+    assert bins.max() <= plain.max() * 1.002 + 1  # `pack` falls back to the plain one where that has fewer
+    assert (np.bincount(bins, lengths) <= 1024).all()
+    # Placed in order: what was within the limits when it was placed.
+    count, cost = np.zeros(bins.max() + 1), np.zeros(bins.max() + 1)
+    for b, n, w in zip(bins.tolist(), lengths.tolist(), within.tolist()):
+        count[b], cost[b] = count[b] + 1, cost[b] + n * n
+        if w and count[b] > 1:
+            assert count[b] <= even[0] and cost[b] <= even[1]
+    assert 0.7 < within.mean() < 1 and np.bincount(bins).max() <= np.bincount(plain).max()
+
+
 def test_cuts():
     assert packing.cuts(0, 4) == [(0, 0)] and packing.cuts(4, 4) == [(0, 4)]
     assert packing.cuts(9, 4) == [(0, 1), (1, 4), (5, 4)] and packing.cuts(8, 4) == [(0, 4), (4, 4)]
@@ -516,6 +535,56 @@ def test_attribution_rules(spark):
     assert cut.n_tokens.sum() == cut.doc_tokens.iloc[0] and cut.n_crossing.sum() > 0
 
 
+def brute_counts(text, rule, slow):
+    """Rows of one text from the tokenizer's own offsets, token by token."""
+    begins, i = [0], 0
+    while i < len(text):
+        if text[i] == "\n":
+            begins.append(i + 1)
+        elif text[i] in ".!?":
+            j = i + 1
+            while j < len(text) and text[j] in ".!?\"')]":
+                j += 1
+            k = j
+            while k < len(text) and text[k] in " \t":
+                k += 1
+            if k > j:
+                begins.append(k)
+                i = k - 1
+            else:
+                i = j - 1
+        i += 1
+    begins = [x for x in begins if x == 0 or x < len(text)]
+    ends = [*begins[1:], len(text)]
+    count, crossing = [0.0] * len(begins), [0] * len(begins)
+    offsets = slow.encode(text, add_special_tokens=False).offsets
+    for a, b in offsets:
+        held = [max(0, min(b, y) - max(a, x)) for x, y in zip(begins, ends)]
+        touched = [k for k, n in enumerate(held) if n]
+        if len(touched) > 1:
+            for k in touched:
+                crossing[k] += 1
+        if rule == "split":
+            for k in touched:
+                count[k] += held[k] / sum(held)
+        else:
+            count[touched[0] if rule == "start" else max(touched, key=lambda k: (held[k], -k))] += 1
+    return [(k, x, y, round(c, 9), n, len(offsets)) for k, (x, y, c, n) in enumerate(zip(begins, ends, count, crossing))]
+
+
+@pytest.mark.parametrize("rule", attribution.RULES)
+def test_token_counts_match_brute_force(spark, sf_dir, rule):
+    slow = tokens.tokenizer(tokens.default_tokenizer()).slow
+    real = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60).select("doc_id", "text").union(awkward(spark).where("length(text) < 1000 OR text IS NULL").select("doc_id", "text"))
+    df = real.union(spark.createDataFrame([(-1, "One. Two?  Three\nfour.' \"Five.\" Sechs!!! 漢字. 🙂 e.g. x.\n\n y")], "doc_id long, text string"))
+    rows = df.collect()
+    df = spark.createDataFrame(rows, df.schema)
+    want = Counter((r["doc_id"], *x) for r in rows for x in brute_counts(r["text"] or "", rule, slow))
+    out = attribution.token_counts(df, rule=rule).collect()
+    assert Counter((r["doc_id"], r["section"], r["start"], r["end"], round(float(r["n_tokens"]), 9), r["n_crossing"], r["doc_tokens"]) for r in out) == want
+    assert sum(r["n_crossing"] for r in out) > 100
+
+
 # Language model -----------------------------------------------------------------------------
 
 
