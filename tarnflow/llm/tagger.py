@@ -6,94 +6,100 @@ import numpy as np
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
-
-
-def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
-    top = x.max(axis=axis, keepdims=True)
-    return (top + np.log(np.exp(x - top).sum(axis=axis, keepdims=True))).squeeze(axis)
+    return 0.5 + 0.5 * np.tanh(0.5 * x)
 
 
 class BiLstmCrf:
     """Symbols (batch, length) to tags; every row is a window of one length."""
 
-    def __init__(self, symbols: int, tags: int, hidden: int = 16, seed: int = 3):
+    def __init__(self, symbols: int, tags: int, hidden: int = 16, seed: int = 3, kind: type = np.float64):
         rng = np.random.default_rng(seed)
         draw = lambda *shape: rng.normal(0, 1 / np.sqrt(shape[0]), shape)
         self.hidden, self.tags = hidden, tags
         self.p: dict[str, np.ndarray] = {"out": draw(2 * hidden, tags), "bias": np.zeros(tags), "move": np.zeros((tags, tags)), "start": np.zeros(tags)}
-        for d in "fb":
-            self.p |= {f"{d}x": rng.normal(0, 0.3, (symbols, 4 * hidden)), f"{d}h": draw(hidden, 4 * hidden), f"{d}b": np.zeros(4 * hidden)}
-            self.p[f"{d}b"][hidden : 2 * hidden] = 1.0  # remember at first
+        # Both directions side by side: the second reads the window from its end.
+        self.p |= {"x": rng.normal(0, 0.3, (2, symbols, 4 * hidden)), "h": np.stack([draw(hidden, 4 * hidden), draw(hidden, 4 * hidden)]), "b": np.zeros((2, 1, 4 * hidden))}
+        self.p["b"][:, :, hidden : 2 * hidden] = 1.0  # remember at first
+        self.p = {k: a.astype(kind) for k, a in self.p.items()}
 
-    def _run(self, d: str, x: np.ndarray, keep: bool) -> tuple[np.ndarray, list]:
-        n = self.hidden
-        wx, wh, b = self.p[f"{d}x"], self.p[f"{d}h"], self.p[f"{d}b"]
-        h = c = np.zeros((len(x), n))
-        out, tape = np.empty((x.shape[1], len(x), n)), []
-        order = range(x.shape[1]) if d == "f" else range(x.shape[1] - 1, -1, -1)
-        for t in order:
-            z = wx[x[:, t]] + h @ wh + b
-            g = _sigmoid(z[:, : 3 * n])
-            i, f, o, u = g[:, :n], g[:, n : 2 * n], g[:, 2 * n :], np.tanh(z[:, 3 * n :])
+    def _run(self, x: np.ndarray, keep: bool) -> tuple[np.ndarray, list]:
+        """Hidden states (length, batch, both directions' units), and what the gradient needs."""
+        n, size, length = self.hidden, len(x), x.shape[1]
+        wh, b = self.p["h"], self.p["b"]
+        both = np.stack([x, x[:, ::-1]])
+        fed = np.stack([w[s] for w, s in zip(self.p["x"], both)]) + b[:, :, None, :]  # direction, batch, step, gates
+        h = c = np.zeros((2, size, n), wh.dtype)
+        out, tape = np.empty((length, size, 2 * n), wh.dtype), []
+        for t in range(length):
+            z = fed[:, :, t] + h @ wh
+            g = _sigmoid(z[:, :, : 3 * n])
+            i, f, o, u = g[:, :, :n], g[:, :, n : 2 * n], g[:, :, 2 * n :], np.tanh(z[:, :, 3 * n :])
             c_new = f * c + i * u
             tanh_c = np.tanh(c_new)
             if keep:
-                tape.append((t, h, c, i, f, o, u, tanh_c))
+                tape.append((h, c, i, f, o, u, tanh_c))
             h, c = o * tanh_c, c_new
-            out[t] = h
+            out[t, :, :n], out[length - 1 - t, :, n:] = h
         return out, tape
 
     def emissions(self, x: np.ndarray) -> np.ndarray:
         """(length, batch, tags)"""
-        forward, _ = self._run("f", x, False)
-        backward, _ = self._run("b", x, False)
-        return np.concatenate([forward, backward], axis=2) @ self.p["out"] + self.p["bias"]
+        return self._run(x, False)[0] @ self.p["out"] + self.p["bias"]
 
-    def _back(self, d: str, x: np.ndarray, tape: list, dout: np.ndarray, grad: dict) -> None:
-        n = self.hidden
-        wh = self.p[f"{d}h"]
-        gx, gh, gb = np.zeros_like(self.p[f"{d}x"]), np.zeros_like(wh), np.zeros(4 * n)
-        dh = dc = np.zeros((len(x), n))
-        for t, h, c, i, f, o, u, tanh_c in reversed(tape):
-            dh = dh + dout[t]
+    def _back(self, x: np.ndarray, tape: list, dout: np.ndarray, grad: dict) -> None:
+        n, length = self.hidden, len(tape)
+        back = self.p["h"].transpose(0, 2, 1)
+        all_, before = (np.empty((2, length, len(x), k), dout.dtype) for k in (4 * n, n))
+        dh = dc = np.zeros((2, len(x), n), dout.dtype)
+        for t in range(length - 1, -1, -1):
+            h, c, i, f, o, u, tanh_c = tape[t]
+            dh = dh + np.stack([dout[t, :, :n], dout[length - 1 - t, :, n:]])
             dc = dc + dh * o * (1 - tanh_c**2)
-            dz = np.concatenate([dc * u * i * (1 - i), dc * c * f * (1 - f), dh * tanh_c * o * (1 - o), dc * i * (1 - u**2)], axis=1)
-            np.add.at(gx, x[:, t], dz)
-            gh += h.T @ dz
-            gb += dz.sum(axis=0)
-            dh, dc = dz @ wh.T, dc * f
-        grad[f"{d}x"], grad[f"{d}h"], grad[f"{d}b"] = gx, gh, gb
+            dz = np.concatenate([dc * u * i * (1 - i), dc * c * f * (1 - f), dh * tanh_c * o * (1 - o), dc * i * (1 - u**2)], axis=2)
+            all_[:, t], before[:, t] = dz, h
+            dh, dc = dz @ back, dc * f
+        flat = all_.reshape(2, -1, 4 * n)
+        symbol = np.stack([x.T, x[:, ::-1].T]).reshape(2, -1)
+        known = np.eye(self.p["x"].shape[1], dtype=dout.dtype)
+        grad["x"] = np.stack([known[s].T @ d for s, d in zip(symbol, flat)])
+        grad["h"] = before.reshape(2, -1, n).transpose(0, 2, 1) @ flat
+        grad["b"] = flat.sum(axis=1, keepdims=True)
 
     def loss(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean negative log likelihood of the tag rows y, and its gradient."""
         size, length = x.shape
-        forward, tape_f = self._run("f", x, True)
-        backward, tape_b = self._run("b", x, True)
-        both = np.concatenate([forward, backward], axis=2)
+        both, tape = self._run(x, True)
         e = both @ self.p["out"] + self.p["bias"]
         move = self.p["move"]
-        alpha = np.empty_like(e)
-        beta = np.zeros_like(e)
-        alpha[0] = e[0] + self.p["start"]
-        for t in range(1, length):
-            alpha[t] = e[t] + _logsum(alpha[t - 1][:, :, None] + move[None], 1)
+        step = np.exp(move)
+        # Forward and backward sums, each row over its largest, with the logarithms of what was taken out.
+        top = e.max(axis=2)
+        shown = np.exp(e - top[:, :, None])
+        alpha, beta = np.empty_like(e), np.ones_like(e)
+        taken = np.zeros((length, size))
+        row = shown[0] * np.exp(self.p["start"])
+        for t in range(length):
+            if t:
+                row = shown[t] * (row @ step)
+            scale = row.sum(axis=1)
+            alpha[t] = row = row / scale[:, None]
+            taken[t] = np.log(scale)
         for t in range(length - 2, -1, -1):
-            beta[t] = _logsum(move[None] + (e[t + 1] + beta[t + 1])[:, None, :], 2)
-        total = _logsum(alpha[-1], 1)
+            row = (shown[t + 1] * beta[t + 1]) @ step.T
+            scale = row.sum(axis=1)
+            beta[t] = row / scale[:, None]
+        total = taken.sum(axis=0) + top.sum(axis=0)
         rows = np.arange(size)
-        gold = self.p["start"][y[:, 0]] + sum(e[t, rows, y[:, t]] for t in range(length)) + move[y[:, :-1], y[:, 1:]].sum(axis=1)
-        de = np.exp(alpha + beta - total[None, :, None])
-        g_move = np.zeros_like(move)
-        for t in range(length - 1):
-            g_move += np.exp(alpha[t][:, :, None] + move[None] + (e[t + 1] + beta[t + 1])[:, None, :] - total[:, None, None]).sum(axis=0)
+        gold = self.p["start"][y[:, 0]] + np.take_along_axis(e, y.T[:, :, None], axis=2)[:, :, 0].sum(axis=0) + move[y[:, :-1], y[:, 1:]].sum(axis=1)
+        de = alpha * beta
+        de /= de.sum(axis=2, keepdims=True)
+        after = shown[1:] * beta[1:]
+        after = after / ((alpha[:-1] @ step) * after).sum(axis=2, keepdims=True)
+        g_move = np.tensordot(alpha[:-1], after, ([0, 1], [0, 1])) * step
         np.subtract.at(g_move, (y[:, :-1].ravel(), y[:, 1:].ravel()), 1)
-        for t in range(length):
-            de[t, rows, y[:, t]] -= 1
+        de[np.arange(length)[:, None], rows[None, :], y.T] -= 1
         grad = {"move": g_move, "start": de[0].sum(axis=0), "bias": de.sum(axis=(0, 1)), "out": np.tensordot(both, de, ([0, 1], [0, 1]))}
-        dboth = de @ self.p["out"].T
-        self._back("f", x, tape_f, dboth[:, :, : self.hidden], grad)
-        self._back("b", x, tape_b, dboth[:, :, self.hidden :], grad)
+        self._back(x, tape, de @ self.p["out"].T, grad)
         return float((total - gold).mean()), {k: v / size for k, v in grad.items()}
 
     def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 10, batch: int = 64, rate: float = 0.02, seed: int = 5) -> list[float]:
@@ -115,23 +121,38 @@ class BiLstmCrf:
                     g = g * scale
                     m[k] = 0.9 * m[k] + 0.1 * g
                     v[k] = 0.99 * v[k] + 0.01 * g * g
-                    self.p[k] = self.p[k] - speed * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)
+                    self.p[k] = (self.p[k] - speed * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)).astype(self.p[k].dtype)
             losses.append(total / max(1, len(x)))
         return losses
 
     def decode(self, x: np.ndarray) -> np.ndarray:
-        """Best tag rows (Viterbi)."""
-        e = self.emissions(x)
-        length, size, _ = e.shape
-        score = e[0] + self.p["start"]
-        back = np.empty((length, size, self.tags), np.int8)
-        for t in range(1, length):
-            step = score[:, :, None] + self.p["move"][None]
-            back[t] = step.argmax(axis=1)
-            score = step.max(axis=1) + e[t]
-        out = np.empty((size, length), np.int64)
-        out[:, -1] = score.argmax(axis=1)
-        rows = np.arange(size)
-        for t in range(length - 1, 0, -1):
-            out[:, t - 1] = back[t, rows, out[:, t]]
+        """Best tag rows of the windows, each by itself."""
+        e = self.emissions(x).transpose(1, 0, 2)
+        return self.best(e.reshape(-1, self.tags), np.full(len(x), x.shape[1])).reshape(len(x), -1)
+
+    def best(self, emissions: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Best tags (Viterbi) of sequences of these lengths, whose emissions (rows, tags) lie one after the other."""
+        out = np.zeros(len(emissions), np.int64)
+        lengths = np.asarray(lengths, np.int64)
+        begins = np.cumsum(lengths) - lengths
+        order = np.argsort(-lengths, kind="stable")
+        begins, lengths = begins[order], lengths[order]
+        if not len(lengths) or not lengths[0]:
+            return out
+        active = np.searchsorted(-lengths, -np.arange(lengths[0]), side="left")  # sequences longer than t
+        back = np.zeros((len(emissions), self.tags), np.int8)
+        move = self.p["move"].T[None]  # to, from
+        score = emissions[begins[: active[0]]] + self.p["start"]
+        for t in range(1, lengths[0]):
+            m = active[t]
+            ended = slice(m, active[t - 1])
+            out[begins[ended] + t - 1] = score[m:].argmax(axis=1)
+            at = begins[:m] + t
+            step = score[:m, None, :] + move
+            back[at] = step.argmax(axis=2)
+            score = step.max(axis=2) + emissions[at]
+        out[begins[: active[-1]] + lengths[0] - 1] = score.argmax(axis=1)
+        for t in range(lengths[0] - 1, 0, -1):
+            at = begins[: active[t]] + t
+            out[at - 1] = back[at, out[at]]
         return out
