@@ -13,7 +13,9 @@ Only words that no training text has keep the class of their ending.
 
 Transitions are counted again with the words' final classes.  Emissions use
 every word's own count, known or not.  Counts and classes of words beyond the
-`table` commonest (a bounded table that tasks hold) come by a join on the word.
+`table` commonest (a bounded table that tasks hold) come by a join on the word.  A word's
+neighbour counts travel packed, one row a word and map task, and are summed up
+while they stream by in the order of words.
 """
 
 from __future__ import annotations
@@ -188,27 +190,53 @@ def exchange(matrix: np.ndarray, classes: int, sweeps: int = 8) -> np.ndarray:
     return of
 
 
+_N = 22  # bits of a packed count; the slot is above them
+_HELD = 1 << (_N - 1)
+
+
+def pack_words(h: np.ndarray, ending: np.ndarray, word: np.ndarray, slot: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    """(h, cells): per word its ending and its (slot, n), as 32-bit numbers.  word: ascending, none without entries."""
+    sizes = np.bincount(word, minlength=len(h)) + 1
+    begins = np.cumsum(sizes) - sizes
+    flat = np.empty(len(h) + len(word), "<u4")
+    flat[begins] = ending
+    flat[np.arange(len(word)) + word + 1] = (slot << _N) + n
+    offsets = np.append(begins, len(flat)).astype(np.int32) * 4
+    cells = pa.Array.from_buffers(pa.binary(), len(h), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(flat.tobytes())])
+    return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), cells], names=["h", "cells"])
+
+
+def unpack_words(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """h and ending per row, and row, slot and n per entry."""
+    cells = batch.column("cells")
+    sizes = pc.binary_length(cells).to_numpy(zero_copy_only=False).astype(np.int64) // 4
+    flat = np.frombuffer(b"".join(cells.to_pylist()), "<u4").astype(np.int64)
+    head = np.cumsum(sizes) - sizes
+    entry = np.ones(len(flat), bool)
+    entry[head] = False
+    return batch.column("h").to_numpy(), flat[head], np.repeat(np.arange(len(sizes)), sizes - 1), flat[entry] >> _N, flat[entry] & ((1 << _N) - 1)
+
+
 def contexts(texts: DataFrame, hashes: np.ndarray, items: np.ndarray, endings: int, own: int, of: np.ndarray) -> DataFrame:
-    """(h, ending, slots: array of slot and n by slot) of every word that is no item of its own.
+    """Packed counts (h, cells) of the words that are no items of their own, sorted by word; a word may have several rows.
 
     With k classes, slot d is a neighbour of class d after the word, k + d one
     before it, and 2k the word itself after it.
     """
     k = int(of[-1]) + 1
+    if 2 * k >= 1 << (32 - _N):
+        raise ValueError("too many classes")
     shared = texts.sparkSession.sparkContext.broadcast((hashes, items, of))
 
     def run(batches):
         held: list[tuple[np.ndarray, ...]] = []
+        tokens = 0
 
         def merged():
             h, ending, slot, n = (np.concatenate(x) for x in zip(*held))
             distinct, first, at = np.unique(h, return_index=True, return_inverse=True)
             cell, at = np.unique(at * (2 * k + 1) + slot, return_inverse=True)
-            word = cell // (2 * k + 1)
-            return distinct[word], ending[first][word], cell % (2 * k + 1), np.bincount(at, n, len(cell)).astype(np.int64)
-
-        def batch_of(h, ending, slot, n):
-            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ending.astype(np.int32)), pa.array(slot.astype(np.int32)), pa.array(n)], names=["h", "ending", "slot", "n"])
+            return distinct, ending[first], cell // (2 * k + 1), cell % (2 * k + 1), np.bincount(at, n, len(cell)).astype(np.int64)
 
         for batch in batches:
             for part in slices(batch, limit=1 << 20):
@@ -219,25 +247,28 @@ def contexts(texts: DataFrame, hashes: np.ndarray, items: np.ndarray, endings: i
                 item = np.append(_items(distinct, h, table, item_of, endings, own), own + endings)
                 class_of, free = classes[item], (item >= own) & (item < own + endings)
                 line = with_ends(codes, offsets, len(distinct))
-                a, b = line[:-1], line[1:]
-                same = a == b
-                after, before, twice = free[a] & ~same, free[b] & ~same, free[a] & same
-                word = np.concatenate([a[after], b[before], a[twice]])
-                slot = np.concatenate([class_of[b[after]], k + class_of[a[before]], np.full(twice.sum(), 2 * k)])
-                cell, n = np.unique(word * (2 * k + 1) + slot, return_counts=True)
-                word = cell // (2 * k + 1)
-                held.append((h[word], item[word] - own, cell % (2 * k + 1), n))
-                if sum(len(x[0]) for x in held) > 600_000:
-                    held = [merged()]
-                    if len(held[0][0]) > 300_000:
-                        yield batch_of(*held.pop())
+                for c in range(0, len(line) - 1, _HELD // 2):  # no count can outgrow its bits
+                    a, b = line[c : c + _HELD // 2], line[c + 1 : c + 1 + _HELD // 2]
+                    a = a[: len(b)]
+                    same = a == b
+                    after, before, twice = free[a] & ~same, free[b] & ~same, free[a] & same
+                    word = np.concatenate([a[after], b[before], a[twice]])
+                    slot = np.concatenate([class_of[b[after]], k + class_of[a[before]], np.full(twice.sum(), 2 * k)])
+                    cell, n = np.unique(word * (2 * k + 1) + slot, return_counts=True)
+                    word = cell // (2 * k + 1)
+                    held.append((h[word], item[word] - own, cell % (2 * k + 1), n))
+                    tokens += len(a)
+                    if sum(len(x[0]) for x in held) > 600_000 or tokens > _HELD:
+                        distinct_, ending, owner, slot, n = merged()
+                        held = [(distinct_[owner], ending[owner], slot, n)]
+                        if len(owner) > 300_000 or tokens > _HELD:
+                            yield pack_words(distinct_, ending, owner, slot, n)
+                            held, tokens = [], 0
         if held:
-            yield batch_of(*merged())
+            yield pack_words(*merged())
 
-    rows = texts.select("text").mapInArrow(run, "h long, ending int, slot int, n long")
-    # Dealt by the word alone, so that both sums find their rows in place.
-    summed = rows.repartition(partitions(texts.sparkSession), "h").groupBy("h", "slot").agg(F.min("ending").alias("ending"), F.sum("n").alias("n"))
-    return summed.groupBy("h").agg(F.min("ending").alias("ending"), F.array_sort(F.collect_list(F.struct("slot", "n"))).alias("slots"))
+    rows = texts.select("text").mapInArrow(run, "h long, cells binary")
+    return rows.repartition(partitions(texts.sparkSession), "h").sortWithinPartitions("h")
 
 
 def exchange_step(joint: np.ndarray, old: np.ndarray, word: np.ndarray, slot: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -276,27 +307,46 @@ def exchange_step(joint: np.ndarray, old: np.ndarray, word: np.ndarray, slot: np
     return np.where(gain[row, new] > gain[row, old] + 1e-9, new, old)
 
 
-def assign(found: DataFrame, joint: np.ndarray, by_ending: np.ndarray) -> DataFrame:
-    """(h, c, class) of the words of `contexts`."""
+def assign(found: DataFrame, joint: np.ndarray, by_ending: np.ndarray, entries: int = 16_384) -> DataFrame:
+    """(h, c, class) of the words of `contexts`, whose rows are summed up as they come; about `entries` counts at a time."""
     k = len(joint)
 
     def run(batches):
+        # The last word's sums, as further rows of it may follow.
+        kept = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+        def moved(h, ending, word, slot, n):
+            # Each occurrence has one neighbour after it.
+            c = np.bincount(word, n * ((slot < k) | (slot == 2 * k)), len(h)).astype(np.int64)
+            sizes = np.cumsum(np.bincount(word, minlength=len(h)))
+            cuts = [0, *(np.flatnonzero(np.diff(sizes // entries)) + 1).tolist(), len(h)]
+            for a, b in zip(cuts, cuts[1:]):
+                own = (word >= a) & (word < b)
+                new = exchange_step(joint, by_ending[ending[a:b]], word[own] - a, slot[own], n[own])
+                yield pa.RecordBatch.from_arrays([pa.array(h[a:b]), pa.array(c[a:b]), pa.array(new.astype(np.int32))], names=["h", "c", "class"])
+
         for batch in batches:
-            for i in range(0, batch.num_rows, 2048):
-                part = batch.slice(i, 2048)
-                lists = part.column("slots")
-                flat = lists.flatten()
-                slot, n = (flat.field(x).to_numpy(zero_copy_only=False) for x in ("slot", "n"))
-                word = np.repeat(np.arange(part.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
-                # Each occurrence has one neighbour after it.
-                c = np.bincount(word, n * ((slot < k) | (slot == 2 * k)), part.num_rows).astype(np.int64)
-                new = exchange_step(joint, by_ending[part.column("ending").to_numpy()], word, slot, n)
-                yield pa.RecordBatch.from_arrays([part.column("h"), pa.array(c), pa.array(new.astype(np.int32))], names=["h", "c", "class"])
+            h, ending, row, slot, n = unpack_words(batch)
+            h, ending = np.concatenate([kept[0], h]), np.concatenate([kept[1], ending])
+            row, slot, n = np.concatenate([kept[2], row + len(kept[0])]), np.concatenate([kept[3], slot]), np.concatenate([kept[4], n])
+            if not len(h):
+                continue
+            first = np.flatnonzero(np.diff(h, prepend=h[0] - 1) != 0)
+            word_of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(h))))
+            cell, at = np.unique(word_of[row] * (2 * k + 1) + slot, return_inverse=True)
+            n = np.bincount(at, n, len(cell)).astype(np.int64)
+            word, slot, last = cell // (2 * k + 1), cell % (2 * k + 1), len(first) - 1
+            done = word < last
+            if last:
+                yield from moved(h[first[:-1]], ending[first[:-1]], word[done], slot[done], n[done])
+            kept = (h[first[-1:]], ending[first[-1:]], word[~done] - last, slot[~done], n[~done])
+        if len(kept[0]):
+            yield from moved(*kept)
 
     return found.mapInArrow(run, "h long, c long, class int")
 
 
-def learn(texts: DataFrame, classes: int = 24, own: int = 512, endings: int = 256, table: int = 1 << 16, sweeps: int = 8) -> tuple[ClassModel, DataFrame]:
+def learn(texts: DataFrame, classes: int = 64, own: int = 1024, endings: int = 256, table: int = 1 << 18, sweeps: int = 8) -> tuple[ClassModel, DataFrame]:
     """The model without its transitions, and the table (h, c, class) of all words."""
     counts = cut(count_words(texts, endings))
     number = texts.count()
@@ -401,23 +451,23 @@ def class_lines(docs: DataFrame, model: ClassModel, words: DataFrame) -> DataFra
                         pa.array(np.concatenate([row, row[who]])),
                         pa.array(np.concatenate([mix(row.astype(np.uint64)), h[word]]).view(np.int64)),
                         pa.array(np.concatenate([np.zeros(n, np.int32), times.astype(np.int32)])),
-                        pa.array(np.concatenate([np.full(n, -1), number]).astype(np.int32)),
-                        pa.array(np.concatenate([np.zeros(n, np.int64), m.by_ending[_ending(distinct, len(m.by_ending))[word]]]).astype(np.int32)),
+                        # The word's number within the text, and the class of its ending above it.
+                        pa.array(np.concatenate([np.full(n, -1), number + (m.by_ending[_ending(distinct, len(m.by_ending))[word]] << 32)])),
                         pa.concat_arrays([facts, nothing]),
                     ],
-                    names=["row", "h", "n", "number", "guess", "facts"],
+                    names=["row", "h", "n", "number", "facts"],
                 )
 
     ints = "array<int>"
     facts = f"struct<doc_id: {kind}, held_out: boolean, n_tokens: bigint, known: bigint, common: double, pairs: {ints}, times: {ints}, before: {ints}, after: {ints}>"
-    rows = numbered.mapInArrow(run, f"row long, h long, n int, number int, guess int, facts {facts}")
+    rows = numbered.mapInArrow(run, f"row long, h long, n int, number long, facts {facts}")
     joined = rows.join(words.select(F.col("h").alias("word"), "c", "class"), F.col("h") == F.col("word"), "left")
     zero = lambda c, z: F.coalesce(F.col(c), F.lit(z))
     grouped = joined.groupBy("row").agg(
         F.first("facts", ignorenulls=True).alias("facts"),
         F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("known"),
         F.sum(F.col("n") * F.log10(zero("c", 0) + F.lit(ADD))).alias("emitted"),
-        F.array_sort(F.collect_list(F.when(F.col("number") >= 0, F.struct("number", F.coalesce("class", "guess").alias("class"))))).alias("rare"),
+        F.array_sort(F.collect_list(F.when(F.col("number") >= 0, F.struct(F.col("number").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("number"), F.coalesce("class", F.shiftright("number", 32).cast("int")).alias("class"))))).alias("rare"),
     )
     flat = grouped.select("facts.doc_id", "facts.held_out", "facts.n_tokens", (F.col("facts.known") + F.col("known")).alias("known"), (F.col("facts.common") + F.col("emitted")).alias("emitted"),
                           "facts.pairs", "facts.times", "facts.before", "facts.after", F.col("rare.class").alias("rare"))

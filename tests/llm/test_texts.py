@@ -660,6 +660,57 @@ def test_class_model_scores(spark):
     assert classlm.score_documents(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("table", [20, 1 << 16])
+def test_scores_match_a_plain_recomputation(spark, table):
+    """Given the words' classes, transitions and emissions are counted and scored here word by word."""
+    rng = random.Random(12)
+    words = [f"{a}{k}" for a in ("ba", "cu", "di") for k in range(30)]
+    rows = [(i, " ".join(rng.choice(words[: 30 + i % 60]) for _ in range(rng.randint(0, 40)))) for i in range(200)] + [(200, None), (None, "ba1 neverseen ba1"), (7, "Zuzu ba2 zuzu")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sizes = {"classes": 5, "own": 12, "endings": 8, "table": table}
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0
+    tok = lambda t: (t or "").encode().lower().split()
+    train = [tok(t) for i, t in rows if not held(i)]
+    ids = [i for i, _ in rows if not held(i)]
+    model, found = classlm.learn(spark.createDataFrame([(i, t) for i, t in rows if not held(i)], df.schema), **sizes)
+    assert len(ids) == len(train)
+    by_hash = {r["h"]: (r["class"], r["c"]) for r in found.collect()}
+    key = lambda w: int(common.string_hashes(pa.array([w.decode()])).view(np.int64)[0])
+    vocabulary = {w for t in [*train, *(tok(t) for _, t in rows)] for w in t}
+    facts = {w: by_hash.get(key(w), (int(model.by_ending[classlm._ending(pa.array([w.decode()]), 8)[0]]), 0)) for w in vocabulary}
+    counts = Counter(w for t in train for w in t)
+    assert all(counts[w] == c for w, (_, c) in facts.items())
+    k, end = 6, 5
+    in_class, distinct, joint = np.zeros(k), np.zeros(k), np.zeros((k, k))
+    for w, c in counts.items():
+        in_class[facts[w][0]] += c
+        distinct[facts[w][0]] += 1
+    for t in train:
+        line = [end, *(facts[w][0] for w in t), end]
+        for a, b in zip(line, line[1:]):
+            joint[a, b] += 1
+    tokens, texts = sum(counts.values()), len(train)
+    share = (in_class + 0.1) / (in_class + 0.1).sum()
+    share[end] = (texts + 0.1) / (tokens + texts + 0.1 * k)
+    share[:end] *= (1 - share[end]) / share[:end].sum()
+    move = (joint + 5.0 * share) / (joint.sum(axis=1, keepdims=True) + 5.0)
+    want = []
+    for i, t in rows:
+        line = [(end, None), *((facts[w][0], facts[w][1]) for w in tok(t)), (end, None)]
+        score = sum(math.log10(move[a[0], b[0]]) for a, b in zip(line, line[1:]))
+        score += sum(math.log10((c + 0.1) / (in_class[g] + 0.1 * (distinct[g] + 1))) for g, c in line[1:-1])
+        want.append((-1 if i is None else i, held(i), len(tok(t)) + 1, round(score, 6)))
+    got = [(-1 if r["doc_id"] is None else r["doc_id"], r["held_out"], r["n_tokens"], round(r["score"], 6)) for r in classlm.score_documents(df, **sizes).collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_packed_counts_come_back_whole():
+    word, slot, n = np.array([0, 0, 2, 3]), np.array([0, 1023, 7, 512]), np.array([1, (1 << 22) - 1, 5, 9])
+    h, ending, row, slot2, n2 = classlm.unpack_words(classlm.pack_words(np.array([5, 6, 7, 1 << 63], np.uint64), np.array([1, 2, 255, 0]), word, slot, n))
+    assert h.view(np.uint64).tolist() == [5, 6, 7, 1 << 63] and ending.tolist() == [1, 2, 255, 0]
+    assert row.tolist() == word.tolist() and slot2.tolist() == slot.tolist() and n2.tolist() == n.tolist()
+
+
 def test_class_probabilities_sum_to_one(spark):
     df = docs_of(spark, ["a b a c", "b b d", "a d e f g"])
     model, counts = classlm.fit(df, classes=3, own=3, endings=4)
