@@ -24,7 +24,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import cut, map_arrow, masked, mix, partitions
 from .components import connected_components
@@ -221,16 +220,37 @@ def near_duplicates(docs: DataFrame, radius: int = 2) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, radius: int = 2) -> DataFrame:
-    """One row of each component, with all its columns: that of the smallest id (null ids last)."""
-    rows = cut(fingerprints(docs))
-    first = F.min(F.struct(F.col("least").isNull(), "least", "fp")).alias("first")
-    chosen = groups(rows, radius).groupBy("root").agg(first).select(F.col("first.least").alias("_id"), F.col("first.fp").alias("_of"))
+    """One row of each component, with all its columns: that of the smallest id (null ids last).
+
+    Of several rows with that id, the one of the least hash over all columns; of
+    equal rows, one.  Null and empty texts are one group with fingerprint zero;
+    long texts are read whole.  Any columns may be there.  An empty table gives
+    an empty one.  Texts are read twice and never shuffled while the keys of the
+    rows that go are fewer than the session broadcasts; beyond that, once.
+    """
+    plain = masked(docs, "doc_id", "text")
+    marked = plain.withColumn("_row", F.xxhash64(*plain.columns))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         fp = text_fingerprints(batch.column("text").to_pylist())
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(fp.view(np.int64))], names=[*batch.schema.names, "_fp"])
-
-    plain = masked(docs, "doc_id", "text")
-    marked = map_arrow(plain, run, T.StructType([*plain.schema.fields, T.StructField("_fp", T.LongType())]))
-    both = marked.join(chosen, (F.col("_fp") == F.col("_of")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id")))
-    return both.dropDuplicates(["_of"]).select(*plain.columns).toDF(*docs.columns)
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(fp.view(np.int64))], names=["doc_id", "row", "fp"])
+
+    narrow = marked.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_row").alias("row"), "text")
+    rows = cut(map_arrow(narrow, run, "doc_id long, row long, fp long"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")).alias("least")
+    first = rows.groupBy(F.col("fp").alias("of")).agg(least)
+    chosen = groups(rows, radius).drop("least").join(first, F.col("fp") == F.col("of")).groupBy("root").agg(F.min("least").alias("least")).select("least.doc_id", "least.row")
+    keys = rows.groupBy("doc_id", "row").agg(F.count("*").alias("n"))
+    stays = chosen.select(F.col("doc_id").alias("id"), F.col("row").alias("key"), F.lit(True).alias("stays"))
+    known = keys.join(stays, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("row") == F.col("key")), "left")
+    # What goes, and rows that stay but are there several times.
+    special = cut(known.where("stays IS NULL OR n > 1").select(F.col("doc_id").alias("_id"), F.col("row").alias("_key"), F.coalesce("stays", F.lit(False)).alias("_several")))
+    size = docs.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")
+    small = special.count() * 64 <= int(size.rstrip("bB")) if size.rstrip("bB").lstrip("-").isdigit() else False
+    hint = F.broadcast if small else (lambda x: x)
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_key"))
+    kept = marked.join(hint(special), same, "left_anti").select(*plain.columns)
+    several = special.where("_several")
+    if not several.isEmpty():
+        kept = kept.unionByName(marked.join(hint(several), same, "left_semi").dropDuplicates(["doc_id", "_row"]).select(*plain.columns))
+    return kept.toDF(*docs.columns)

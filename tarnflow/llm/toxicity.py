@@ -195,7 +195,12 @@ def sentence_scores(texts: pa.Array, model: MilModel) -> tuple[np.ndarray, np.nd
 
 
 def score_toxicity(docs: DataFrame, model: MilModel, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """`keep`, score (0..1), n_sentences, worst_sentence (index from 0; null: no sentence), worst_score."""
+    """`keep`, score (0..1), n_sentences, worst_sentence (index from 0; null: no sentence), worst_score.
+
+    One row per row of docs, repeated ones included.  Null and empty texts get
+    the leak; of equally bad sentences the first is the worst; long texts are
+    scored whole.  An empty table gives no rows.
+    """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # at most the vocabulary's size
     columns = docs.select(*dict.fromkeys([*keep, "text"]))
@@ -226,17 +231,19 @@ def training_sample(docs: DataFrame, labels: DataFrame, folds: int = 5, sample_d
     """Texts, labels and weights of the bounded sample.
 
     Only rows outside fold 0 are looked at.  Of each class about `sample_docs`
-    rows, chosen by a hash of their id; class counts over all labelled
-    rows give the weights that undo the even draw.
+    ids, chosen by a hash; class counts over all labelled ids give the weights
+    that undo the even draw.  An id that is labelled both ways counts as toxic;
+    of an id's several texts the least, as a string, is learnt from, so the
+    sample is bounded however often an id is repeated.
     """
-    known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), folds) != 0)).dropDuplicates(["doc_id"])
+    known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), folds) != 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     drawn = None
     for kind in (0, 1):
         part = sampled(known.where(F.col("toxic") == kind), sample_docs, counts.get(kind, 0), F.col("doc_id").cast("string"))
         drawn = part if drawn is None else drawn.unionByName(part)
     texts = docs.select("doc_id", "text").where(F.length("text") <= sample_chars)
-    rows = texts.join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "toxic").toArrow()  # about 2 * sample_docs documents
+    rows = texts.join(F.broadcast(drawn), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).toArrow()  # about 2 * sample_docs documents
     rows = rows.sort_by([("doc_id", "ascending"), ("text", "ascending")])
     toxic = rows.column("toxic").to_numpy().astype(float)
     weights = np.ones(len(toxic))
@@ -247,7 +254,13 @@ def training_sample(docs: DataFrame, labels: DataFrame, folds: int = 5, sample_d
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, folds: int = 5, threshold: float = 0.5, **sample) -> DataFrame:
-    """The rows of docs, with their columns, that score below the threshold."""
+    """The rows of docs, with their columns, that score below the threshold.
+
+    Null and empty texts have the leak's score and stay; long texts are scored
+    whole; repeated rows, null ids and ties at the threshold (which go) are
+    judged row by row; any columns may be there.  Without labels of both classes
+    all rows score the share of toxic labels.  An empty table gives an empty one.
+    """
     texts, toxic, weights = training_sample(docs, labels, folds, **sample)
     plain = masked(docs, "text")
     scored = score_toxicity(plain, fit(texts, toxic, weights), tuple(plain.columns))

@@ -225,6 +225,18 @@ def test_keep_one_keeps_the_smallest_id_and_all_columns(spark):
     assert 6 in {r["doc_id"] for r in rows} and 7 not in {r["doc_id"] for r in rows}
 
 
+@pytest.mark.parametrize("threshold", ["10485760", "-1"])
+def test_keep_one_keeps_one_of_equal_rows(spark, threshold):
+    data = [(5, "a b c d e", "en", "s", 1)] * 4 + [(5, "a b c d e", "en", "t", 1), (9, "a b c d e", "en", "s", 1), (None, "x y z", "en", "s", 1), (None, "x y z", "en", "s", 1), (2, "q r s", "en", "s", 1)]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        for rows in (data, data[::-1]):
+            kept = [tuple(r) for r in simhash.keep_one(spark.createDataFrame(rows, DOCS)).collect()]
+            assert sorted(r[0] or 0 for r in kept) == [0, 2, 5] and set(kept) <= set(data)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 # Toxicity -----------------------------------------------------------------------------------
 
 
@@ -255,6 +267,41 @@ def test_sentence_model_finds_documents_and_sentences():
         assert "rotten" in said or "vil" in said
 
 
+def test_scores_are_the_noisy_or_of_sentences(spark):
+    """Recomputed sentence by sentence from the model's weights."""
+    texts, labels = toxic_corpus(120)
+    model = toxicity.fit(texts, labels)
+    texts += ["", "Vile.\nrotten, words! no end", "  \n ", "... !!!"]
+    weight = dict(zip(model.features, model.weights))
+
+    def plain(text):
+        miss, sentence = 1 - model.leak, set()
+        line = WORD.findall(text.replace("\n", " \x1e "))  # a line break ends a sentence, be it empty
+        for k, w in enumerate(line):
+            if w != "\x1e":
+                sentence.add(w.lower())
+            if w == "\x1e" or re.search(r"[.!?]\W*$", w) or k == len(line) - 1:
+                clean = [re.sub(r"^\W+|\W+$", "", x) for x in sentence]
+                z = model.bias + sum(weight.get(f, 0.0) for x in set(clean) for f in (x, *(f"{n}:{x[:n]}" for n in (4, 5) if len(x) >= n)))
+                miss *= 1 - 1 / (1 + math.exp(-z))
+                sentence = set()
+        return 1 - miss
+
+    out = toxicity.score_toxicity(docs_of(spark, texts), model).collect()
+    got = {r["doc_id"]: r["score"] for r in out}
+    for i in (*range(120), 120, 121, 122, 123):
+        assert got[i] == pytest.approx(plain(texts[i]), abs=1e-9)
+    assert got[120] == pytest.approx(model.leak)
+
+
+def test_labels_that_contradict_and_ids_that_repeat(spark):
+    df = docs_of(spark, ["b", "a", "c"]).union(docs_of(spark, ["a"] * 3).withColumn("doc_id", F.lit(1).cast("long")))
+    ids = [i for i in range(3) if zlib.crc32(str(i).encode()) % 5]
+    known = spark.createDataFrame([(i, 1, x) for i in ids for x in (0, 1)], "doc_id long, quality int, toxic int")
+    texts, toxic, _ = toxicity.training_sample(df, known)
+    assert texts == [["b", "a", "c"][i] for i in ids] and toxic.tolist() == [1.0] * len(ids)
+
+
 def test_toxicity_scores_every_row(spark):
     texts, labels = toxic_corpus(200)
     df = docs_of(spark, texts).unionByName(awkward(spark).select("doc_id", "text", "lang", "source", "n_chars"))
