@@ -12,7 +12,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 FACTORS = ("ssp_scenario", "climate_model", "hydro_model", "month")
@@ -119,20 +119,20 @@ def anova(panel: DataFrame, target: str, model_name: str = "base", terms: tuple[
     """
     terms = terms or terms_of(target)
     rows = panel.dropna(subset=[target, "BASIN_ID", *FACTORS, "year"])
-    about = rows.groupBy("BASIN_ID").agg(
-        F.count("*").alias("_n"), *(F.count_distinct(c).alias(f"_{c}") for c in FACTORS[:3]), F.min("NAME").alias("basin_name"), F.min("REGION").alias("region"),
+    v = F.col(target).cast("double")
+    cells = rows.groupBy("BASIN_ID", *FACTORS, "year").agg(
+        F.count("*").alias("n"), F.sum(v).alias("s"), F.sum(v * v).alias("ss"), F.min("NAME").alias("basin_name"), F.min("REGION").alias("region"),
         (F.min("area_km2") if "area_km2" in panel.columns else F.min(F.lit(None).cast("double"))).alias("area_km2"),
     )
-    fine = about.where((F.col("_n") >= least) & (F.col("_ssp_scenario") > 1) & (F.col("_climate_model") > 1) & (F.col("_hydro_model") > 1))
-    v = F.col(target).cast("double")
-    cells = rows.groupBy("BASIN_ID", *FACTORS, "year").agg(F.count("*").alias("n"), F.sum(v).alias("s"), F.sum(v * v).alias("ss"))
-    cells = cells.join(fine.select("BASIN_ID", "basin_name", "region", "area_km2"), "BASIN_ID")
     names = [term_name(t) for t in terms]
+    least_of = lambda c: c.dropna().min() if c.notna().any() else None
 
     def one(group: pd.DataFrame) -> pd.DataFrame:
+        if group["n"].sum() < least or any(group[c].nunique() < 2 for c in FACTORS[:3]):
+            return pd.DataFrame()
         out = fit_cells(group.sort_values([*FACTORS, "year"]), terms)
         total = sum(q for q, _ in out["table"].values()) + out["residual"]
-        row = {"basin_id": group["BASIN_ID"].iloc[0], "basin_name": group["basin_name"].iloc[0], "region": group["region"].iloc[0], "area_km2": group["area_km2"].iloc[0], "n_observations": out["n"], "r_squared": out["r2"], "temporal_model": model_name, "mean_value": out["mean"], "std_value": out["std"]}
+        row = {"basin_id": group["BASIN_ID"].iloc[0], "basin_name": least_of(group["basin_name"]), "region": least_of(group["region"]), "area_km2": least_of(group["area_km2"]), "n_observations": out["n"], "r_squared": out["r2"], "temporal_model": model_name, "mean_value": out["mean"], "std_value": out["std"]}
         for t, name in zip(terms, names):
             row[f"{name}_pct"] = 100 * out["table"][t][0] / total if total > 0 else 0.0
             row[f"{name}_pvalue"] = out["p"][t]
@@ -199,11 +199,12 @@ def one_way(panel: DataFrame, target: str, factor: str) -> DataFrame:
     """Per basin, without Python: sums of squares between and within the factor's levels, and F."""
     rows = panel.dropna(subset=["BASIN_ID", factor, target])
     v = F.col(target).cast("double")
-    by_level = rows.groupBy("BASIN_ID", factor).agg(F.count("*").alias("n"), F.sum(v).alias("s"), F.sum(v * v).alias("ss"))
-    out = by_level.groupBy("BASIN_ID").agg(
-        F.sum("n").alias("n"), F.count("*").alias("levels"),
-        (F.sum(F.col("s") * F.col("s") / F.col("n")) - F.sum("s") * F.sum("s") / F.sum("n")).alias("ss_between"),
-        (F.sum("ss") - F.sum(F.col("s") * F.col("s") / F.col("n"))).alias("ss_within"),
+    by_level = rows.groupBy("BASIN_ID", factor).agg(F.count("*").alias("n"), F.avg(v).alias("_mean"), (F.var_pop(v) * F.count("*")).alias("_within"))
+    # Squares of differences, not differences of squares: those cancel where means are large.
+    basin = Window.partitionBy("BASIN_ID")
+    about = F.col("_mean") - F.sum(F.col("n") * F.col("_mean")).over(basin) / F.sum("n").over(basin)
+    out = by_level.withColumn("_between", F.col("n") * about * about).groupBy("BASIN_ID").agg(
+        F.sum("n").alias("n"), F.count("*").alias("levels"), F.sum("_between").alias("ss_between"), F.sum("_within").alias("ss_within"),
     )
     f = (F.col("ss_between") / (F.col("levels") - 1)) / (F.col("ss_within") / (F.col("n") - F.col("levels")))
     return out.withColumn("f", F.when((F.col("levels") > 1) & (F.col("n") > F.col("levels")) & (F.col("ss_within") > 0), f))

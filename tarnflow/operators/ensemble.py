@@ -123,10 +123,15 @@ def variance_decomposition(annual: DataFrame, value: str) -> DataFrame:
     0 with one level only or no variance; residual_pct = 100 - the four.
     """
     names = {"ssp": "ssp_scenario", "climate_model": "climate_model", "hydro_model": "hydro_model", "year": "year"}
-    out = annual.groupBy("BASIN_ID").agg(F.var_samp(value).alias("total_variance"))
-    for short, column in names.items():
-        means = annual.where(F.col(column).isNotNull()).groupBy("BASIN_ID", column).agg(F.avg(value).alias("m"))
-        out = out.join(means.groupBy("BASIN_ID").agg(F.coalesce(F.var_samp("m"), F.lit(0.0)).alias(f"{short}_variance")), "BASIN_ID", "left")
+    columns = list(names.values())
+    # One pass: the whole basin and each factor's levels are grouping sets; _set has a bit for each column left out.
+    sets = annual.groupingSets([["BASIN_ID"], *(["BASIN_ID", c] for c in columns)], "BASIN_ID", *columns)
+    means = sets.agg(F.avg(value).alias("_m"), F.var_samp(value).alias("_v"), F.grouping_id().alias("_set"))
+    n = len(columns)
+    whole = 2**n - 1
+    of = lambda k, c: F.var_samp(F.when((F.col("_set") == whole - 2 ** (n - 1 - k)) & F.col(c).isNotNull(), F.col("_m")))
+    parts = [F.coalesce(of(k, c), F.lit(0.0)).alias(f"{short}_variance") for k, (short, c) in enumerate(names.items())]
+    out = means.groupBy("BASIN_ID").agg(F.max(F.when(F.col("_set") == whole, F.col("_v"))).alias("total_variance"), *parts)
     total = F.col("total_variance")
     share = lambda s: F.when(total > 0, F.coalesce(F.col(f"{s}_variance"), F.lit(0.0)) / total * 100).otherwise(0.0)
     out = out.withColumns({f"{s}_pct": share(s) for s in names})

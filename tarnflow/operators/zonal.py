@@ -37,7 +37,10 @@ def zonal(grid: DataFrame, mapped: DataFrame, method: str = "sum", variable: str
 
 
 def sample_steps(grid: DataFrame, every: int = 1, first: int | None = None) -> DataFrame:
-    """Every n-th time step, of the first ones only if `first` is given; both reach the scan as filters."""
+    """Every n-th time step, of the first ones only if `first` is given.
+
+    They filter what the scan yields; to read only the first steps of files, give the reader `steps`.
+    """
     kept = grid.where(F.col("time_idx") < first) if first is not None else grid
     return kept.where(F.col("time_idx") % every == 0) if every > 1 else kept
 

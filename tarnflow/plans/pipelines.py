@@ -15,7 +15,7 @@ from ..operators.rolling import future_only, rolling_means, with_periods
 from ..operators.zonal import with_basins, zonal
 from ..schema import METADATA, RUN
 from ..sources.discovery import find_cubes
-from ..sources.netcdf import read_area, read_cube
+from ..sources.netcdf import read_area, read_cells, read_cube
 from ..sources.shapefile import read_basins
 from ..sources.sinks import write_csv
 from .config import RunConfig
@@ -24,15 +24,16 @@ from .config import RunConfig
 TARGETS = {"qtot_mean": "annual", "qtot_mean_5yr": "5yr_rolling", "qtot_mean_30yr": "30yr_rolling"}
 
 
-def basin_series(grid: DataFrame, basins: DataFrame, area: DataFrame | None, variable: str, method: str = "sum", overlap: str = "all", days_per_year: float = 365.25) -> DataFrame:
+def basin_series(grid: DataFrame, basins: DataFrame, area: DataFrame | None, variable: str, method: str = "sum", overlap: str = "all", days_per_year: float = 365.25, cells: DataFrame | None = None) -> DataFrame:
     """Grid to basins in km3 per year: metadata, date, value; basins without cells have one row without a date.
 
     The map of cells, areas and the factor are joined once, small and first.
+    Without `cells` (lat_idx, lon_idx, lat, lon) they come from a pass over the grid.
     """
     factor, needs_area = unit_factor(variable, days_per_year)
     if needs_area and area is None:
         raise ValueError(f"{variable} needs cell areas")
-    cells = grid.select("lat_idx", "lon_idx", "lat", "lon").distinct()
+    cells = grid.select("lat_idx", "lon_idx", "lat", "lon").distinct() if cells is None else cells
     mapped = with_weights(cell_basin(cells, basins, overlap), area if needs_area else None, factor)
     return with_basins(basins, zonal(grid, mapped, method, variable))
 
@@ -43,7 +44,7 @@ def process_run(spark: SparkSession, config: RunConfig) -> list[str]:
     grid = read_cube(spark, files, config.variable)
     basins = read_basins(spark, config.basin_shapefile)
     area = read_area(spark, config.area_file) if config.variable != "dis" else None
-    out = basin_series(grid, basins, area, config.variable, config.spatial_method)
+    out = basin_series(grid, basins, area, config.variable, config.spatial_method, cells=read_cells(spark, files[0], config.variable))
     name = run_file(config.variable, config.temporal_resolution, config.hydro_model, config.climate_model, config.scenario, config.data_period).removesuffix(".csv")
     long = f"{config.output_dir}/{name}.parquet"
     out.withColumnRenamed("value", config.variable).write.mode("overwrite").parquet(long)

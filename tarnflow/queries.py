@@ -396,6 +396,18 @@ def _two_methods(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     return one("l_quantity"), one("net")
 
 
+_LENGTHS = {**rolling.MONTHLY, "1825d": rolling.DAILY["5yr"]}
+
+
+@_query(f"WITH {_PAIRS} SELECT BASIN_ID, date, " + ", ".join(f"round(CASE WHEN count(x) OVER w_{name} = {n} THEN avg(x) OVER w_{name} END, 6) AS value_{name}" for name, n in _LENGTHS.items())
+        + " FROM a WINDOW " + ", ".join(f"w_{name} AS (PARTITION BY BASIN_ID ORDER BY date ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)" for name, n in _LENGTHS.items()), dates=("date",))
+def rolling_default_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The default lengths, on long daily series."""
+    series, _ = _two_methods(spark, sf_dir)
+    out = rolling.rolling_means(series, "value", _LENGTHS, ("BASIN_ID",))
+    return _round(out.drop("value"), *[f"value_{name}" for name in _LENGTHS])
+
+
 @_query(f"WITH {_PAIRS} SELECT {_MEASURES} FROM a")
 def agreement_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = _two_methods(spark, sf_dir)
@@ -553,9 +565,19 @@ def method_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outlet.agreement(_report(spark, sf_dir), _report(spark, sf_dir, overlap="last"))
 
 
-@_query()
+_HALF = 0.5
+_SIDES = [f"((x2 - x1) * (lat + {b * _HALF} - y1) - (y2 - y1) * (lon + {a * _HALF} - x1))" for a in (-1, 1) for b in (-1, 1)]
+
+
+@_query(f"""WITH {_GRID}, touched AS (SELECT DISTINCT CAST(BASIN_ID AS BIGINT) AS BASIN_ID, lat_idx, lon_idx FROM cells JOIN edges
+  ON least(x1, x2) <= lon + {_HALF} AND greatest(x1, x2) >= lon - {_HALF} AND least(y1, y2) <= lat + {_HALF} AND greatest(y1, y2) >= lat - {_HALF} AND least({", ".join(_SIDES)}) <= 0 AND greatest({", ".join(_SIDES)}) >= 0),
+both_ AS (SELECT BASIN_ID, lat_idx, lon_idx, max(contained) AS contained FROM (SELECT *, 1 AS contained FROM mapped UNION ALL SELECT *, 0 FROM touched) GROUP BY BASIN_ID, lat_idx, lon_idx),
+o AS (SELECT BASIN_ID, time_idx, lat_idx, lon_idx FROM (SELECT *, row_number() OVER (PARTITION BY BASIN_ID, time_idx ORDER BY value DESC, contained DESC, lat_idx, lon_idx) AS k FROM grid JOIN both_ USING (lat_idx, lon_idx)) WHERE k = 1),
+r AS (SELECT BASIN_ID, count(DISTINCT lat_idx || ':' || lon_idx) AS n, count(*) AS seen FROM o GROUP BY BASIN_ID)
+SELECT CAST(b AS BIGINT) AS BASIN_ID, CASE WHEN n IS NULL THEN 'empty' WHEN n = 1 THEN 'fixed' ELSE 'moving' END AS status, CAST(coalesce(n, 0) AS INTEGER) AS n_unique_locations, coalesce(seen, 0) AS n_observations
+FROM (VALUES (1), (2), (3), (4)) t(b) LEFT JOIN r ON r.BASIN_ID = b""")
 def outlet_all_touched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mapped = _map(spark, all_touched=True, half=0.5, mark_contained=True)
+    mapped = _map(spark, all_touched=True, half=_HALF, mark_contained=True)
     report = outlet.stability(outlet.outlets(grid(spark, sf_dir), mapped), basins(spark))
     return report.select("BASIN_ID", "status", "n_unique_locations", "n_observations")
 

@@ -35,4 +35,3 @@ HYDRO_MODELS = ("H08", "CWatM", "JULES-W2", "MIROC-INTEG-LAND", "WaterGAP2-2e")
 CLIMATE_MODELS = ("gfdl-esm4", "ipsl-cm6a-lr", "mpi-esm1-2-hr", "mri-esm2-0", "ukesm1-0-ll")
 SCENARIOS = ("ssp126", "ssp370", "ssp585")
 VARIABLES = ("qtot", "qr")
-REPRESENTATIVE_BASINS = ("Amazon", "Congo", "Yangtze", "Ganges Bramaputra", "Indus", "Danube", "Mekong", "Mississippi", "Nile", "Persian Gulf Coast", "Australia Interior")

@@ -139,6 +139,7 @@ class _Chunk(InputPartition):
     path: str
     first: int
     count: int
+    step: int  # time_idx of the first
 
 
 def _coordinate(h: Header, names: tuple[str, ...]) -> str:
@@ -154,12 +155,13 @@ class _Reader(DataSourceReader):
         self.static = static
 
     def partitions(self):
-        out = []
+        out, before = [], 0
         for path in self.paths:
             with open(path, "rb") as f:
                 n = 1 if self.static else read_header(f).shape(self.variable)[0]
             n = min(n, self.last) if self.last is not None else n
-            out += [_Chunk(path, a, min(self.chunk, n - a)) for a in range(0, n, self.chunk)]
+            out += [_Chunk(path, a, min(self.chunk, n - a), before + a) for a in range(0, n, self.chunk)]
+            before += n
         return out
 
     def read(self, part):
@@ -186,13 +188,16 @@ class _Reader(DataSourceReader):
             for k, date in enumerate(dates):
                 n = len(y)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, part.first + k, np.int32)), pa.array([date] * n, pa.date32()), pa.array(y.astype(np.int32)), pa.array(x.astype(np.int32)), pa.array(lat[y]), pa.array(lon[x]), pa.array(values[k].ravel(), mask=gone[k].ravel())],
+                    [pa.array(np.full(n, part.step + k, np.int32)), pa.array([date] * n, pa.date32()), pa.array(y.astype(np.int32)), pa.array(x.astype(np.int32)), pa.array(lat[y]), pa.array(lon[x]), pa.array(values[k].ravel(), mask=gone[k].ravel())],
                     names=GRID.names,
                 )
 
 
 class NetCdfSource(DataSource):
-    """Cubes [time, lat, lon]; options: variable, chunk (time steps a partition, 100), steps (the first n only)."""
+    """Cubes [time, lat, lon]; options: variable, chunk (time steps a partition, 100), steps (the first n of each file only).
+
+    Several files are one time axis in the order of their names: time_idx goes on from file to file.
+    """
 
     @classmethod
     def name(cls):
@@ -227,6 +232,11 @@ def read_cube(spark: SparkSession, paths: list[str] | str, variable: str, chunk:
     return reader.load(paths if isinstance(paths, str) else ",".join(paths))
 
 
+def read_cells(spark: SparkSession, path: str, variable: str) -> DataFrame:
+    """lat_idx, lon_idx, lat, lon of a file's grid, from its first time step alone."""
+    return read_cube(spark, path, variable, steps=1).select("lat_idx", "lon_idx", "lat", "lon")
+
+
 def read_area(spark: SparkSession, path: str, variable: str = "land area", strict: bool = True) -> DataFrame | None:
     """The area field; without the file an error, or None if not strict."""
     if not glob.glob(path):

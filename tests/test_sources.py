@@ -12,7 +12,7 @@ from tarnflow.plans.config import RunConfig
 from tarnflow.plans.pipelines import process_run, rolling_panel, variance_analysis
 from tarnflow.sources import sinks
 from tarnflow.sources.discovery import available_models, find_cubes, glob_cubes, run_directory, run_files
-from tarnflow.sources.netcdf import decode_times, read_area, read_cube, write_cube
+from tarnflow.sources.netcdf import decode_times, read_area, read_cells, read_cube, write_cube
 from tarnflow.sources.shapefile import read_attributes, read_basins, write_basins
 from tarnflow.sources.wide_csv import load_runs, read_long, read_panel
 from tarnflow.streaming.monthly import finish_months, monthly_stream
@@ -35,7 +35,12 @@ def test_cube_round_trip_in_chunks(spark, tmp_path):
     assert rows[4, 3, 2]["value"] == 59.0 and rows[1, 2, 0]["date"] == dt.date(2015, 2, 28) and rows[1, 2, 0]["lat"] == -0.25
     assert read_cube(spark, str(tmp_path / "a.nc"), "qtot", steps=2).count() == 24
     write_cube(str(tmp_path / "b.nc"), "qtot", values[:1], LAT, LON, np.arange(1))
-    assert read_cube(spark, [str(tmp_path / "a.nc"), str(tmp_path / "b.nc")], "qtot").count() == 72
+    # Two files are one time axis: the second file's only step comes after the first file's five.
+    both = read_cube(spark, [str(tmp_path / "a.nc"), str(tmp_path / "b.nc")], "qtot", chunk=2)
+    steps = {r["time_idx"]: (r["n"], r["date"]) for r in both.groupBy("time_idx").agg(F.count("*").alias("n"), F.min("date").alias("date")).collect()}
+    assert sorted(steps) == list(range(6)) and all(n == 12 for n, _ in steps.values()) and steps[5][1] == dt.date(1850, 1, 1)
+    cells = read_cells(spark, str(tmp_path / "a.nc"), "qtot")
+    assert cells.count() == 12 and sorted(map(tuple, cells.collect())) == sorted(map(tuple, both.select(*cells.columns).distinct().collect()))
     (tmp_path / "c.nc").write_bytes(b"\x89HDF\r\n\x1a\n")
     with pytest.raises(Exception, match="HDF5"):
         read_cube(spark, str(tmp_path / "c.nc"), "qtot").count()
@@ -140,7 +145,8 @@ def test_panel_pipelines_and_sinks(spark, tmp_path):
 
 
 def test_streaming_months_equal_batch(spark, tmp_path):
-    rows = [(b, dt.date(2001, m, d), float(b * m + d)) for b in (1, 2) for m in (1, 2, 3) for d in range(1, 29)]
+    # Large means beside small differences: sums of squares would cancel.
+    rows = [(b, dt.date(2001, m, d), 1e9 + b * m + d) for b in (1, 2) for m in (1, 2, 3) for d in range(1, 29)]
     schema = "BASIN_ID long, date date, q double"
     df = spark.createDataFrame(rows, schema)
     df.repartition(3).write.parquet(str(tmp_path / "in"))
