@@ -129,73 +129,44 @@ def monthly_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(_monthly(spark, sf_dir), "qtot_mean", "qtot_std")
 
 
-_DATES = [f"1997-{m:02d}-15" for m in range(1, 13)]
 _WIDE_KEYS = ("BASIN_ID", "NAME", "REGION")
+_BY_MONTH = f"WITH {_PANEL} SELECT BASIN_ID, NAME, REGION, make_date(year, month, 15) AS date, max(qtot) AS qtot, year, month FROM panel GROUP BY BASIN_ID, NAME, REGION, year, month"
 
 
-def _wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    by_basin = monthly(daily_panel(spark, sf_dir).where("year = 1997"), "qtot", _WIDE_KEYS, ("max",))
-    return pn.to_wide(by_basin, "qtot", _DATES, _WIDE_KEYS)
+def _dates(by_basin: DataFrame) -> list[str]:
+    return [r["date"].isoformat() for r in by_basin.select("date").distinct().orderBy("date").collect()]  # one a month
 
 
-_COLUMNS = ", ".join(f"""max(qtot) FILTER (WHERE month = {m}) AS "{d}\"""" for m, d in enumerate(_DATES, 1))
+def _wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    by_basin = monthly(daily_panel(spark, sf_dir), "qtot", _WIDE_KEYS, ("max",))
+    return pn.to_wide(by_basin, "qtot", _dates(by_basin), _WIDE_KEYS)
 
 
-@_query(f"WITH {_PANEL} SELECT BASIN_ID, NAME, REGION, {_COLUMNS} FROM panel WHERE year = 1997 GROUP BY BASIN_ID, NAME, REGION")
+# A column for each month or year that the panel has.
+@_query(f"SELECT * FROM (PIVOT (SELECT BASIN_ID, NAME, REGION, CAST(date AS VARCHAR) AS date, qtot FROM ({_BY_MONTH})) ON date USING max(qtot) GROUP BY BASIN_ID, NAME, REGION)")
 def wide_basin_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _wide(spark, sf_dir)
 
 
-@_query(f"WITH {_PANEL} SELECT BASIN_ID, NAME, REGION, make_date(year, month, 15) AS date, max(qtot) AS qtot, year, month FROM panel WHERE year = 1997 GROUP BY BASIN_ID, NAME, REGION, year, month", dates=("date",))
+@_query(_BY_MONTH, dates=("date",))
 def unpivot_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pn.to_long(_wide(spark, sf_dir), "qtot", _WIDE_KEYS)
 
 
-def _wide_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    by_basin = monthly(daily_panel(spark, sf_dir), "qtot", _WIDE_KEYS, ("max",))
-    dates = [r["date"].isoformat() for r in by_basin.select("date").distinct().orderBy("date").collect()]  # one a month
-    return pn.to_wide(by_basin, "qtot", dates, _WIDE_KEYS)
-
-
-# The whole panel: a column for each month that it has.  (SQL with fixed columns cannot say that.)
-@_query()
-def wide_basin_table_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _wide_whole(spark, sf_dir)
-
-
-@_query(f"WITH {_PANEL} SELECT BASIN_ID, NAME, REGION, make_date(year, month, 15) AS date, max(qtot) AS qtot, year, month FROM panel GROUP BY BASIN_ID, NAME, REGION, year, month", dates=("date",))
-def unpivot_long_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pn.to_long(_wide_whole(spark, sf_dir), "qtot", _WIDE_KEYS)
-
-
-_STEPS = ", ".join(f"round(avg(qtot) FILTER (WHERE month = {m}), 6) AS timestep_{m}" for m in range(1, 13))
-
-
-@_query(f"WITH {_PANEL} SELECT BASIN_ID, {_STEPS} FROM panel WHERE year = 1998 GROUP BY BASIN_ID")
+@_query(f"""SELECT * FROM (PIVOT (SELECT BASIN_ID, 'timestep_' || dense_rank() OVER (ORDER BY year, month) AS step, qtot
+FROM (WITH {_PANEL} SELECT BASIN_ID, year, month, round(avg(qtot), 6) AS qtot FROM panel GROUP BY BASIN_ID, year, month)) ON step USING max(qtot) GROUP BY BASIN_ID)""")
 def timestep_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    by_basin = monthly(daily_panel(spark, sf_dir).where("year = 1998"), "qtot", ("BASIN_ID",), ("mean",))
-    return pn.to_steps(_round(by_basin, "qtot").withColumn("time_idx", F.col("month") - 1), "qtot", 12)
-
-
-_YEARS = [1995, 1996, 1997, 1998]
-_BY_YEAR = ", ".join(f"""sum(qtot) FILTER (WHERE year = {y}) AS "{y}\"""" for y in _YEARS)
+    by_basin = monthly(daily_panel(spark, sf_dir), "qtot", ("BASIN_ID",), ("mean",))
+    dates = _dates(by_basin)
+    step = F.array_position(F.lit(dates), F.col("date").cast("string")) - 1
+    return pn.to_steps(_round(by_basin, "qtot").withColumn("time_idx", step), "qtot", len(dates))
 
 
-@_query(f"""WITH {_PANEL}, a AS (SELECT BASIN_ID, {_BY_YEAR} FROM panel GROUP BY BASIN_ID)
-SELECT CAST(n_nationkey AS BIGINT) AS BASIN_ID, n_name AS BCU_name, "1995", "1996", "1997", "1998", 'CWatM' AS Model, 'historical' AS Scenario, 'qtot' AS Variable, 'R12' AS Region, 'km3/year' AS Unit
-FROM nation LEFT JOIN a ON n_nationkey = a.BASIN_ID""")
+@_query(f"""SELECT CAST(n_nationkey AS BIGINT) AS BASIN_ID, n_name AS BCU_name, a.* EXCLUDE (basin), 'CWatM' AS Model, 'historical' AS Scenario, 'qtot' AS Variable, 'R12' AS Region, 'km3/year' AS Unit
+FROM nation LEFT JOIN (PIVOT (WITH {_PANEL} SELECT BASIN_ID AS basin, CAST(year AS VARCHAR) AS year, sum(qtot) AS qtot FROM panel WHERE year IS NOT NULL GROUP BY BASIN_ID, year) ON year USING max(qtot) GROUP BY basin) a ON n_nationkey = a.basin""")
 def annual_wide_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _annual_wide(spark, sf_dir, _YEARS)
-
-
-@_query()
-def annual_wide_table_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    years = daily_panel(spark, sf_dir).select("year").where("year IS NOT NULL").distinct().orderBy("year").collect()
-    return _annual_wide(spark, sf_dir, [r["year"] for r in years])
-
-
-def _annual_wide(spark: SparkSession, sf_dir: str, years: list[int]) -> DataFrame:
     annual = daily_panel(spark, sf_dir).groupBy("BASIN_ID", "year").agg(F.sum("qtot").alias("value"))
+    years = [r["year"] for r in annual.select("year").where("year IS NOT NULL").distinct().orderBy("year").collect()]
     basins = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("BASIN_ID"), F.col("n_name").alias("BCU_name"))
     return pn.to_years(annual, basins, years, {"Model": "CWatM", "Scenario": "historical", "Variable": "qtot", "Region": "R12", "Unit": "km3/year"})
 

@@ -47,7 +47,7 @@ def test_whole_tables_have_every_month_and_year(spark, sf_dir, duck):
     """The sums over all cells are those over the whole panel."""
     month = f"WITH {q._PANEL} SELECT count(*), sum(m), count(DISTINCT date) FROM (SELECT max(qtot) AS m, make_date(year, month, 15) AS date FROM panel GROUP BY BASIN_ID, year, month)"
     year = f"WITH {q._PANEL} SELECT count(*), sum(s), count(DISTINCT year) FROM (SELECT sum(qtot) AS s, year FROM panel GROUP BY BASIN_ID, year)"
-    for name, sql, ids in (("wide_basin_table_whole", month, 3), ("annual_wide_table_whole", year, 7)):
+    for name, sql, ids in (("wide_basin_table", month, 3), ("annual_wide_table", year, 7)):
         got = q.QUERIES[name](spark, sf_dir)
         columns = [c for c in got.columns if c[:4].isdigit()]
         cells = [r[c] for r in got.collect() for c in columns if r[c] is not None]
