@@ -10,14 +10,14 @@ from ..functions.naming import run_file
 from ..operators import anova as av
 from ..operators.geo import cell_basin, with_weights
 from ..operators.monthly import monthly
-from ..operators.panel import date_columns, join_history, to_wide
+from ..operators.panel import join_history
 from ..operators.rolling import future_only, rolling_means, with_periods
 from ..operators.zonal import with_basins, zonal
 from ..schema import METADATA, RUN
 from ..sources.discovery import find_cubes
 from ..sources.netcdf import read_area, read_cells, read_cube
 from ..sources.shapefile import read_basins
-from ..sources.sinks import write_csv
+from ..sources.sinks import write_wide
 from .config import RunConfig
 
 #: Target columns of the variance analysis and the name of each temporal model.
@@ -50,7 +50,7 @@ def process_run(spark: SparkSession, config: RunConfig) -> list[str]:
     out.withColumnRenamed("value", config.variable).write.mode("overwrite").parquet(long)
     written = spark.read.parquet(long)
     dates = [str(r["date"]) for r in written.select("date").where("date IS NOT NULL").distinct().orderBy("date").collect()]
-    write_csv(to_wide(written, config.variable, dates).select(*METADATA, *[f"`{d}`" for d in date_columns(dates)]), f"{config.output_dir}/{name}.csv")
+    write_wide(written, config.variable, dates, METADATA, f"{config.output_dir}/{name}.csv")
     return [long, f"{config.output_dir}/{name}.csv"]
 
 

@@ -7,6 +7,7 @@ import sys
 from datetime import datetime
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +24,36 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
+def wide_lines(long: DataFrame, value: str, dates: list[str], ids: tuple[str, ...]) -> DataFrame:
+    """One CSV line per ids, column `line`: ids, then a value or nothing for each of the sorted dates.
+
+    No column is made of a date, so daily series of many thousand steps make the
+    same plan as short ones.  Of several values of one date the least counts.
+    """
+    spark = long.sparkSession
+    places = F.broadcast(spark.createDataFrame([(d, n) for n, d in enumerate(dates)], "_date string, _at int"))  # one row a date
+    placed = long.withColumn("_date", F.col("date").cast("string")).join(places, "_date", "left")
+    cells = placed.groupBy(*ids, "_at").agg(F.min(value).alias("_v"))
+    known = F.filter(F.sort_array(F.collect_list(F.struct("_at", "_v"))), lambda x: x["_at"].isNotNull() & x["_v"].isNotNull())
+    rows = cells.groupBy(*ids).agg(known.alias("_c"))
+    at = lambda k: F.coalesce(F.get(F.col("_c"), k)["_at"], F.lit(0))
+    values = F.transform("_c", lambda x, k: F.concat(F.repeat(F.lit(","), x["_at"] - at(k - 1)), x["_v"].cast("string")))
+    rest = F.repeat(F.lit(","), F.lit(len(dates) - 1) - at(F.size("_c") - 1))
+    line = [F.lit(","), F.array_join(values, ""), rest] if dates else []
+    return rows.select(F.concat(F.to_csv(F.struct(*ids)), *line).alias("line"))
+
+
+def write_wide(long: DataFrame, value: str, dates: list[str], ids: tuple[str, ...], path: str) -> None:
+    """A folder of CSV parts, each with the header: ids and one column per date."""
+    header = ",".join([*ids, *dates])
+
+    def headed(batches):
+        yield pa.RecordBatch.from_arrays([pa.array([header])], names=["line"])
+        yield from batches
+
+    wide_lines(long, value, dates, ids).mapInArrow(headed, "line string").write.mode("overwrite").option("compression", "none").text(path)
+
+
 def write_results(results: dict[str, DataFrame], folder: str) -> list[str]:
     """Each named frame as CSV below the folder."""
     out = []

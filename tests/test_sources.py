@@ -10,11 +10,12 @@ from tarnflow.operators.monthly import monthly
 from tarnflow.plans import cli
 from tarnflow.plans.config import RunConfig
 from tarnflow.plans.pipelines import process_run, rolling_panel, variance_analysis
+from tarnflow.schema import METADATA
 from tarnflow.sources import sinks
 from tarnflow.sources.discovery import available_models, find_cubes, glob_cubes, run_directory, run_files
 from tarnflow.sources.netcdf import decode_times, read_area, read_cells, read_cube, write_cube
 from tarnflow.sources.shapefile import read_attributes, read_basins, write_basins
-from tarnflow.sources.wide_csv import load_runs, read_long, read_panel
+from tarnflow.sources.wide_csv import load_runs, read_long, read_panel, read_wide
 from tarnflow.streaming.monthly import finish_months, monthly_stream
 
 LAT, LON = np.array([0.75, 0.25, -0.25, -0.75]), np.array([0.25, 0.75, 1.25])
@@ -46,6 +47,29 @@ def test_cube_round_trip_in_chunks(spark, tmp_path):
         read_cube(spark, str(tmp_path / "c.nc"), "qtot").count()
 
 
+def test_filters_reach_the_cube(spark, tmp_path):
+    values = np.arange(7 * 4 * 3, dtype=float).reshape(7, 4, 3)
+    paths = [str(tmp_path / f"{n}.nc") for n in "ab"]
+    write_cube(paths[0], "qtot", values, LAT, LON, np.arange(7), "months since 2015-1-1")
+    write_cube(paths[1], "qtot", values + 100, LAT, LON, np.arange(7, 14), "months since 2015-1-1")
+    whole = read_cube(spark, paths, "qtot", chunk=3)
+    everything = sorted(map(tuple, whole.collect()))
+    assert whole.rdd.getNumPartitions() == 6 and len(everything) == 14 * 12
+    day = lambda m: dt.date(2015, m, 1)
+    for where, chunks, fits in (
+        (F.col("time_idx") == 8, 1, lambda r: r[0] == 8),
+        ((F.col("time_idx") >= 2) & (F.col("time_idx") < 4), 2, lambda r: 2 <= r[0] < 4),
+        (F.col("time_idx").isin(0, 13), 2, lambda r: r[0] in (0, 13)),
+        (F.col("date") > F.lit(day(9)), 2, lambda r: r[1] > day(9)),
+        (F.col("date").between(F.lit(day(2)), F.lit(day(3))), 1, lambda r: day(2) <= r[1] <= day(3)),
+        ((F.col("date") <= F.lit(day(4))) & (F.col("lat_idx") == 1), 2, lambda r: r[1] <= day(4) and r[2] == 1),
+        ((F.col("time_idx") == 1) | (F.col("lon_idx") == 2), 6, lambda r: r[0] == 1 or r[3] == 2),
+        (F.col("time_idx") > 99, 1, lambda r: False),
+    ):
+        kept = whole.where(where)
+        assert kept.rdd.getNumPartitions() <= chunks and sorted(map(tuple, kept.collect())) == [r for r in everything if fits(r)]
+
+
 def test_times_match_the_column_form():
     assert decode_times(np.array([0.5, 1.5]), "days since 2000-2-28") == [dt.date(2000, 2, 28), dt.date(2000, 3, 1)]
     assert decode_times(np.array([12, 13]), "months since 1999-12-31") == [dt.date(2000, 12, 31), dt.date(2001, 1, 31)]
@@ -111,13 +135,36 @@ def test_grid_to_files_end_to_end(spark, tmp_path):
     rows = {(r["BASIN_ID"], str(r["date"])): r["qtot"] for r in spark.read.parquet(long).collect()}
     factor = 365.25 * 86400 * 1e-12 * 1e6
     assert rows[1, "2015-01-01"] == pytest.approx(4 * factor) and rows[1, "2015-02-01"] == pytest.approx(8 * factor) and rows[2, "None"] is None
-    assert "2015-02-01" in spark.read.option("header", True).csv(wide).columns
+    table = spark.read.option("header", True).csv(wide)
+    assert table.columns[-2:] == ["2015-01-01", "2015-02-01"]
+    lines = {r["BASIN_ID"]: r for r in table.collect()}
+    assert float(lines["1"]["2015-02-01"]) == rows[1, "2015-02-01"] and lines["2"]["2015-01-01"] is None and lines["1"]["BCU_name"] == "bcu, 1"
     assert read_area(spark, str(tmp_path / "no.nc"), strict=False) is None
     argv = ["aggregate", "--test-file", config.test_file, "--area-file", config.area_file, "--basin-shapefile", config.basin_shapefile, "--output-dir", str(tmp_path / "cli")]
     assert cli.main(argv, spark) == 0 and (tmp_path / "cli").is_dir()
     assert cli.main(["sweep", "--dry-run"], spark) == 0
 
 
+@pytest.mark.parametrize("n", [4, 2500])
+def test_wide_files_come_back(spark, tmp_path, n):
+    dates = [dt.date(2000, 1, 1) + dt.timedelta(days=k) for k in range(n)]
+    ids = "BASIN_ID long, BCU_name string, NAME string, REGION string, area_km2 double"
+    rows = [(1, "a, \"b\"", "x", None, 1.5, d, k + 0.25) for k, d in enumerate(dates) if k not in (0, 2)]
+    rows += [(2, "c", "y", "z", 2.5, dates[2], 7.0), (3, "d", "y", "z", 3.5, None, None), (4, "e", "y", "z", 4.5, dates[0], None)]
+    rows += [(1, "a, \"b\"", "x", None, 1.5, dates[1], 9.0)]  # a second value of a date: the least counts
+    long = spark.createDataFrame(rows, ids + ", date date, q double")
+    names = [str(d) for d in dates]
+    sinks.write_wide(long, "q", names, METADATA, str(tmp_path / "w"))
+    table = {r["BASIN_ID"]: r for r in read_wide(spark, str(tmp_path / "w")).collect()}
+    assert set(table) == {"1", "2", "3", "4"} and list(table["1"].asDict()) == [*METADATA, *names]
+    assert [table["1"][d] for d in names] == [None if k in (0, 2) else str(k + 0.25) for k in range(n)] and table["1"]["BCU_name"] == "a, \"b\""
+    assert [d for d in names if table["2"][d] is not None] == names[2:3] and not any(table[b][d] for b in "34" for d in names)
+    back = sorted((r["BASIN_ID"], r["date"], r["q"]) for r in read_long(spark, str(tmp_path / "w"), "q").collect())
+    assert back == sorted([(1, d, k + 0.25) for k, d in enumerate(dates) if k not in (0, 2)] + [(2, dates[2], 7.0)])
+    sinks.write_wide(long.where("BASIN_ID = 3"), "q", [], METADATA, str(tmp_path / "none"))
+    assert read_wide(spark, str(tmp_path / "none")).collect()[0]["BASIN_ID"] == "3"
+
+
 def test_panel_pipelines_and_sinks(spark, tmp_path):
     day = F.explode(F.sequence(F.lit(dt.date(2013, 1, 1)), F.lit(dt.date(2017, 12, 31)))).alias("date")
     keys = "BASIN_ID long, NAME string, REGION string, hydro_model string, climate_model string"
