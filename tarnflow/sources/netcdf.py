@@ -1,10 +1,13 @@
 """NetCDF classic files (versions 1 and 2) as a data source, in time chunks.
 
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(NetCdfSource)
     spark.read.format("netcdf").option("variable", "qtot").load(path)
 
 One partition reads one file's chunk of time steps, and of it only the bytes it
-needs.  Files in the HDF5-based format need a converter: the reader says so.
+needs.  Steps outside the dates of the options `from` and `to` are not read.  (They
+are options because Spark 4.1 keeps the partitions of a filter that it pushed into
+such a source for later queries over the same DataFrame, which loses rows.)  Files in the HDF5-based format need a converter: the reader says so.
 """
 
 from __future__ import annotations
@@ -153,18 +156,37 @@ class _Reader(DataSourceReader):
         self.chunk = int(options.get("chunk", "100"))
         self.last = int(options["steps"]) if "steps" in options else None
         self.static = static
+        self.between = [datetime.date.fromisoformat(options[k]) if k in options else None for k in ("from", "to")]
+
+    def _steps(self, f, h: Header, n: int) -> np.ndarray:
+        """Those of the file's first n steps whose dates are asked for."""
+        if self.between == [None, None]:
+            return np.arange(n)
+        begin, end = self.between
+        dates = decode_times(read_values(f, h, "time", 0, n), h.variables["time"].attributes["units"])
+        return np.flatnonzero([(begin is None or d >= begin) and (end is None or d <= end) for d in dates])
 
     def partitions(self):
         out, before = [], 0
         for path in self.paths:
+            if self.static:
+                out.append(_Chunk(path, 0, 1, 0))
+                continue
             with open(path, "rb") as f:
-                n = 1 if self.static else read_header(f).shape(self.variable)[0]
-            n = min(n, self.last) if self.last is not None else n
-            out += [_Chunk(path, a, min(self.chunk, n - a), before + a) for a in range(0, n, self.chunk)]
+                h = read_header(f)
+                n = h.shape(self.variable)[0]
+                n = min(n, self.last) if self.last is not None else n
+                steps = self._steps(f, h, n)
+            for own in np.split(steps, np.flatnonzero(np.diff(steps // self.chunk)) + 1) if len(steps) else []:
+                # Dates ascend within a file; were they not, each stretch of steps would be a chunk.
+                for part in np.split(own, np.flatnonzero(np.diff(own) > 1) + 1):
+                    out.append(_Chunk(path, int(part[0]), len(part), before + int(part[0])))
             before += n
         return out
 
     def read(self, part):
+        if part is None:  # no step is left
+            return
         with open(part.path, "rb") as f:
             h = read_header(f)
             lat = read_values(f, h, _coordinate(h, ("lat", "latitude"))).astype(float)
@@ -194,7 +216,8 @@ class _Reader(DataSourceReader):
 
 
 class NetCdfSource(DataSource):
-    """Cubes [time, lat, lon]; options: variable, chunk (time steps a partition, 100), steps (the first n of each file only).
+    """Cubes [time, lat, lon]; options: variable, chunk (time steps a partition, 100), steps (the first n of each file only),
+    from and to (ISO dates, inclusive).
 
     Several files are one time axis in the order of their names: time_idx goes on from file to file.
     """
@@ -224,11 +247,13 @@ class NetCdfAreaSource(DataSource):
         return _Reader({"variable": "land area"} | dict(self.options), True)
 
 
-def read_cube(spark: SparkSession, paths: list[str] | str, variable: str, chunk: int = 100, steps: int | None = None) -> DataFrame:
-    """One or more files, read as one grid."""
+def read_cube(spark: SparkSession, paths: list[str] | str, variable: str, chunk: int = 100, steps: int | None = None, dates: tuple[datetime.date | None, datetime.date | None] = (None, None)) -> DataFrame:
+    """One or more files, read as one grid; of it only the steps between the dates (inclusive; None: open)."""
     spark.dataSource.register(NetCdfSource)
     reader = spark.read.format("netcdf").option("variable", variable).option("chunk", chunk)
     reader = reader.option("steps", steps) if steps is not None else reader
+    for name, date in zip(("from", "to"), dates):
+        reader = reader.option(name, date.isoformat()) if date is not None else reader
     return reader.load(paths if isinstance(paths, str) else ",".join(paths))
 
 

@@ -47,7 +47,7 @@ def test_cube_round_trip_in_chunks(spark, tmp_path):
         read_cube(spark, str(tmp_path / "c.nc"), "qtot").count()
 
 
-def test_filters_reach_the_cube(spark, tmp_path):
+def test_only_the_dates_asked_for_are_read(spark, tmp_path):
     values = np.arange(7 * 4 * 3, dtype=float).reshape(7, 4, 3)
     paths = [str(tmp_path / f"{n}.nc") for n in "ab"]
     write_cube(paths[0], "qtot", values, LAT, LON, np.arange(7), "months since 2015-1-1")
@@ -56,18 +56,15 @@ def test_filters_reach_the_cube(spark, tmp_path):
     everything = sorted(map(tuple, whole.collect()))
     assert whole.rdd.getNumPartitions() == 6 and len(everything) == 14 * 12
     day = lambda m: dt.date(2015, m, 1)
-    for where, chunks, fits in (
-        (F.col("time_idx") == 8, 1, lambda r: r[0] == 8),
-        ((F.col("time_idx") >= 2) & (F.col("time_idx") < 4), 2, lambda r: 2 <= r[0] < 4),
-        (F.col("time_idx").isin(0, 13), 2, lambda r: r[0] in (0, 13)),
-        (F.col("date") > F.lit(day(9)), 2, lambda r: r[1] > day(9)),
-        (F.col("date").between(F.lit(day(2)), F.lit(day(3))), 1, lambda r: day(2) <= r[1] <= day(3)),
-        ((F.col("date") <= F.lit(day(4))) & (F.col("lat_idx") == 1), 2, lambda r: r[1] <= day(4) and r[2] == 1),
-        ((F.col("time_idx") == 1) | (F.col("lon_idx") == 2), 6, lambda r: r[0] == 1 or r[3] == 2),
-        (F.col("time_idx") > 99, 1, lambda r: False),
-    ):
-        kept = whole.where(where)
-        assert kept.rdd.getNumPartitions() <= chunks and sorted(map(tuple, kept.collect())) == [r for r in everything if fits(r)]
+    # Chunks: months 1-3, 4-6, 7 of the first file, 8-10, 11-13, 14 of the second.
+    for begin, end, chunks in ((day(9), None, 3), (day(2), day(3), 1), (None, day(4), 2), (day(7), day(8), 2), (dt.date(2030, 1, 1), None, None)):
+        kept = read_cube(spark, paths, "qtot", chunk=3, dates=(begin, end))
+        assert chunks is None or kept.rdd.getNumPartitions() == chunks
+        assert sorted(map(tuple, kept.collect())) == [r for r in everything if (begin is None or r[1] >= begin) and (end is None or r[1] <= end)]
+    # One frame under several filters, one after the other.
+    for k in (8, 3):
+        assert whole.where(F.col("time_idx") == k).count() == 12
+    assert whole.where((F.col("time_idx") == 1) | (F.col("lon_idx") == 2)).count() == 12 + 13 * 4
 
 
 def test_times_match_the_column_form():
