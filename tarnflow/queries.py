@@ -133,13 +133,14 @@ _WIDE_KEYS = ("BASIN_ID", "NAME", "REGION")
 _BY_MONTH = f"WITH {_PANEL} SELECT BASIN_ID, NAME, REGION, make_date(year, month, 15) AS date, max(qtot) AS qtot, year, month FROM panel GROUP BY BASIN_ID, NAME, REGION, year, month"
 
 
-def _dates(by_basin: DataFrame) -> list[str]:
-    return [r["date"].isoformat() for r in by_basin.select("date").distinct().orderBy("date").collect()]  # one a month
+def _dates(daily: DataFrame) -> list[str]:
+    months = daily.select("year", "month").distinct().collect()
+    return sorted(f"{r['year']:04d}-{r['month']:02d}-15" for r in months)  # one a month
 
 
 def _wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    by_basin = monthly(daily_panel(spark, sf_dir), "qtot", _WIDE_KEYS, ("max",))
-    return pn.to_wide(by_basin, "qtot", _dates(by_basin), _WIDE_KEYS)
+    daily = daily_panel(spark, sf_dir)
+    return pn.to_wide(monthly(daily, "qtot", _WIDE_KEYS, ("max",)), "qtot", _dates(daily), _WIDE_KEYS)
 
 
 # A column for each month or year that the panel has.
@@ -156,8 +157,8 @@ def unpivot_long(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(f"""SELECT * FROM (PIVOT (SELECT BASIN_ID, 'timestep_' || dense_rank() OVER (ORDER BY year, month) AS step, qtot
 FROM (WITH {_PANEL} SELECT BASIN_ID, year, month, round(avg(qtot), 6) AS qtot FROM panel GROUP BY BASIN_ID, year, month)) ON step USING max(qtot) GROUP BY BASIN_ID)""")
 def timestep_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    by_basin = monthly(daily_panel(spark, sf_dir), "qtot", ("BASIN_ID",), ("mean",))
-    dates = _dates(by_basin)
+    daily = daily_panel(spark, sf_dir)
+    by_basin, dates = monthly(daily, "qtot", ("BASIN_ID",), ("mean",)), _dates(daily)
     step = F.array_position(F.lit(dates), F.col("date").cast("string")) - 1
     return pn.to_steps(_round(by_basin, "qtot").withColumn("time_idx", step), "qtot", len(dates))
 
