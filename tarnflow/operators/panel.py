@@ -22,8 +22,7 @@ def to_long(wide: DataFrame, value: str, ids: tuple[str, ...] | None = None) ->
     """One row per id and date column: ids, date, value, year, month; rows without a value go.
 
     ids that the table lacks are left out.  For tables of many thousand date
-    columns read the file with `sources.wide_csv.read_long` instead, which never
-    makes a column of each.
+    columns use `sources.wide_csv` instead, which never makes a column of each.
     """
     dates = date_columns(wide.columns)
     if not dates:
@@ -41,19 +40,6 @@ def to_wide(long: DataFrame, value: str, dates: list[str], ids: tuple[str, ...]
     return long.groupBy(*ids).pivot("date", dates).agg(F.first(value, ignorenulls=True))
 
 
-def to_steps(long: DataFrame, value: str, n: int, ids: tuple[str, ...] = ("BASIN_ID",), names: list[str] | None = None) -> DataFrame:
-    """One column per time step: timestep_1 .. timestep_n, or the names given."""
-    names = names or [f"timestep_{i + 1}" for i in range(n)]
-    return long.groupBy(*ids).agg(*(F.max(F.when(F.col("time_idx") == i, F.col(value))).alias(name) for i, name in enumerate(names)))
-
-
-def to_years(annual: DataFrame, basins: DataFrame, years: list[int], metadata: dict[str, str], value: str = "value") -> DataFrame:
-    """BASIN_ID, BCU_name, one column per year, constant columns."""
-    wide = annual.groupBy("BASIN_ID").pivot("year", years).agg(F.first(value))
-    kept = [c for c in ("BASIN_ID", "BCU_name") if c in basins.columns]
-    return basins.select(*kept).join(wide, "BASIN_ID", "left").withColumns({k: F.lit(v) for k, v in metadata.items()})
-
-
 def join_history(history: DataFrame, future: DataFrame) -> DataFrame:
     """History once per scenario of the future, then the future: one series per scenario.
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions.cells import clean, missing_share, to_volume, zero_if_missing
@@ -23,6 +23,8 @@ from .operators import compare, ensemble, outlet, panel as pn, rolling, zonal
 from .operators.geo import cell_basin, with_weights
 from .operators.monthly import monthly
 from .plans import jobs
+from .session import scratch
+from .sources import sinks, wide_csv
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -133,43 +135,61 @@ _WIDE_KEYS = ("BASIN_ID", "NAME", "REGION")
 _BY_MONTH = f"WITH {_PANEL} SELECT BASIN_ID, NAME, REGION, make_date(year, month, 15) AS date, max(qtot) AS qtot, year, month FROM panel GROUP BY BASIN_ID, NAME, REGION, year, month"
 
 
-def _dates(daily: DataFrame) -> list[str]:
-    months = daily.select("year", "month").distinct().collect()
-    return sorted(f"{r['year']:04d}-{r['month']:02d}-15" for r in months)  # one a month
+def _wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sinks.wide_lines(monthly(daily_panel(spark, sf_dir), "qtot", _WIDE_KEYS, ("max",)), "qtot", None, _WIDE_KEYS)
 
 
-def _wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    daily = daily_panel(spark, sf_dir)
-    return pn.to_wide(monthly(daily, "qtot", _WIDE_KEYS, ("max",)), "qtot", _dates(daily), _WIDE_KEYS)
+def _lines_sql(cells: str, ids: tuple[str, ...], label: str, tail: str = "", tail_names: str = "", order: str = "k") -> str:
+    """Lines of a wide table in SQL, from cells (ids, k, v as text): a cell for each id and each k that there is."""
+    key, line = ", ".join(ids), " || ',' || ".join(ids)
+    return f"""WITH c AS ({cells}), ks AS (SELECT DISTINCT k FROM c WHERE k IS NOT NULL), ids AS (SELECT DISTINCT {key} FROM c)
+SELECT {key}, '{",".join(ids)}' || (SELECT coalesce(',' || string_agg({label}, ',' ORDER BY {order}), '') FROM ks) || '{tail_names}' AS header,
+{line} || coalesce(',' || string_agg(coalesce(v, ''), ',' ORDER BY {order}), '') || '{tail}' AS line FROM ids CROSS JOIN ks LEFT JOIN c USING ({key}, k) GROUP BY {key}"""
 
 
-# A column for each month or year that the panel has.
-@_query(f"SELECT * FROM (PIVOT (SELECT BASIN_ID, NAME, REGION, CAST(date AS VARCHAR) AS date, qtot FROM ({_BY_MONTH})) ON date USING max(qtot) GROUP BY BASIN_ID, NAME, REGION)")
+# A cell for each month, step or year that the panel has, as the lines of the files: no column is made of a date.
+@_query(_lines_sql(f"SELECT BASIN_ID, NAME, REGION, CAST(date AS VARCHAR) AS k, CAST(qtot AS VARCHAR) AS v FROM ({_BY_MONTH})", _WIDE_KEYS, "k"))
 def wide_basin_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _wide(spark, sf_dir)
 
 
 @_query(_BY_MONTH, dates=("date",))
 def unpivot_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pn.to_long(_wide(spark, sf_dir), "qtot", _WIDE_KEYS)
+    return wide_csv.lines_to_long(_wide(spark, sf_dir).select("header", "line"), "qtot", _WIDE_KEYS)
 
 
-@_query(f"""SELECT * FROM (PIVOT (SELECT BASIN_ID, 'timestep_' || dense_rank() OVER (ORDER BY year, month) AS step, qtot
-FROM (WITH {_PANEL} SELECT BASIN_ID, year, month, round(avg(qtot), 6) AS qtot FROM panel GROUP BY BASIN_ID, year, month)) ON step USING max(qtot) GROUP BY BASIN_ID)""")
+@_query(_lines_sql(f"""SELECT BASIN_ID, dense_rank() OVER (ORDER BY year, month) AS k, CAST(CAST(qtot AS DECIMAL(18, 6)) AS VARCHAR) AS v
+FROM (WITH {_PANEL} SELECT BASIN_ID, year, month, round(avg(qtot), 6) AS qtot FROM panel GROUP BY BASIN_ID, year, month)""", ("BASIN_ID",), "'timestep_' || k"))
 def timestep_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    daily = daily_panel(spark, sf_dir)
-    by_basin, dates = monthly(daily, "qtot", ("BASIN_ID",), ("mean",)), _dates(daily)
-    step = F.array_position(F.lit(dates), F.col("date").cast("string")) - 1
-    return pn.to_steps(_round(by_basin, "qtot").withColumn("time_idx", step), "qtot", len(dates))
+    """Steps are months counted from the first: the panel has one for each."""
+    by_basin = _round(monthly(daily_panel(spark, sf_dir), "qtot", ("BASIN_ID",), ("mean",)), "qtot")
+    steps = by_basin.withColumns({"time_idx": F.dense_rank().over(Window.orderBy("date")) - 1, "qtot": F.col("qtot").cast("decimal(18, 6)")})  # basins times months
+    return sinks.wide_lines(steps, "qtot", None, ("BASIN_ID",), "time_idx", label=sinks.step_name)
+
 
+_ABOUT = {"Model": "CWatM", "Scenario": "historical", "Variable": "qtot", "Region": "R12", "Unit": "km3/year"}
 
-@_query(f"""SELECT CAST(n_nationkey AS BIGINT) AS BASIN_ID, n_name AS BCU_name, a.* EXCLUDE (basin), 'CWatM' AS Model, 'historical' AS Scenario, 'qtot' AS Variable, 'R12' AS Region, 'km3/year' AS Unit
-FROM nation LEFT JOIN (PIVOT (WITH {_PANEL} SELECT BASIN_ID AS basin, CAST(year AS VARCHAR) AS year, sum(qtot) AS qtot FROM panel WHERE year IS NOT NULL GROUP BY BASIN_ID, year) ON year USING max(qtot) GROUP BY basin) a ON n_nationkey = a.basin""")
+
+@_query(_lines_sql(f"""SELECT CAST(n_nationkey AS BIGINT) AS BASIN_ID, n_name AS BCU_name, CAST(year AS VARCHAR) AS k, CAST(qtot AS VARCHAR) AS v
+FROM nation LEFT JOIN (WITH {_PANEL} SELECT BASIN_ID AS basin, year, sum(qtot) AS qtot FROM panel GROUP BY BASIN_ID, year) ON n_nationkey = basin""",
+                   ("BASIN_ID", "BCU_name"), "k", "".join("," + v for v in _ABOUT.values()), "".join("," + k for k in _ABOUT)))
 def annual_wide_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     annual = daily_panel(spark, sf_dir).groupBy("BASIN_ID", "year").agg(F.sum("qtot").alias("value"))
-    years = [r["year"] for r in annual.select("year").where("year IS NOT NULL").distinct().orderBy("year").collect()]
     basins = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("BASIN_ID"), F.col("n_name").alias("BCU_name"))
-    return pn.to_years(annual, basins, years, {"Model": "CWatM", "Scenario": "historical", "Variable": "qtot", "Region": "R12", "Unit": "km3/year"})
+    return sinks.annual_lines(annual, basins, _ABOUT)
+
+
+_RUN_FILES = f"""SELECT BASIN_ID, NAME, REGION, hydro_model, climate_model, ssp_scenario, make_date(year, month, 15) AS date, max(qtot) AS qtot, year, month FROM (WITH {_PANEL} SELECT * FROM panel)
+GROUP BY BASIN_ID, NAME, REGION, hydro_model, climate_model, ssp_scenario, year, month"""
+
+
+@_query(_RUN_FILES, dates=("date",))
+def wide_run_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A wide file for each run of the panel, written to the shared folder; all read back by one scan."""
+    by_run = monthly(daily_panel(spark, sf_dir), "qtot", _KEYS, ("max",))
+    folder = sinks.write_run_lines(by_run, "qtot", scratch(spark, "runs"), "qtot", "monthly", "all", _WIDE_KEYS)
+    models = tuple(r[0] for r in _table(spark, sf_dir, "orders").select("o_orderpriority").distinct().collect())  # a handful
+    return wide_csv.read_runs(spark, folder, "qtot", _WIDE_KEYS, models)
 
 
 @_query(f"WITH {_JOINED} SELECT BASIN_ID, NAME, REGION, hydro_model, climate_model, ssp_scenario, year, month, round(qtot, 6) AS qtot, date, data_period FROM joined", dates=("date",))

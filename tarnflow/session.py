@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -22,6 +23,16 @@ def build_session(app: str = "tarnflow", master: str | None = None, **conf: str)
     return builder.config(map=settings).getOrCreate()
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path that driver and executors share: below spark.checkpoint.dir, or a temporary one of a local session."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="tarnflow-")
+    return f"{shared}/{name}-{uuid.uuid4().hex}"
+
+
 def ship(spark: SparkSession) -> None:
     """Send the package's code to Python workers, unless their path has it already."""
     sc = spark.sparkContext
