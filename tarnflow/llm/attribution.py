@@ -28,12 +28,14 @@ from .common import map_arrow
 from .tokens import default_tokenizer, tokenizer
 
 RULES = ("majority", "start", "split")
-_END = re.compile(r"\n|[.!?][.!?\"')\]]*[ \t]+")
+#: A line break, or a whole run of marks and what closes them, with the blanks after it: each character is read once.
+_END = re.compile(r"\n|[.!?\"')\]]++[ \t]*+")
+_MARK = re.compile(r"[.!?]")
 
 
 def sentences(text: str) -> np.ndarray:
     """First characters of the sentences: the text's, and those after each line break and after an end mark with its space."""
-    ends = np.fromiter((m.end() for m in _END.finditer(text)), np.int64)
+    ends = np.fromiter((m.end() for m in _END.finditer(text) if m[0] == "\n" or (m[0][-1] in " \t" and _MARK.search(m[0]))), np.int64)
     return np.concatenate([[0], ends[ends < len(text)]]).astype(np.int64)
 
 

@@ -269,6 +269,10 @@ def remove_repeats(docs: DataFrame, window: int = 13, seed: int = 5, hot: int =
     ids.  Columns other than doc_id and text are ignored.  An empty table gives
     no rows.
     """
+    if not 0 < seed <= window or window - seed >= 64:
+        raise ValueError("a window has 1 to 64 places for its seed")
+    #: A bit for each window of a segment.
+    bits = "<u2" if window - seed < 16 else "<u8"
     spark = docs.sparkSession
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     size = base.agg(F.sum(F.octet_length("text")).alias("n")).collect()[0]["n"] or 0
@@ -355,7 +359,8 @@ def remove_repeats(docs: DataFrame, window: int = 13, seed: int = 5, hot: int =
         np.minimum.at(low, text, _joined(table.column("low"), np.int64)[0])
         np.maximum.at(high, text, _joined(table.column("high"), np.int64)[0])
         of, nth, owner = confirm(list(known), low, high, window)
-        mark = np.bincount(of, np.left_shift(1, nth), len(known)).astype("<u2")
+        mark = np.zeros(len(known), bits)
+        np.bitwise_or.at(mark, of, np.left_shift(np.uint64(1), nth.astype(np.uint64)).astype(bits))
         begin = np.searchsorted(of, np.arange(len(known) + 1))
         block = table.column("block").to_numpy()[row]
         order = np.argsort(block, kind="stable")
@@ -377,11 +382,11 @@ def remove_repeats(docs: DataFrame, window: int = 13, seed: int = 5, hot: int =
         if found.num_rows:
             s = segments(block, window, seed)
             number, _ = _joined(found.column("number"), "<u4")
-            mark, _ = _joined(found.column("mark"), "<u2")
+            mark, _ = _joined(found.column("mark"), bits)
             owner, _ = _joined(found.column("owner"), np.int64)
             number = number.astype(np.int64)
             first = np.where(number < len(s.first), np.append(s.first, 0)[np.minimum(number, len(s.first))], number - len(s.first))
-            piece, nth = np.nonzero(mark[:, None] >> np.arange(16)[None, :] & 1)
+            piece, nth = np.nonzero(mark[:, None] >> np.arange(window - seed + 1, dtype=mark.dtype)[None, :] & mark.dtype.type(1))
             recurs, gone = locate(block, piece, first[piece] + nth, owner, window)
         out: dict[str, list] = {name: [] for name in result.names}
         for d in range(len(block.doc)):

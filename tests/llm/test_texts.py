@@ -812,3 +812,57 @@ def test_exchange_step_is_the_best_move():
         entries += [(w, s, n) for s, n in enumerate(slots) if n]
         best.append(int(np.argmax([worth(np.where(np.arange(9) == w, c, of)) for c in range(3)])))
     assert classlm.exchange_step(joint, of[:8], *np.array(entries).T).tolist() == best
+
+
+# Long runs of marks, in seconds ---------------------------------------------------------------------
+
+
+def old_sentences(text):
+    ends = [m.end() for m in re.finditer(r"\n|[.!?][.!?\"')\]]*[ \t]+", text)]
+    return [0] + [e for e in ends if e < len(text)]
+
+
+def test_sentence_ends_are_those_of_the_plain_pattern():
+    rng = random.Random(3)
+    for _ in range(4000):
+        text = "".join(rng.choice("ab.!?\"')] \t\n") for _ in range(rng.randrange(30)))
+        assert attribution.sentences(text).tolist() == old_sentences(text), text
+
+
+@pytest.mark.parametrize("unit", [".", "!!! ", ". ", "'", ") ", " ", "@", "1", "a.", "+1 ", "\n", "12 "])
+def test_a_million_marks_take_seconds(unit):
+    text = (unit * 1_000_000)[:1_000_000]
+    begun = time.perf_counter()
+    attribution.sentences(text)
+    attribution.lines(text)
+    pii.base_spans(text)
+    toxicity.sentences(pa.array([text]))
+    assert time.perf_counter() - begun < 20
+
+
+@pytest.mark.parametrize("window,seed", [(40, 5), (13, 5), (68, 5)])
+def test_long_windows_are_whole(spark, window, seed):
+    """More windows a segment than 16 bits."""
+    rng = random.Random(window)
+    words = [f"w{k}" for k in range(400)]
+    shared = [rng.choice(words) for _ in range(300)]
+    rows = []
+    for i in range(12):
+        own = [rng.choice(words) for _ in range(60)]
+        a = rng.randrange(0, 120)
+        rows.append((i, " ".join(own[:30] + shared[a : a + 60 + 9 * i] + own[30:])))
+    got = {r["doc_id"]: r["n_removed"] for r in substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), window=window, seed=seed).collect()}
+    seen, want = {}, {}
+    split = {i: t.split(" ") for i, t in rows}
+    for i, ws in split.items():
+        for k in range(len(ws) - window + 1):
+            seen.setdefault(tuple(ws[k : k + window]), i)
+    for i, ws in split.items():
+        gone = set()
+        for k in range(len(ws) - window + 1):
+            if seen[tuple(ws[k : k + window])] < i:
+                gone |= set(range(k, k + window))
+        want[i] = len(gone)
+    assert got == want and sum(want.values()) > 300
+    with pytest.raises(ValueError):
+        substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), window=80, seed=5)
