@@ -33,14 +33,14 @@ def usable(vectors: DataFrame, column: str = "embedding", id_column: str = "vec_
 
 
 def first_of_equals(rows: DataFrame, key: Column, k: int) -> DataFrame:
-    """Of rows with equal vectors, the k + 1 smallest ids, each once.
+    """Of rows with equal vectors (an id has one row), the k + 1 smallest ids.
 
     No query can have another of them among its k best, ties going to smaller
     ids and one id being its own.  Each map task drops the rest before the
     shuffle, so a vector that a third of all rows share costs k + 1 rows a task.
     """
     order = Window.partitionBy(key).orderBy("vec_id")
-    return rows.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k + 1).drop("_n").dropDuplicates(["vec_id"])
+    return rows.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k + 1).drop("_n")
 
 
 def matrix(column: pa.Array | pa.ChunkedArray, width: int, kind=np.float64) -> np.ndarray:

@@ -118,9 +118,51 @@ def test_probes_follow_the_data():
     rng = np.random.default_rng(4)
     centres = np.eye(32)[:16]
     clustered = ann.unit(np.repeat(centres, 40, axis=0) + rng.normal(size=(640, 32)) * 0.01)
-    assert ann.enough_probes(clustered, centres, 5, 0.97) == 1
+    assert (ann.measured_probes(clustered, centres, 5, 0.97)[0] == 1).all()
     spread = ann.unit(rng.normal(size=(640, 32)))
-    assert ann.enough_probes(spread, centres, 5, 0.97) > 5
+    assert (ann.measured_probes(spread, centres, 5, 0.97)[0] > 5).all()
+    both = ann.unit(np.concatenate([np.repeat(centres[:1], 600, axis=0) + rng.normal(size=(600, 32)) * 0.01, spread[:40]]))
+    probes, _ = ann.measured_probes(both, centres, 5, 0.97)
+    assert probes[0, 1] == 1 and probes[1:].max() > 3
+
+
+def skewed(kind):
+    """Tables of vectors whose density differs by place; ids divisible by 50 are of every sort."""
+    rng = np.random.default_rng(6)
+    n, d = 3000, 24
+    m = rng.normal(size=(n, d))
+    if kind == "copies":  # spread queries, one vector for all the rest
+        m[np.arange(n) % 50 != 0] = m[1]
+    elif kind == "one cluster":  # 4 % spread
+        own = np.arange(n) % 25 != 0
+        m[own] = 3 * np.eye(d)[0] + rng.normal(size=(own.sum(), d)) * 0.05
+        m[np.arange(n) % 100 == 0] = 3 * np.eye(d)[0] + rng.normal(size=(n // 100, d)) * 0.05
+    elif kind == "clusters":
+        m = 4 * np.eye(d)[rng.integers(0, 9, n)] + rng.normal(size=(n, d)) * rng.choice([0.05, 0.5, 2.0], (n, 1))
+    else:  # outlying: long and far from a crowded half
+        m[: n // 2] = np.abs(m[: n // 2]) * 0.2 + 1
+        m[::200] = -np.abs(rng.normal(size=(n // 200, d))) * 50
+    return m
+
+
+@pytest.mark.parametrize("kind", ["copies", "one cluster", "clusters", "outlying"])
+def test_skewed_tables_have_whole_results_and_recall(spark, kind):
+    m = skewed(kind)
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(m)], "vec_id long, embedding array<double>")
+    u = m / np.linalg.norm(m, axis=1, keepdims=True)
+    for sample in (8192, 400):
+        by = {}
+        for r in ann.nearest(df, sample=sample).collect():
+            by.setdefault(r["query_id"], []).append(r)
+        assert set(by) == set(range(0, len(m), 50))
+        hit = 0
+        for q, own in by.items():
+            own.sort(key=lambda r: r["rank"])
+            s = np.delete(u @ u[q], q)
+            assert [r["rank"] for r in own] == [1, 2, 3, 4, 5] and len({r["vec_id"] for r in own}) == 5
+            assert all(r["score"] == pytest.approx(u[q] @ u[r["vec_id"]], abs=1e-12) for r in own)
+            hit += sum(r["score"] >= np.sort(s)[-5] - 1e-12 for r in own)
+        assert hit / (5 * len(by)) >= 0.9
 
 
 def test_empty_and_tiny_tables(spark):
