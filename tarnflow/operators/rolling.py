@@ -11,7 +11,7 @@ from ..schema import SERIES
 MONTHLY = {"5yr": 60, "10yr": 120, "30yr": 360}
 DAILY = {"5yr": 1825, "10yr": 3650, "30yr": 10950}
 PERIODS = ((2015, 2030), (2040, 2055), (2070, 2085))
-#: Beyond this length a frame's cost, rows times length, is worse than two running sums.
+#: Beyond this length a frame's cost, rows times length, is worse than sums over blocks.
 _SLIDING = 360
 
 
@@ -21,33 +21,55 @@ def frequency(panel: DataFrame) -> str:
     return "daily" if len(first) == 2 and (first[1] - first[0]).days == 1 else "monthly"
 
 
-def trailing_mean(value: Column, n: int, keys: tuple[str, ...], order: str = "date", method: str | None = None) -> Column:
-    """Mean of the last n rows; NULL until there are n, and where one of them is missing.
+def trailing_mean(value: Column, n: int, keys: tuple[str, ...], order: str = "date") -> Column:
+    """Mean of the last n rows by a sliding frame; NULL until there are n, and where one of them is missing."""
+    frame = Window.partitionBy(*keys).orderBy(order).rowsBetween(1 - n, 0)
+    return F.when(F.count(value).over(frame) == n, F.avg(value).over(frame))
 
-    method: "sliding" frames or "prefix" sums; by default, by the length.  The
-    prefix form must not see NaN, so missing values have to be NULL.
+
+def block_means(panel: DataFrame, value: Column, windows: dict[str, int], keys: tuple[str, ...], order: str = "date") -> DataFrame:
+    """panel with each window's trailing mean, from sums within blocks of n rows.
+
+    Rows are numbered within their series, and every n of them are a block.  A
+    window is the end of one block and the beginning of the next, so it is the sum
+    of a suffix, which the row n before has, and of a prefix: two sums of at most n
+    values each.  Nothing is subtracted, so nothing cancels, whatever the series'
+    length and the values' size.  All windows share one shuffle.
     """
     by = Window.partitionBy(*keys).orderBy(order)
-    if (method or ("sliding" if n <= _SLIDING else "prefix")) == "sliding":
-        frame = by.rowsBetween(1 - n, 0)
-        return F.when(F.count(value).over(frame) == n, F.avg(value).over(frame))
-    so_far = by.rowsBetween(Window.unboundedPreceding, 0)
-    total, count = F.coalesce(F.sum(value).over(so_far), F.lit(0.0)), F.count(value).over(so_far)
-    before = lambda c, z: F.coalesce(F.lag(c, n).over(by), F.lit(z))
-    return F.when(count - before(count, 0) == n, (total - before(total, 0.0)) / n)
+    out = panel.withColumns({"_v": value, "_row": F.row_number().over(by) - 1})
+    for name, n in windows.items():
+        block = Window.partitionBy(*keys, "_block").orderBy("_row")
+        # From the block's end backwards: a frame that only grows costs one addition a row.
+        after = Window.partitionBy(*keys, "_block").orderBy(F.col("_row").desc()).rowsBetween(Window.unboundedPreceding, -1)
+        before = block.rowsBetween(Window.unboundedPreceding, 0)
+        out = out.withColumn("_block", F.floor(F.col("_row") / n))
+        out = out.withColumns({"_first": F.coalesce(F.sum("_v").over(before), F.lit(0.0)), "_n_first": F.count("_v").over(before), "_rest": F.coalesce(F.sum("_v").over(after), F.lit(0.0)), "_n_rest": F.count("_v").over(after)})
+        # The last block's rows may be fewer, but only whole blocks lie n rows back.
+        rest, n_rest = (F.coalesce(F.lag(c, n).over(by), F.lit(0)) for c in ("_rest", "_n_rest"))
+        whole = (F.col("_row") >= n - 1) & (F.col("_n_first") + n_rest == n)
+        out = out.withColumn(name, F.when(whole, (F.col("_first") + rest) / n)).drop("_block", "_first", "_n_first", "_rest", "_n_rest")
+    return out.drop("_v", "_row")
 
 
 def rolling_means(panel: DataFrame, value: str, windows: dict[str, int] | None = None, keys: tuple[str, ...] = SERIES, freq: str | None = None, method: str | None = None) -> DataFrame:
     """panel with {value}_{name} for each window.
 
-    (keys, date) must be unique.  All windows share one sort.  History, future
-    or both may be there: it is one expression.
+    (keys, date) must be unique.  Short windows are sliding frames, longer ones
+    sums over blocks (`method`: "sliding" or "blocks" for all).  History, future or
+    both may be there: it is one expression.
     """
     if windows is None:
         windows = DAILY if (freq or frequency(panel)) == "daily" else MONTHLY
     keys = tuple(k for k in keys if k in panel.columns)
     v = F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double"))
-    return panel.withColumns({f"{value}_{name}": trailing_mean(v, n, keys, method=method) for name, n in windows.items()})
+    how = {name: method or ("sliding" if n <= _SLIDING else "blocks") for name, n in windows.items()}
+    if set(how.values()) - {"sliding", "blocks"}:
+        raise ValueError("method must be 'sliding' or 'blocks'")
+    out = panel.withColumns({f"{value}_{name}": trailing_mean(v, n, keys) for name, n in windows.items() if how[name] == "sliding"})
+    long = {f"{value}_{name}": n for name, n in windows.items() if how[name] == "blocks"}
+    out = block_means(out, v, long, keys) if long else out
+    return out.select(*panel.columns, *(f"{value}_{name}" for name in windows))
 
 
 def with_periods(panel: DataFrame, periods: tuple[tuple[int, int], ...] = PERIODS) -> DataFrame:

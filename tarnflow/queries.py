@@ -207,7 +207,7 @@ SELECT user_id, date, round(CASE WHEN count(value) OVER w = 7 THEN avg(value) OV
 WINDOW w AS (PARTITION BY user_id ORDER BY date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)""", dates=("date",))
 def rolling_mean_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = _table(spark, sf_dir, "events").groupBy("user_id", F.to_date("ts").alias("date")).agg(F.round(F.sum("value"), 6).alias("value"))
-    out = rolling.rolling_means(events, "value", {"7d": 7}, ("user_id",), method="prefix")
+    out = rolling.rolling_means(events, "value", {"7d": 7}, ("user_id",), method="blocks")
     return out.select("user_id", "date", F.round("value_7d", 5).alias("value_7d"))
 
 
@@ -388,16 +388,21 @@ def _two_methods(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     return one("l_quantity"), one("net")
 
 
-_LENGTHS = {**rolling.MONTHLY, "1825d": rolling.DAILY["5yr"]}
+_LENGTHS = {**rolling.MONTHLY, **{f"{n}d": n for n in rolling.DAILY.values()}}
 
 
-@_query(f"WITH {_PAIRS} SELECT BASIN_ID, date, " + ", ".join(f"round(CASE WHEN count(x) OVER w_{name} = {n} THEN avg(x) OVER w_{name} END, 6) AS value_{name}" for name, n in _LENGTHS.items())
-        + " FROM a WINDOW " + ", ".join(f"w_{name} AS (PARTITION BY BASIN_ID ORDER BY date ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)" for name, n in _LENGTHS.items()), dates=("date",))
+_LONG = """
+a AS (SELECT CAST(l_linenumber % 3 AS BIGINT) AS series, CAST(l_orderkey * 8 + l_linenumber AS BIGINT) AS step, sum(l_extendedprice) AS x FROM lineitem GROUP BY l_linenumber % 3, l_orderkey * 8 + l_linenumber)"""
+
+
+@_query(f"WITH {_LONG} SELECT series, step, " + ", ".join(f"round(CASE WHEN count(x) OVER w_{name} = {n} THEN avg(x) OVER w_{name} END, 6) AS x_{name}" for name, n in _LENGTHS.items())
+        + " FROM a WINDOW " + ", ".join(f"w_{name} AS (PARTITION BY series ORDER BY step ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)" for name, n in _LENGTHS.items()))
 def rolling_default_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The default lengths, on long daily series."""
-    series, _ = _two_methods(spark, sf_dir)
-    out = rolling.rolling_means(series, "value", _LENGTHS, ("BASIN_ID",))
-    return _round(out.drop("value"), *[f"value_{name}" for name in _LENGTHS])
+    """All default lengths, monthly and daily, on series of many thousand steps."""
+    step = (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("long")
+    lines = _table(spark, sf_dir, "lineitem").groupBy((F.col("l_linenumber") % 3).cast("long").alias("series"), step.alias("date")).agg(F.sum("l_extendedprice").alias("x"))
+    out = rolling.rolling_means(lines, "x", _LENGTHS, ("series",)).withColumnRenamed("date", "step").drop("x")
+    return _round(out, *[f"x_{name}" for name in _LENGTHS])
 
 
 @_query(f"WITH {_PAIRS} SELECT {_MEASURES} FROM a")

@@ -3,27 +3,28 @@
 from __future__ import annotations
 
 import fnmatch
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.naming import parse_run_file
+from . import files
 
 
-def run_directory(base: str, hydro_model: str, climate_model: str, scenario: str, data_period: str) -> Path:
+def run_directory(base: str, hydro_model: str, climate_model: str, scenario: str, data_period: str) -> str:
     """base / hydro model / (historical or the scenario) / CLIMATE MODEL."""
-    return Path(base) / hydro_model / ("historical" if data_period == "historical" else scenario) / climate_model.upper()
+    return "/".join((base.rstrip("/"), hydro_model, "historical" if data_period == "historical" else scenario, climate_model.upper()))
 
 
 def find_cubes(base: str, hydro_model: str, climate_model: str, scenario: str, data_period: str, variable: str, resolution: str, test_file: str = "") -> list[str]:
     """Sorted .nc files whose own name holds the variable and the resolution; `test_file` bypasses the search."""
     if test_file:
-        if not Path(test_file).is_file():
+        if not files.exists(test_file):
             raise FileNotFoundError(test_file)
         return [test_file]
     folder = run_directory(base, hydro_model, climate_model, scenario, data_period)
-    found = sorted(str(p) for p in folder.glob("*.nc") if variable in p.name and resolution in p.name) if folder.is_dir() else []
+    named = ((p, p.rpartition("/")[2]) for p in files.listed(folder, "*.nc"))
+    found = [p for p, name in named if variable in name and resolution in name]
     if not found:
         raise FileNotFoundError(f"no {variable} {resolution} file in {folder}")
     return found
@@ -32,7 +33,7 @@ def find_cubes(base: str, hydro_model: str, climate_model: str, scenario: str, d
 def glob_cubes(folder: str, model: str, scenario: str, variable: str, resolution: str = "monthly") -> list[str]:
     """Files named *model*scenario*variable*resolution*.nc; none is no error."""
     pattern = f"*{model}*{scenario}*{variable}*{resolution}*.nc".lower()
-    return sorted(str(p) for p in Path(folder).glob("*.nc") if fnmatch.fnmatch(p.name.lower(), pattern))
+    return [p for p in files.listed(folder, "*.[nN][cC]") if fnmatch.fnmatchcase(p.rpartition("/")[2].lower(), pattern)]
 
 
 def run_files(spark: SparkSession, folder: str, pattern: str = "*.csv") -> DataFrame:

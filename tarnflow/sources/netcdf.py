@@ -1,32 +1,37 @@
-"""NetCDF classic files (versions 1 and 2) as a data source, in time chunks.
+"""NetCDF files as a data source, in time chunks: classic (1, 2 and 5) and NetCDF-4.
 
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(NetCdfSource)
     spark.read.format("netcdf").option("variable", "qtot").load(path)
 
-One partition reads one file's chunk of time steps, and of it only the bytes it
-needs.  Steps outside the dates of the options `from` and `to` are not read.  (They
-are options because Spark 4.1 keeps the partitions of a filter that it pushed into
-such a source for later queries over the same DataFrame, which loses rows.)  Files in the HDF5-based format need a converter: the reader says so.
+One partition reads one file's stretch of time steps, and of it only the bytes it
+needs: of the steps between the options `from` and `to`, and of the cells in the
+option `cells` (spans of each row of the grid, see `spans_of`), which seeks within a
+step or decodes the storage chunks that hold such cells.  No other cell becomes a row.
+(They are options because Spark 4.1 keeps the partitions of a filter that it pushed
+into such a source for later queries over the same DataFrame, which loses rows.)
+
+Packed values are unpacked: scale_factor and add_offset, after fill flags.
 """
 
 from __future__ import annotations
 
 import calendar
 import datetime
-import glob
 import struct
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..schema import AREA, GRID
+from . import files
+from .hdf5 import SIGNATURE, Hdf5, ranges
 
 # The format's type codes and tags.
-_TYPES = {1: ("i1", 1), 2: ("S1", 1), 3: (">i2", 2), 4: (">i4", 4), 5: (">f4", 4), 6: (">f8", 8)}
+_TYPES = {1: ("i1", 1), 2: ("S1", 1), 3: (">i2", 2), 4: (">i4", 4), 5: (">f4", 4), 6: (">f8", 8), 7: ("u1", 1), 8: (">u2", 2), 9: (">u4", 4), 10: (">i8", 8), 11: (">u8", 8)}
 _DIMENSION, _VARIABLE, _ATTRIBUTE = 10, 11, 12
 
 
@@ -37,7 +42,6 @@ class Variable:
     attributes: dict
     kind: str
     begin: int
-    size: int
 
 
 @dataclass
@@ -48,75 +52,135 @@ class Header:
     variables: dict[str, Variable] = field(default_factory=dict)
     record_size: int = 0
 
-    def shape(self, name: str) -> list[int]:
-        return [self.dims[d][1] or self.records for d in self.variables[name].dims]
-
 
 class _Cursor:
-    def __init__(self, f):
-        self.f = f
+    """Fields of a header; counts take 8 bytes in version 5."""
+
+    def __init__(self, raw: bytes, version: int):
+        self.raw, self.at, self.wide = raw, 4, version == 5
+
+    def take(self, n: int) -> bytes:
+        self.at += n
+        if self.at > len(self.raw):
+            raise EOFError
+        return self.raw[self.at - n : self.at]
 
     def number(self, code: str = ">i") -> int:
-        return struct.unpack(code, self.f.read(struct.calcsize(code)))[0]
+        return struct.unpack(code, self.take(struct.calcsize(code)))[0]
+
+    def count(self) -> int:
+        return self.number(">q" if self.wide else ">i")
 
     def name(self) -> str:
-        n = self.number()
-        return self.f.read(n + -n % 4)[:n].decode()
+        n = self.count()
+        return self.take(n + -n % 4)[:n].decode()
 
     def attributes(self) -> dict:
-        tag, n = self.number(), self.number()
+        tag, n = self.number(), self.count()
         if tag not in (0, _ATTRIBUTE):
             raise ValueError("not an attribute list")
         out = {}
         for _ in range(n):
-            name, kind, count = self.name(), self.number(), self.number()
+            name, kind, count = self.name(), self.number(), self.count()
             code, width = _TYPES[kind]
-            raw = self.f.read(count * width + -(count * width) % 4)[: count * width]
+            raw = self.take(count * width + -(count * width) % 4)[: count * width]
             out[name] = raw.decode("utf-8", "replace").rstrip("\0") if kind == 2 else np.frombuffer(raw, code)
         return out
 
 
-def read_header(f) -> Header:
-    magic = f.read(4)
-    if magic == b"\x89HDF":
-        raise ValueError("this file is in the HDF5-based format; convert it to the classic format or to Parquet")
-    if magic[:3] != b"CDF" or magic[3] not in (1, 2):
-        raise ValueError("not a NetCDF classic file")
-    c = _Cursor(f)
-    records = max(0, c.number())
+def _header(raw: bytes, size: int) -> Header:
+    if raw[:3] != b"CDF" or raw[3] not in (1, 2, 5):
+        raise ValueError("not a NetCDF file")
+    c = _Cursor(raw, raw[3])
+    records = c.count()
     c.number()
-    dims = [(c.name(), c.number()) for _ in range(c.number())]
+    dims = [(c.name(), c.count()) for _ in range(c.count())]
     h = Header(records, dims, c.attributes())
     c.number()
-    for _ in range(c.number()):
+    for _ in range(c.count()):
         name = c.name()
-        ids = [c.number() for _ in range(c.number())]
-        attributes, kind, size = c.attributes(), c.number(), c.number(">I")
-        begin = c.number(">i" if magic[3] == 1 else ">q")
-        h.variables[name] = Variable(name, ids, attributes, _TYPES[kind][0], begin, size)
-    h.record_size = sum(v.size for v in h.variables.values() if v.dims and dims[v.dims[0]][1] == 0)
+        ids = [c.count() for _ in range(c.count())]
+        attributes, kind = c.attributes(), c.number()
+        c.count()  # the stored size wraps for large variables; dimensions tell it
+        begin = c.number(">i" if raw[3] == 1 else ">q")
+        h.variables[name] = Variable(name, ids, attributes, _TYPES[kind][0], begin)
+    own = [v for v in h.variables.values() if v.dims and dims[v.dims[0]][1] == 0]
+    each = [int(np.prod([dims[d][1] for d in v.dims[1:]], dtype=np.int64)) * np.dtype(v.kind).itemsize for v in own]
+    # Records of several variables are padded to 4 bytes each; those of a single one are not.
+    h.record_size = each[0] if len(each) == 1 else sum(n + -n % 4 for n in each)
+    if records < 0:  # a writer that streams leaves the count open
+        h.records = (size - min(v.begin for v in own)) // h.record_size if own and h.record_size else 0
     return h
 
 
-def read_values(f, h: Header, name: str, first: int = 0, count: int | None = None) -> np.ndarray:
-    """The variable's values, from `first` on along its first dimension."""
-    v, shape = h.variables[name], h.shape(name)
-    kind = np.dtype(v.kind)
-    if not shape:
-        f.seek(v.begin)
-        return np.frombuffer(f.read(kind.itemsize), kind)[0]
-    count = shape[0] - first if count is None else min(count, shape[0] - first)
-    each = int(np.prod(shape[1:], dtype=np.int64)) * kind.itemsize
-    if h.dims[v.dims[0]][1]:
-        f.seek(v.begin + first * each)
-        raw = f.read(count * each)
-    else:  # records of all such variables alternate
-        parts = []
-        for k in range(first, first + count):
-            f.seek(v.begin + k * h.record_size)
-            parts.append(f.read(each))
-        raw = b"".join(parts)
-    return np.frombuffer(raw, kind).reshape([count, *shape[1:]])
+class Classic:
+    """A classic file's variables."""
+
+    def __init__(self, f):
+        self.f = f
+        size, n = f.seek(0, 2), 1 << 16
+        while True:  # headers are short; long ones take a few tries
+            f.seek(0)
+            raw = f.read(n)
+            try:
+                self.header = _header(raw, size)
+                return
+            except EOFError:
+                if n >= size:
+                    raise ValueError("the file ends within its header") from None
+                n *= 4
+
+    def __contains__(self, name: str) -> bool:
+        return name in self.header.variables
+
+    def _variable(self, name: str) -> Variable:
+        if name not in self.header.variables:
+            raise KeyError(f"no variable {name}")
+        return self.header.variables[name]
+
+    def shape(self, name: str) -> list[int]:
+        h = self.header
+        return [h.dims[d][1] or h.records for d in self._variable(name).dims]
+
+    def dims(self, name: str) -> list[str]:
+        return [self.header.dims[d][0] for d in self._variable(name).dims]
+
+    def attributes(self, name: str) -> dict:
+        return self._variable(name).attributes
+
+    def steps_together(self, name: str) -> int:
+        return 1
+
+    def read(self, name: str, first: int = 0, count: int | None = None) -> np.ndarray:
+        """The variable's values, from `first` on along its first dimension."""
+        v, shape = self._variable(name), self.shape(name)
+        kind = np.dtype(v.kind)
+        if not shape:
+            return np.frombuffer(self._raw(v.begin, kind.itemsize), kind)[0]
+        count = shape[0] - first if count is None else min(count, shape[0] - first)
+        return self.cells(name, first, count, np.arange(int(np.prod(shape[1:], dtype=np.int64)))).reshape([count, *shape[1:]])
+
+    def cells(self, name: str, first: int, count: int, flat: np.ndarray) -> np.ndarray:
+        """[steps, cells] of the cells with these places (ascending) within a step."""
+        v, h, kind = self._variable(name), self.header, np.dtype(self._variable(name).kind)
+        each = int(np.prod(self.shape(name)[1:], dtype=np.int64)) * kind.itemsize
+        if h.dims[v.dims[0]][1]:
+            return ranges(self._raw, v.begin + first * each, each, count, flat, kind)
+        # Records of all such variables alternate.
+        parts = [ranges(self._raw, v.begin + k * h.record_size, each, 1, flat, kind) for k in range(first, first + count)]
+        return np.concatenate(parts) if parts else np.zeros((0, len(flat)), kind)
+
+    def _raw(self, at: int, n: int) -> bytes:
+        self.f.seek(at)
+        raw = self.f.read(n)
+        if len(raw) < n:
+            raise ValueError("the file ends within its values")
+        return raw
+
+
+def opened_cube(f) -> Classic | Hdf5:
+    f.seek(0)
+    return Hdf5(f) if f.read(8) == SIGNATURE else Classic(f)
 
 
 _STEP = {"second": 1, "minute": 60, "hour": 3600, "day": 86400}
@@ -145,25 +209,52 @@ class _Chunk(InputPartition):
     step: int  # time_idx of the first
 
 
-def _coordinate(h: Header, names: tuple[str, ...]) -> str:
-    return next((n for n in names if n in h.variables), names[0])
+_LAT, _LON = ("lat", "latitude"), ("lon", "longitude")
+
+
+def _coordinate(cube: Classic | Hdf5, names: tuple[str, ...]) -> str:
+    return next((n for n in names if n in cube), names[0])
+
+
+def _cells_of(text: str) -> list[tuple[int, int, int]]:
+    """(row, first column, last column) of "row:first-last,first-last;row:..."."""
+    out = []
+    for row in filter(None, text.split(";")):
+        y, _, spans = row.partition(":")
+        out += [(int(y), *map(int, x.split("-"))) for x in spans.split(",")]
+    return out
+
+
+def unpacked(values: np.ndarray, attributes: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Values as doubles, unpacked, and which are missing: NaN, fill flags as stored, and magnitudes of fill flags."""
+    gone = np.isnan(values) if values.dtype.kind == "f" else np.zeros(values.shape, bool)
+    for k in ("_FillValue", "missing_value"):
+        for flag in np.ravel(attributes.get(k, [])):
+            gone = gone | (values == flag)
+    out = values.astype(float)
+    for k, f in (("scale_factor", np.multiply), ("add_offset", np.add)):
+        if k in attributes:
+            out = f(out, float(np.ravel(attributes[k])[0]))
+    return out, gone | np.isnan(out) | (np.abs(out) >= 1e15)
 
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict, static: bool):
-        self.paths = sorted(p for part in options["path"].split(",") for p in (glob.glob(part) or [part]))
+        self.paths = sorted(p for part in options["path"].split(",") for p in (files.expanded(part) or [part]))
         self.variable = options["variable"]
         self.chunk = int(options.get("chunk", "100"))
         self.last = int(options["steps"]) if "steps" in options else None
         self.static = static
         self.between = [datetime.date.fromisoformat(options[k]) if k in options else None for k in ("from", "to")]
+        self.cells = _cells_of(options["cells"]) if "cells" in options else None
+        self.keep_missing = options.get("missing", "keep") != "drop"
 
-    def _steps(self, f, h: Header, n: int) -> np.ndarray:
+    def _steps(self, cube: Classic | Hdf5, n: int) -> np.ndarray:
         """Those of the file's first n steps whose dates are asked for."""
         if self.between == [None, None]:
             return np.arange(n)
         begin, end = self.between
-        dates = decode_times(read_values(f, h, "time", 0, n), h.variables["time"].attributes["units"])
+        dates = decode_times(cube.read("time", 0, n), cube.attributes("time")["units"])
         return np.flatnonzero([(begin is None or d >= begin) and (end is None or d <= end) for d in dates])
 
     def partitions(self):
@@ -172,12 +263,15 @@ class _Reader(DataSourceReader):
             if self.static:
                 out.append(_Chunk(path, 0, 1, 0))
                 continue
-            with open(path, "rb") as f:
-                h = read_header(f)
-                n = h.shape(self.variable)[0]
+            with files.opened(path) as f:
+                cube = opened_cube(f)
+                n = cube.shape(self.variable)[0]
                 n = min(n, self.last) if self.last is not None else n
-                steps = self._steps(f, h, n)
-            for own in np.split(steps, np.flatnonzero(np.diff(steps // self.chunk)) + 1) if len(steps) else []:
+                steps = self._steps(cube, n)
+                # Stretches end where storage chunks do, so that no chunk is decoded twice.
+                together = cube.steps_together(self.variable)
+                length = max(together, self.chunk // together * together)
+            for own in np.split(steps, np.flatnonzero(np.diff(steps // length)) + 1) if len(steps) else []:
                 # Dates ascend within a file; were they not, each stretch of steps would be a chunk.
                 for part in np.split(own, np.flatnonzero(np.diff(own) > 1) + 1):
                     out.append(_Chunk(path, int(part[0]), len(part), before + int(part[0])))
@@ -187,37 +281,57 @@ class _Reader(DataSourceReader):
     def read(self, part):
         if part is None:  # no step is left
             return
-        with open(part.path, "rb") as f:
-            h = read_header(f)
-            lat = read_values(f, h, _coordinate(h, ("lat", "latitude"))).astype(float)
-            lon = read_values(f, h, _coordinate(h, ("lon", "longitude"))).astype(float)
-            v = h.variables[self.variable]
-            names = [h.dims[d][0] for d in v.dims]
-            values = read_values(f, h, self.variable, *((0, None) if self.static else (part.first, part.count))).astype(float)
-            values = values if self.static else np.moveaxis(values, names.index("time"), 0)
-            flags = [float(np.ravel(v.attributes[k])[0]) for k in ("_FillValue", "missing_value") if k in v.attributes]
-            gone = np.isnan(values) | (np.abs(values) >= 1e15)
-            for flag in flags:
-                gone |= values == flag
+        with files.opened(part.path) as f:
+            yield from self._rows(opened_cube(f), part)
+
+    def _rows(self, cube: Classic | Hdf5, part: _Chunk):
+        lat, lon = (cube.read(_coordinate(cube, x)).astype(float) for x in (_LAT, _LON))
+        names = [n for n in cube.dims(self.variable) if n != "time"]
+        if not self.static and cube.dims(self.variable)[0] != "time":
+            raise ValueError(f"time must be the first dimension of {self.variable}")
+        by_row = names.index(_coordinate(cube, _LAT)) < names.index(_coordinate(cube, _LON))
+        if self.cells is None:
             y, x = (g.ravel() for g in np.meshgrid(np.arange(len(lat)), np.arange(len(lon)), indexing="ij"))
-            if names.index(_coordinate(h, ("lat", "latitude"))) > names.index(_coordinate(h, ("lon", "longitude"))):
-                values, gone = np.swapaxes(values, -1, -2), np.swapaxes(gone, -1, -2)
-            if self.static:
-                yield pa.RecordBatch.from_arrays([pa.array(y.astype(np.int32)), pa.array(x.astype(np.int32)), pa.array(values.ravel(), mask=gone.ravel())], names=AREA.names)
-                return
-            times = read_values(f, h, "time", part.first, part.count)
-            dates = decode_times(times, h.variables["time"].attributes["units"])
-            for k, date in enumerate(dates):
-                n = len(y)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, part.step + k, np.int32)), pa.array([date] * n, pa.date32()), pa.array(y.astype(np.int32)), pa.array(x.astype(np.int32)), pa.array(lat[y]), pa.array(lon[x]), pa.array(values[k].ravel(), mask=gone[k].ravel())],
-                    names=GRID.names,
-                )
+        else:
+            spans = np.array(self.cells, np.int64).reshape(-1, 3)
+            width = spans[:, 2] - spans[:, 1] + 1
+            y = np.repeat(spans[:, 0], width)
+            x = np.repeat(spans[:, 1], width) + np.arange(len(y)) - np.repeat(np.cumsum(width) - width, width)
+        flat = y * len(lon) + x if by_row else x * len(lat) + y
+        order = np.argsort(flat, kind="stable")
+        y, x, flat = y[order], x[order], flat[order]
+        attributes = cube.attributes(self.variable)
+        if self.static:
+            values, gone = unpacked(cube.read(self.variable).ravel()[flat], attributes)
+            yield pa.RecordBatch.from_arrays([pa.array(y.astype(np.int32)), pa.array(x.astype(np.int32)), pa.array(values, mask=gone)], names=AREA.names)
+            return
+        dates = np.array(decode_times(cube.read("time", part.first, part.count), cube.attributes("time")["units"]), "datetime64[D]").astype(np.int32)
+        together = cube.steps_together(self.variable)
+        b = part.first
+        while b < part.first + part.count:  # one storage chunk's steps at a time
+            a, b = b, min(part.first + part.count, (b // together + 1) * together)
+            steps = cube.cells(self.variable, a, b - a, flat)
+            for k, step in enumerate(range(a, b)):
+                values, gone = unpacked(steps[k], attributes)
+                own = np.arange(len(flat)) if self.keep_missing else np.flatnonzero(~gone)
+                n = len(own)
+                arrays = [np.full(n, part.step + step - part.first, np.int32), pa.array(np.full(n, dates[step - part.first], np.int32), pa.date32()), y[own].astype(np.int32), x[own].astype(np.int32), lat[y[own]], lon[x[own]]]
+                yield pa.RecordBatch.from_arrays([*(v if isinstance(v, pa.Array) else pa.array(v) for v in arrays), pa.array(values[own], mask=gone[own])], names=GRID.names)
+
+
+def spans_of(mapped: DataFrame) -> str:
+    """The cells of a map (lat_idx, lon_idx) as the option `cells`; as long as the grid has rows and basins have edges there."""
+    cells = mapped.select("lat_idx", "lon_idx").distinct()
+    island = F.col("lon_idx") - F.row_number().over(Window.partitionBy("lat_idx").orderBy("lon_idx"))
+    spans = cells.withColumn("_i", island).groupBy("lat_idx", "_i").agg(F.min("lon_idx").alias("a"), F.max("lon_idx").alias("b"))
+    span = F.concat_ws("-", F.col("a").cast("string"), F.col("b").cast("string"))
+    rows = spans.groupBy("lat_idx").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("a", span.alias("s")))), lambda z: z["s"]), ",").alias("s"))
+    return ";".join(f"{r['lat_idx']}:{r['s']}" for r in rows.orderBy("lat_idx").collect())  # one row a row of the grid
 
 
 class NetCdfSource(DataSource):
     """Cubes [time, lat, lon]; options: variable, chunk (time steps a partition, 100), steps (the first n of each file only),
-    from and to (ISO dates, inclusive).
+    from and to (ISO dates, inclusive), cells (spans of rows, see `spans_of`), missing ("drop": cells without a value are no rows).
 
     Several files are one time axis in the order of their names: time_idx goes on from file to file.
     """
@@ -247,11 +361,19 @@ class NetCdfAreaSource(DataSource):
         return _Reader({"variable": "land area"} | dict(self.options), True)
 
 
-def read_cube(spark: SparkSession, paths: list[str] | str, variable: str, chunk: int = 100, steps: int | None = None, dates: tuple[datetime.date | None, datetime.date | None] = (None, None)) -> DataFrame:
-    """One or more files, read as one grid; of it only the steps between the dates (inclusive; None: open)."""
+def read_cube(
+    spark: SparkSession, paths: list[str] | str, variable: str, chunk: int = 100, steps: int | None = None,
+    dates: tuple[datetime.date | None, datetime.date | None] = (None, None), mapped: DataFrame | None = None, drop_missing: bool = False,
+) -> DataFrame:
+    """One or more files, read as one grid; of it only the steps between the dates (inclusive; None: open) and, with a map, its cells.
+
+    drop_missing leaves out cells without a value; whoever counts them as zero must not.
+    """
     spark.dataSource.register(NetCdfSource)
     reader = spark.read.format("netcdf").option("variable", variable).option("chunk", chunk)
     reader = reader.option("steps", steps) if steps is not None else reader
+    reader = reader.option("cells", spans_of(mapped)) if mapped is not None else reader
+    reader = reader.option("missing", "drop") if drop_missing else reader
     for name, date in zip(("from", "to"), dates):
         reader = reader.option(name, date.isoformat()) if date is not None else reader
     return reader.load(paths if isinstance(paths, str) else ",".join(paths))
@@ -264,7 +386,7 @@ def read_cells(spark: SparkSession, path: str, variable: str) -> DataFrame:
 
 def read_area(spark: SparkSession, path: str, variable: str = "land area", strict: bool = True) -> DataFrame | None:
     """The area field; without the file an error, or None if not strict."""
-    if not glob.glob(path):
+    if not path or not files.exists(path):
         if strict:
             raise FileNotFoundError(path)
         return None

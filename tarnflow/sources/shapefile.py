@@ -8,6 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 from ..schema import BASINS
+from . import files
 
 REQUIRED = ("BASIN_ID", "BCU_name", "NAME", "REGION", "area_km2")
 _POLYGONS = (5, 15, 25)  # with or without heights and measures
@@ -15,7 +16,7 @@ _POLYGONS = (5, 15, 25)  # with or without heights and measures
 
 def read_shapes(path: str | Path) -> list[list[list[tuple[float, float]]] | None]:
     """Rings of each record; None for records without a shape."""
-    raw = Path(path).read_bytes()
+    raw = files.text_of(str(path))
     at, out = 100, []
     while at + 8 <= len(raw):
         (words,) = struct.unpack_from(">i", raw, at + 4)
@@ -37,7 +38,7 @@ def read_shapes(path: str | Path) -> list[list[list[tuple[float, float]]] | None
 
 def read_attributes(path: str | Path, encoding: str = "utf-8") -> list[dict]:
     """Records of a dBASE table; empty numbers are None."""
-    raw = Path(path).read_bytes()
+    raw = files.text_of(str(path))
     count, first, width = struct.unpack_from("<IHH", raw, 4)
     fields, at = [], 32
     while raw[at] != 0x0D:
@@ -61,7 +62,7 @@ def read_basins(spark: SparkSession, path: str, n: int | None = None) -> DataFra
 
     A missing required column is an error.
     """
-    attributes = read_attributes(Path(path).with_suffix(".dbf"))
+    attributes = read_attributes(str(path).removesuffix(".shp") + ".dbf")
     shapes = read_shapes(path)
     missing = [c for c in REQUIRED if attributes and c not in attributes[0]]
     if missing:

@@ -49,6 +49,64 @@ def by_basin(df, column="value"):
     return {r["BASIN_ID"]: r[column] for r in df.collect()}
 
 
+def even_odd(rings, x, y):
+    n = 0
+    for ring in rings:
+        for (x1, y1), (x2, y2) in zip(ring, ring[1:]):
+            n += (y1 > y) != (y2 > y) and x < (x2 - x1) * (y - y1) / (y2 - y1) + x1
+    return n % 2 == 1
+
+
+def square_meets(ring, x, y, half):
+    for (x1, y1), (x2, y2) in zip(ring, ring[1:]):
+        if min(x1, x2) <= x + half and max(x1, x2) >= x - half and min(y1, y2) <= y + half and max(y1, y2) >= y - half:
+            sides = [(x2 - x1) * (y + b * half - y1) - (y2 - y1) * (x + a * half - x1) for a in (-1, 1) for b in (-1, 1)]
+            if min(sides) <= 0 <= max(sides):
+                return True
+    return False
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_scanline_equals_the_rule_cell_by_cell(spark, seed):
+    """Random stars with holes, edges through centres, an uneven grid, and both rules."""
+    rng = random.Random(seed)
+    lats = sorted({round(rng.uniform(-5, 5), 1) for _ in range(14)}, reverse=True) if seed == 3 else [4.75 - 0.5 * k for k in range(20)]
+    lons = [-4.75 + 0.5 * k for k in range(20)]
+    cells = [(y, x, lat, lon) for y, lat in enumerate(lats) for x, lon in enumerate(lons)]
+    shapes = {}
+    for b in range(1, 6):
+        cx, cy, rings = rng.uniform(-3, 3), rng.uniform(-3, 3), []
+        for size in (3.0, 1.0):
+            k = rng.randrange(3, 12)
+            ring = [(cx + size * rng.uniform(0.3, 1) * math.cos(6.283 * i / k), cy + size * rng.uniform(0.3, 1) * math.sin(6.283 * i / k)) for i in range(k)]
+            ring = [(round(x * 4) / 4, round(y * 4) / 4) for x, y in ring] if seed % 2 else ring
+            rings.append([*ring, ring[0]])
+        shapes[b] = rings
+    shapes[6] = [[(0.25, 0.25), (0.25, 0.25)], []]  # without area
+    frame = spark.createDataFrame(cells, "lat_idx int, lon_idx int, lat double, lon double")
+    inside = {(b, y, x) for b, rings in shapes.items() for y, x, lat, lon in cells if even_odd(rings, lon, lat)}
+    basins = basin_frame(spark, shapes)
+    for columns in (16.0, 1.5):
+        assert {tuple(r) for r in cell_basin(frame, basins, columns=columns).collect()} == inside
+    half = 0.25
+    touched = inside | {(b, y, x) for b, rings in shapes.items() for y, x, lat, lon in cells if any(square_meets(r, lon, lat, half) for r in rings)}
+    got = cell_basin(frame, basins, all_touched=True, half=half, mark_contained=True).collect()
+    assert len(got) == len(touched) and {tuple(r)[:3] for r in got} == touched and {tuple(r)[:3] for r in got if r["contained"]} == inside
+
+
+def test_a_polygon_of_100_000_points(spark):
+    n = 100_000
+    ring = [{"x": 90 * math.cos(2 * math.pi * k / n) * (1 + 0.01 * math.sin(500 * k / n)), "y": 80 * math.sin(2 * math.pi * k / n)} for k in range(n)]
+    basins = spark.createDataFrame([(1, "b", "n", "r", 1.0, [[*ring, ring[0]]])], BASINS)
+    y, x = F.floor(F.col("id") / 720).cast("int"), (F.col("id") % 720).cast("int")
+    cells = spark.range(720 * 360).select(y.alias("lat_idx"), x.alias("lon_idx"), (89.75 - y * 0.5).alias("lat"), (x * 0.5 - 179.75).alias("lon"))
+    mapped = cell_basin(cells, basins)
+    assert "rings" not in mapped.columns and mapped.count() == pytest.approx(math.pi * 90 * 80 * 4, rel=0.02)
+    plan = mapped._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line]
+    assert len(joins) >= 2 and "BroadcastNestedLoop" not in mapped._jdf.queryExecution().executedPlan().toString().replace("BroadcastNestedLoopJoin BuildRight, Cross", "")
+
+
 def test_uniform_grid_counts_cells_and_shapes(spark):
     grid = grid_frame(spark, ONES)
     basins = basin_frame(spark, {1: [rect(-4, -4, 0, 0)], 2: [rect(-4, -4, 4, 4), rect(-2, -2, 2, 2)], 3: [rect(0.1, 0.1, 0.3, 0.3)], 4: [rect(-4, -4, -3, -3), rect(3, 3, 4, 4)]})
@@ -96,7 +154,7 @@ def test_tiles_lose_no_cell(spark):
     cells = spark.range(36 * 18).select((F.floor(F.col("id") / 36)).cast("int").alias("lat_idx"), (F.col("id") % 36).cast("int").alias("lon_idx")).select("*", (F.col("lat_idx") * 10 - 85.0).alias("lat"), (F.col("lon_idx") * 10 - 175.0).alias("lon"))
     basins = basin_frame(spark, {1: [rect(-180, -90, 180, 90)], 2: [rect(-31, -31, 29, 31)]})
     for tile in (7.0, 10.0, 400.0):
-        assert {r["BASIN_ID"]: r["n"] for r in cell_basin(cells, basins, tile=tile).groupBy("BASIN_ID").agg(F.count("*").alias("n")).collect()} == {1: 648, 2: 36}
+        assert {r["BASIN_ID"]: r["n"] for r in cell_basin(cells, basins, columns=tile).groupBy("BASIN_ID").agg(F.count("*").alias("n")).collect()} == {1: 648, 2: 36}
 
 
 def test_fill_flags_and_nan_go_before_or_after(spark):
@@ -205,7 +263,7 @@ def test_rolling_matches_a_plain_loop_on_both_paths(spark):
     future = [(1, "h", "c", s, d, d.year, d.month, rng.uniform(0, 9)) for s in ("ssp126", "ssp585") for d in months(2015, 36)]
     joined = pn.join_history(series(spark, past), series(spark, future))
     assert joined.where("data_period = 'historical'").count() == 120
-    for method in ("sliding", "prefix"):
+    for method in ("sliding", "blocks"):
         out = rolling.rolling_means(joined, "q", {"w": 12}, method=method)
         for scenario in ("ssp126", "ssp585"):
             rows = sorted((r["date"], r["q"], r["q_w"]) for r in out.where(F.col("ssp_scenario") == scenario).collect())
@@ -219,6 +277,26 @@ def test_rolling_matches_a_plain_loop_on_both_paths(spark):
     assert (a["first_year"], a["last_year"], a["n_values"], a["n_future_values"]) == (2015, 2017, 50, 48)
 
 
+@pytest.mark.parametrize("n,length", [(1, 30), (7, 30), (7, 6), (10, 40), (10, 41), (400, 1500)])
+def test_block_sums_do_not_cancel(spark, n, length):
+    """Values of 1e9 and one of 1e15 long before: differences of running totals would lose the small digits."""
+    rng = random.Random(n)
+    values = [1e15 if k == 0 else None if rng.random() < 0.02 else 1e9 + rng.random() for k in range(length)]
+    rows = [(b, D(1900, 1, 1) + dt.timedelta(days=k), v) for b in (1, 2) for k, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "BASIN_ID long, date date, q double")
+    got = sorted((r["BASIN_ID"], r["date"], r["q_w"], r["q_two"]) for r in rolling.rolling_means(df, "q", {"w": n, "two": 2}, ("BASIN_ID",), method="blocks").collect())
+    assert len(got) == 2 * length
+    for (_, date, a, b), k in zip(got, [*range(length)] * 2):
+        for size, mean in ((n, a), (2, b)):
+            own = values[max(0, k - size + 1) : k + 1]
+            if len(own) < size or None in own:
+                assert mean is None
+            else:
+                assert mean == pytest.approx(math.fsum(own) / size, rel=1e-14)
+    with pytest.raises(ValueError):
+        rolling.rolling_means(df, "q", {"w": n}, ("BASIN_ID",), method="prefix")
+
+
 def test_history_or_future_alone(spark):
     past = series(spark, [(1, "h", "c", "historical", d, d.year, d.month, 1.0) for d in months(2010, 5)])
     assert {r["ssp_scenario"] for r in pn.join_history(past, past.limit(0)).collect()} == {"historical"}
