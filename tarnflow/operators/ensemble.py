@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import month_name
+from ..functions.order import counted, with_quantiles
 
 GROUPS = ("ssp_scenario", "climate_model", "hydro_model")
 
@@ -98,15 +99,17 @@ def climatology(panel: DataFrame, value: str, by: str) -> DataFrame:
 
 
 def box_stats(panel: DataFrame, value: str, by: str, reach: float = 1.5) -> DataFrame:
-    """Per basin, level and month: quartiles (linear) and whiskers, the extreme data within reach * IQR of the box."""
+    """Per basin, level and month: quartiles (linear) and whiskers, the extreme data within reach * IQR of the box.
+
+    One pass: values are counted before the shuffle, and all is read off each group's sorted run.
+    """
     keys = ["BASIN_ID", _group(by), "month"]
-    rows = panel.dropna(subset=[*keys, value])
-    quarts = rows.groupBy(*keys).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.count("*").alias("n"))
-    quarts = quarts.select(*keys, F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "n")
+    counts = counted(panel.dropna(subset=[*keys, value]), keys, value)
+    boxed = with_quantiles(counts, keys, {"q1": 0.25, "median": 0.5, "q3": 0.75})
     away = reach * (F.col("q3") - F.col("q1"))
-    inside = F.col(value).between(F.col("q1") - away, F.col("q3") + away)
-    joined = rows.join(quarts, keys)
-    return joined.groupBy(*keys, "q1", "median", "q3", "n").agg(F.min(F.when(inside, F.col(value))).alias("whisker_low"), F.max(F.when(inside, F.col(value))).alias("whisker_high"))
+    inside = F.col("_v").between(F.col("q1") - away, F.col("q3") + away)
+    same = [F.min(c).alias(c) for c in ("q1", "median", "q3", "n")]
+    return boxed.groupBy(*keys).agg(*same, F.min(F.when(inside, F.col("_v"))).alias("whisker_low"), F.max(F.when(inside, F.col("_v"))).alias("whisker_high"))
 
 
 def heatmap(panel: DataFrame, value: str, basin: int | None = None, scenario: str | None = None, model: str | None = None) -> DataFrame:

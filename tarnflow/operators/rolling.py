@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import decade, in_period
 from ..schema import SERIES
+from .panel import join_history
 
 MONTHLY = {"5yr": 60, "10yr": 120, "30yr": 360}
 DAILY = {"5yr": 1825, "10yr": 3650, "30yr": 10950}
@@ -87,6 +88,30 @@ def future_only(panel: DataFrame, first_year: int = 2015, scenarios: tuple[str,
     return panel.where((F.col("year") >= first_year) & kept)
 
 
+def seam_halo(history: DataFrame, rows: int, first_year: int = 2015, keys: tuple[str, ...] = SERIES) -> DataFrame:
+    """Of the history before `first_year`, each series' last `rows` rows; of later years, if it has any, all.
+
+    Windows of rows + 1 over what follows need no more.  Map tasks drop the rest
+    before the shuffle.
+    """
+    series = [k for k in keys if k in history.columns and k != "ssp_scenario"]
+    before = F.coalesce(F.col("year") < first_year, F.lit(True))
+    latest = Window.partitionBy(*series).orderBy(F.col("date").desc())
+    kept = history.where(before).withColumn("_nth", F.row_number().over(latest)).where(F.col("_nth") <= rows).drop("_nth")
+    return kept.unionByName(history.where(~before))
+
+
+def future_means(history: DataFrame, future: DataFrame, value: str, windows: dict[str, int], first_year: int = 2015, scenarios: tuple[str, ...] | None = None, keys: tuple[str, ...] = SERIES, method: str | None = None) -> DataFrame:
+    """Trailing means of the rows from `first_year` on, across the seam.
+
+    The same as windows over all of history joined to each scenario and then
+    `future_only`, but each scenario carries only the history that the longest
+    window reaches back to: series times its length, however long history is.
+    """
+    halo = seam_halo(history, max(windows.values()) - 1, first_year, keys)
+    return future_only(rolling_means(join_history(halo, future), value, windows, keys, method=method), first_year, scenarios)
+
+
 def availability(panel: DataFrame, columns: tuple[str, ...], first_year: int = 2015) -> DataFrame:
     """Per column: first and last year with a value, number of values, and the same from `first_year` on."""
     stats = []

@@ -10,8 +10,7 @@ from ..functions.naming import run_file
 from ..operators import anova as av
 from ..operators.geo import cell_basin, with_weights
 from ..operators.monthly import monthly
-from ..operators.panel import join_history
-from ..operators.rolling import future_only, rolling_means, with_periods
+from ..operators.rolling import DAILY, MONTHLY, frequency, future_means, with_periods
 from ..operators.zonal import with_basins, zonal
 from ..schema import METADATA, RUN
 from ..sources.discovery import find_cubes
@@ -61,9 +60,11 @@ def monthly_panel(daily: DataFrame, value: str = "qtot") -> DataFrame:
 
 
 def rolling_panel(history: DataFrame, future: DataFrame, value: str = "qtot_mean", windows: dict[str, int] | None = None, first_year: int = 2015, scenarios: tuple[str, ...] | None = None, freq: str | None = "monthly") -> DataFrame:
-    """History and future joined, trailing means across the seam, flags, and then the future alone."""
-    joined = join_history(history, future).withColumn("climate_model", F.lower("climate_model"))
-    return future_only(with_periods(rolling_means(joined, value, windows, freq=freq)), first_year, scenarios)
+    """The future with trailing means across the seam and flags; of history only what the windows reach is joined."""
+    history, future = (x.withColumn("climate_model", F.lower("climate_model")) for x in (history, future))
+    if windows is None:
+        windows = DAILY if (freq or frequency(future)) == "daily" else MONTHLY
+    return with_periods(future_means(history, future, value, windows, first_year, scenarios))
 
 
 def variance_analysis(panel: DataFrame, targets: dict[str, str] | None = None) -> dict[str, DataFrame]:

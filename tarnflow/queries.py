@@ -115,11 +115,15 @@ def _monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return monthly(daily_panel(spark, sf_dir), "qtot", _KEYS)
 
 
-def _joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _periods(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     daily = daily_panel(spark, sf_dir)
     past = monthly(daily.where(F.col("year") < _SEAM), "qtot", _KEYS[:-1], ("mean",))
     later = monthly(daily.where(F.col("year") >= _SEAM), "qtot", _KEYS, ("mean",))
-    return pn.join_history(past, later)
+    return past, later
+
+
+def _joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pn.join_history(*_periods(spark, sf_dir))
 
 
 def _rolled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -220,7 +224,7 @@ def period_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(f"WITH {_ROLLED} SELECT BASIN_ID, hydro_model, climate_model, ssp_scenario, date, round(qtot_12m, 6) AS qtot_12m FROM rolled WHERE year >= {_SEAM} AND ssp_scenario IN ('F')", dates=("date",))
 def future_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = rolling.future_only(_rolled(spark, sf_dir), _SEAM, ("F",))
+    kept = rolling.future_means(*_periods(spark, sf_dir), "qtot", {"12m": 12}, _SEAM, ("F",))
     return _round(kept.select("BASIN_ID", "hydro_model", "climate_model", "ssp_scenario", "date", "qtot_12m"), "qtot_12m")
 
 

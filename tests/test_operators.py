@@ -297,6 +297,23 @@ def test_block_sums_do_not_cancel(spark, n, length):
         rolling.rolling_means(df, "q", {"w": n}, ("BASIN_ID",), method="prefix")
 
 
+def test_halo_gives_the_same_future_from_few_rows(spark):
+    rng = random.Random(8)
+    past = [(b, "h", c, "historical", d, d.year, d.month, rng.uniform(0, 9)) for b in (1, 2, 3) for c in "xy" for d in months(1990, 330) if b < 3 or d.year > 2014]  # to mid-2017
+    future = [(b, "h", c, s, d, d.year, d.month, None if rng.random() < 0.1 else rng.uniform(0, 9)) for b in (1, 2, 4) for c in "xy" for s in ("ssp126", "ssp585") for d in months(2014, 60) if (d.year, d.month) > (2017, 6)]
+    history, later = series(spark, past), series(spark, future)
+    windows = {"a": 3, "b": 12}
+    for method in ("sliding", "blocks"):
+        want = rolling.future_only(rolling.rolling_means(pn.join_history(history, later), "q", windows, method=method), 2015, ("ssp126",))
+        got = rolling.future_means(history, later, "q", windows, 2015, ("ssp126",), method=method)
+        columns = ("BASIN_ID", "climate_model", "ssp_scenario", "date", "data_period", "q_a", "q_b")
+        rounded = lambda df: sorted(tuple(round(x, 9) if isinstance(x, float) else str(x) for x in r) for r in df.select(*columns).collect())
+        assert rounded(got) == rounded(want) and len(rounded(got)) > 100
+    halo = rolling.seam_halo(history, 11, 2015)
+    assert halo.where("year < 2015").count() == 4 * 11 and halo.where("year >= 2015").count() == history.where("year >= 2015").count()
+    assert "WindowGroupLimit" in halo._jdf.queryExecution().executedPlan().toString()
+
+
 def test_history_or_future_alone(spark):
     past = series(spark, [(1, "h", "c", "historical", d, d.year, d.month, 1.0) for d in months(2010, 5)])
     assert {r["ssp_scenario"] for r in pn.join_history(past, past.limit(0)).collect()} == {"historical"}
@@ -421,3 +438,17 @@ def test_jobs_and_settings(spark, tmp_path, monkeypatch):
     (tmp_path / "bad.yaml").write_text("colour: red\n")
     with pytest.raises(ValueError):
         load_config(RunConfig(), str(tmp_path / "bad.yaml"))
+
+
+def test_box_stats_read_one_sorted_run(spark):
+    rng = np.random.default_rng(3)
+    rows = [(1, "s", 1, float(v)) for v in rng.integers(0, 9, 501)] + [(1, "s", 2, float(v)) for v in rng.normal(size=40)] + [(2, "s", 1, 5.0), (2, "s", 1, None), (None, "s", 1, 1.0), (3, "s", 1, -1.0), (3, "s", 1, 2.0), (1, "s", 2, 99.0)]
+    df = spark.createDataFrame(rows, "BASIN_ID long, ssp_scenario string, month int, q double")
+    out = ensemble.box_stats(df, "q", "ssp_scenario")
+    for r in out.collect():
+        v = np.array([x[3] for x in rows if x[0] == r["BASIN_ID"] and x[2] == r["month"] and x[3] is not None])
+        q1, q2, q3 = np.percentile(v, [25, 50, 75])
+        own = v[(v >= q1 - 1.5 * (q3 - q1)) & (v <= q3 + 1.5 * (q3 - q1))]
+        assert (r["q1"], r["median"], r["q3"], r["n"], r["whisker_low"], r["whisker_high"]) == (pytest.approx(q1), pytest.approx(q2), pytest.approx(q3), len(v), own.min(), own.max())
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert out.count() == 4 and "Join" not in plan and plan.count("LogicalRDD") + plan.count("LocalRelation") == 1
