@@ -1,9 +1,10 @@
 """Ordinary least squares and Type-II analysis of variance, basin by basin.
 
-The panel is first summed into cells of equal factor levels (n, sum, sum of
-squares): least squares needs no more.  So the data are aggregated before the
-shuffle and a basin's group is bounded by the number of level combinations.
-Each group is then fitted with numpy.
+The panel is first summed into cells of equal factor levels (count, mean, squares
+about the mean): least squares needs no more, and nothing cancels where means are
+large.  So the data are aggregated before the shuffle and a basin's group is bounded
+by the number of level combinations.  Each group's cross products are then swept,
+term by term: what is left of the target's own is the residual.
 """
 
 from __future__ import annotations
@@ -77,37 +78,49 @@ def _design(cells: pd.DataFrame, term: tuple[str, ...]) -> np.ndarray:
     return block
 
 
+#: A column of which the sweep has left less than this share is a combination of those before.
+_LEFT = 1e-9
+
+
+def sweep(products: np.ndarray, columns: list[int], first: np.ndarray) -> tuple[np.ndarray, int]:
+    """Cross products after taking the columns out of all others, and how many of them were independent.
+
+    first: the diagonal before any sweep.
+    """
+    rank = 0
+    for k in columns:
+        if products[k, k] > _LEFT * first[k]:
+            products = products - np.outer(products[:, k], products[k]) / products[k, k]
+            rank += 1
+    return products, rank
+
+
 def fit_cells(cells: pd.DataFrame, terms: tuple[tuple[str, ...], ...]) -> dict:
-    """Sums of squares (Type II), degrees of freedom, p-values and R2 from cells with n, s, ss."""
-    n, s, ss = (cells[c].to_numpy(float) for c in ("n", "s", "ss"))
-    root = np.sqrt(n)
-    mean = s / n
-    within = float((ss - s * mean).sum())
+    """Sums of squares (Type II), degrees of freedom, p-values and R2 from cells with n, mean, css (squares about the mean)."""
+    n, mean, css = (cells[c].to_numpy(float) for c in ("n", "mean", "css"))
+    total, within = n.sum(), float(css.sum())
+    origin = mean[0]
+    middle = origin + float((n * (mean - origin)).sum() / total)
+    y = mean - middle
     blocks = {t: _design(cells, t) for t in terms}
-    ones = np.ones((len(cells), 1))
-    cache: dict[tuple, tuple[float, int]] = {}
-
-    def residual(used: tuple) -> tuple[float, int]:
-        if used not in cache:
-            x = np.concatenate([ones, *(blocks[t] for t in used)], axis=1) * root[:, None]
-            y = mean * root
-            beta, _, rank, _ = np.linalg.lstsq(x, y, rcond=1e-10)
-            cache[used] = float(np.square(y - x @ beta).sum()) + within, int(rank)
-        return cache[used]
-
-    total = n.sum()
-    full, rank = residual(terms)
-    df_rest = total - rank
+    ends = np.cumsum([1, *(b.shape[1] for b in blocks.values())])
+    columns = {t: list(range(a, b)) for t, a, b in zip(terms, ends, ends[1:])}
+    x = np.concatenate([np.ones((len(cells), 1)), *blocks.values(), y[:, None]], axis=1)
+    products = x.T @ (x * n[:, None])
+    first = np.diagonal(products).copy()
+    products, _ = sweep(products, [0], first)
+    centre = products[-1, -1] + within
+    full, rank = sweep(products, [k for t in terms for k in columns[t]], first)
+    residual, df_rest = max(full[-1, -1], 0.0) + within, total - 1 - rank
     table = {}
     for t in terms:
-        rest = tuple(u for u in terms if u != t and not set(t) < set(u))
-        a, ra = residual(rest)
-        b, rb = residual(tuple(u for u in terms if u in rest or u == t))
-        table[t] = max(a - b, 0.0), rb - ra
-    centre = float((ss.sum()) - s.sum() ** 2 / total)
-    scale = full / df_rest if df_rest > 0 else math.nan
+        rest = [k for u in terms if u != t and not set(t) < set(u) for k in columns[u]]
+        without, _ = sweep(products, rest, first)
+        own, df = sweep(without, columns[t], first)
+        table[t] = max(without[-1, -1] - own[-1, -1], 0.0), df
+    scale = residual / df_rest if df_rest > 0 else math.nan
     p = {t: f_survival((q / d) / scale if d > 0 and scale > 0 else math.nan, d, df_rest) for t, (q, d) in table.items()}
-    return {"table": table, "residual": full, "df_residual": df_rest, "p": p, "r2": 1 - full / centre if centre > 0 else math.nan, "n": int(total), "mean": s.sum() / total, "std": math.sqrt(centre / (total - 1)) if total > 1 else math.nan}
+    return {"table": table, "residual": residual, "df_residual": df_rest, "p": p, "r2": 1 - residual / centre if centre > 0 else math.nan, "n": int(total), "mean": middle, "std": math.sqrt(centre / (total - 1)) if total > 1 else math.nan}
 
 
 def anova(panel: DataFrame, target: str, model_name: str = "base", terms: tuple[tuple[str, ...], ...] | None = None, least: int = LEAST) -> DataFrame:
@@ -121,7 +134,7 @@ def anova(panel: DataFrame, target: str, model_name: str = "base", terms: tuple[
     rows = panel.dropna(subset=[target, "BASIN_ID", *FACTORS, "year"])
     v = F.col(target).cast("double")
     cells = rows.groupBy("BASIN_ID", *FACTORS, "year").agg(
-        F.count("*").alias("n"), F.sum(v).alias("s"), F.sum(v * v).alias("ss"), F.min("NAME").alias("basin_name"), F.min("REGION").alias("region"),
+        F.count("*").alias("n"), F.avg(v).alias("mean"), (F.var_pop(v) * F.count("*")).alias("css"), F.min("NAME").alias("basin_name"), F.min("REGION").alias("region"),
         (F.min("area_km2") if "area_km2" in panel.columns else F.min(F.lit(None).cast("double"))).alias("area_km2"),
     )
     names = [term_name(t) for t in terms]
@@ -186,6 +199,20 @@ def significance(results: DataFrame, level: float = 0.05) -> DataFrame:
     return results.agg(F.array(*map(row, names)).alias("r")).select(F.explode("r").alias("r")).select("r.*")
 
 
+def report(results: DataFrame, level: float = 0.05) -> DataFrame:
+    """factor, kind (main or interaction), mean and deviation of its share over basins, percentage of basins where it is significant; one pass."""
+    names = [c.removesuffix("_pvalue") for c in results.columns if c.endswith("_pvalue")]
+    n = F.count("*")
+
+    def row(t: str):
+        p = F.col(f"{t}_pvalue")
+        hits = F.sum(F.when(~F.isnan(p) & (p < level), 1).otherwise(0))
+        kind = "interaction" if "_x_" in t else "main"
+        return F.struct(F.lit(pretty(t)).alias("factor"), F.lit(kind).alias("kind"), F.avg(f"{t}_pct").alias("mean_pct"), F.stddev_samp(f"{t}_pct").alias("std_pct"), F.when(n > 0, 100.0 * hits / n).alias("percentage_significant"))
+
+    return results.agg(F.array(*map(row, names)).alias("r")).select(F.explode("r").alias("r")).select("r.*")
+
+
 def compare_models(results: list[DataFrame]) -> DataFrame:
     """Per temporal model: mean share of scenario by year, mean R2, number of basins."""
     kept = [r.select("temporal_model", F.col("ssp_scenario_x_year_pct"), "r_squared") for r in results]

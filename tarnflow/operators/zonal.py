@@ -50,15 +50,18 @@ def with_basins(basins: DataFrame, values: DataFrame, metadata: tuple[str, ...]
     return basins.select(*[c for c in metadata if c in basins.columns]).join(values, "BASIN_ID", "left")
 
 
-def annual(grid: DataFrame, mapped: DataFrame, basins: DataFrame, method: str = "sum", q: float = 0.1) -> DataFrame:
-    """BASIN_ID, year, value in two stages: each cell over its year, then the basin's cells.
+def annual(grid: DataFrame, mapped: DataFrame, basins: DataFrame, method: str = "sum", q: float = 0.1, fill: float | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
+    """BASIN_ID, *keys, year, value in two stages: each cell over its year, then the basin's cells.
 
     sum: sum, then sum.  max: max, then max.  mean: mean, then mean.
     quantile: the q-quantile (linear), then mean.  meansd: mean of the cells'
     means plus mean of their standard deviations (population).
     A basin without cells, or without a value, has 0 in each year of the grid.
+    fill stands for missing cells before either stage, as pipelines that replace
+    them by 0 do; without it they are skipped.  keys (a run's, say) split the grid.
     """
     v = clean(F.col("value"))
+    v = v if fill is None else F.coalesce(v, F.lit(float(fill)))
     stages = {
         "sum": (F.coalesce(F.sum("v"), F.lit(0.0)), F.sum("c")), "max": (F.max("v"), F.max("c")), "mean": (F.avg("v"), F.avg("c")),
         "quantile": (F.percentile("v", F.lit(q)), F.avg("c")), "meansd": (F.struct(F.avg("v").alias("m"), F.stddev_pop("v").alias("s")), F.avg("c.m") + F.avg("c.s")),
@@ -66,10 +69,15 @@ def annual(grid: DataFrame, mapped: DataFrame, basins: DataFrame, method: str =
     if method not in stages:
         raise ValueError(f"method must be one of {sorted(stages)}")
     by_cell, by_basin = stages[method]
-    rows = grid.select("lat_idx", "lon_idx", F.year("date").cast("int").alias("year"), v.alias("v"))
+    rows = grid.select(*keys, "lat_idx", "lon_idx", F.year("date").cast("int").alias("year"), v.alias("v"))
     # Cells outside every basin go before anything is shuffled by cell.
     used = rows.join(mapped.select("lat_idx", "lon_idx").distinct(), ["lat_idx", "lon_idx"], "left_semi")
-    cells = used.groupBy("lat_idx", "lon_idx", "year").agg(by_cell.alias("c"))
-    found = cells.join(mapped.select("BASIN_ID", "lat_idx", "lon_idx"), ["lat_idx", "lon_idx"]).groupBy("BASIN_ID", "year").agg(by_basin.alias("value"))
-    frame = basins.select("BASIN_ID").distinct().crossJoin(F.broadcast(rows.select("year").distinct()))  # basins times years
-    return frame.join(found, ["BASIN_ID", "year"], "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
+    cells = used.groupBy(*keys, "lat_idx", "lon_idx", "year").agg(by_cell.alias("c"))
+    weighed = mapped.select("BASIN_ID", "lat_idx", "lon_idx", *(["weight"] if "weight" in mapped.columns else []))
+    met = cells.join(weighed, ["lat_idx", "lon_idx"])
+    if "weight" in mapped.columns:  # not negative, so that it goes through every first stage
+        w = F.col("weight")
+        met = met.withColumn("c", F.struct((F.col("c.m") * w).alias("m"), (F.col("c.s") * w).alias("s")) if method == "meansd" else F.col("c") * w)
+    found = met.groupBy("BASIN_ID", *keys, "year").agg(by_basin.alias("value"))
+    frame = basins.select("BASIN_ID").distinct().crossJoin(F.broadcast(rows.select(*keys, "year").distinct()))  # basins times runs times years
+    return frame.join(found, ["BASIN_ID", *keys, "year"], "left").withColumn("value", F.coalesce("value", F.lit(0.0)))

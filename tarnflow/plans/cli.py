@@ -12,21 +12,29 @@ from ..session import build_session, ship
 from ..sources.sinks import write_csv, write_panel, write_results
 from ..sources.wide_csv import load_runs, read_panel
 from .config import RunConfig, load_config
-from .jobs import configs, job_matrix, run_jobs
-from .pipelines import monthly_panel, process_run, rolling_panel, variance_analysis
+from .jobs import configs, job_matrix, planned, run_sweep
+from .pipelines import annual_run, monthly_panel, outlet_report, process_run, rolling_panel, variance_analysis
 
 
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="tarnflow")
     commands = top.add_subparsers(dest="command", required=True)
-    for name, about in (("aggregate", "grid to basins for one run"), ("sweep", "the same for every run")):
+    for name, about in (("aggregate", "grid to basins for one run"), ("sweep", "the same for every run, as one plan"), ("annual", "one run's cubes to the annual table"), ("outlets", "where a run's outlets lie, as JSON")):
         p = commands.add_parser(name, help=about)
         for f in fields(RunConfig):
             p.add_argument("--" + f.name.replace("_", "-"), default=f.default)
         p.add_argument("--config", default="", help="YAML file with any of these settings")
         if name == "sweep":
-            p.add_argument("--at-once", type=int, default=4)
             p.add_argument("--dry-run", action="store_true")
+        if name == "annual":
+            p.add_argument("--method", choices=("sum", "max", "mean", "quantile", "meansd"), default="sum")
+            p.add_argument("--quantile", type=float, default=0.1)
+            p.add_argument("--skip-missing", action="store_true", help="leave missing cells out, instead of counting them as 0")
+        if name == "outlets":
+            p.add_argument("--steps", type=int, default=50)
+            p.add_argument("--every", type=int, default=5)
+            p.add_argument("--basins", type=int, default=20)
+            p.add_argument("--all-touched", action="store_true")
     p = commands.add_parser("long", help="wide run files to a long panel")
     for name in ("data-dir", "output", "variable", "frequency", "period"):
         p.add_argument("--" + name, required=True)
@@ -61,12 +69,19 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     a = parser().parse_args(argv)
     spark = spark or build_session()
     ship(spark)
-    if a.command in ("aggregate", "sweep"):
+    if a.command in ("aggregate", "sweep", "annual", "outlets"):
         base = load_config(RunConfig(**{f.name: getattr(a, f.name) for f in fields(RunConfig)}), a.config)
         if a.command == "aggregate":
             print(*process_run(spark, base), sep="\n")
             return 0
-        records = run_jobs(configs(job_matrix(spark), base), lambda c: process_run(spark, c), a.at_once, a.dry_run)
+        if a.command == "annual":
+            print(annual_run(spark, base, a.method, a.quantile, None if a.skip_missing else 0.0))
+            return 0
+        if a.command == "outlets":
+            print(*outlet_report(spark, base, a.steps, a.basins, a.every, a.all_touched), sep="\n")
+            return 0
+        jobs = configs(job_matrix(spark), base)
+        records = planned(jobs) if a.dry_run else run_sweep(spark, jobs)
         for r in records:
             print(r)
         return int(any(r["status"] == "failed" for r in records))

@@ -14,13 +14,11 @@ log = logging.getLogger(__name__)
 @dataclass(frozen=True)
 class RunConfig:
     variable: str = "qtot"
-    isimip_version: str = "3b"
     hydro_model: str = "CWatM"
     climate_model: str = "gfdl-esm4"
     scenario: str = "ssp126"
     data_period: str = "historical"
     region: str = "R12"
-    iso3: str = "ZMB"
     temporal_resolution: str = "monthly"
     spatial_method: str = "sum"
     input_dir: str = "./input"

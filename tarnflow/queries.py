@@ -351,25 +351,83 @@ def _anova(spark: SparkSession, sf_dir: str) -> DataFrame:
     return av.anova(daily_panel(spark, sf_dir), "qtot", "daily")
 
 
-@_query()
+def _swept_sql(x: str, rows: str, value: str, model: str, terms: tuple[tuple[str, ...], ...]) -> str:
+    """CTEs that end in {x}: one row a basin, as `anova` returns it.
+
+    Each cell of equal levels is a list: 1, every term's columns, the target.  Sums
+    of their products are one list a basin, of which a recursive query takes out one
+    column after the other; p-values are the incomplete beta function's continued
+    fraction, by another one.
+    """
+    levels = {"ssp_scenario": f"[(ssp_scenario = l)::DOUBLE FOR l IN {x}l.s[2:]]", "climate_model": f"[(climate_model = l)::DOUBLE FOR l IN {x}l.c[2:]]", "hydro_model": f"[(hydro_model = l)::DOUBLE FOR l IN {x}l.h[2:]]",
+              "month": "[(month = l)::DOUBLE FOR l IN range(2, 13)]", "year": "[year - y0]"}
+    coded = {t: levels[t[0]] if len(t) == 1 else f"flatten([[a * b FOR b IN {levels[t[1]]}] FOR a IN {levels[t[0]]}])" for t in terms}
+    names = [av.term_name(t) for t in terms]
+    begins = {t: "2" + "".join(f" + n_{m}" for m in names[:k]) for k, t in enumerate(terms)}
+    columns = {t: f"range({begins[t]}, {begins[t]} + n_{n})" for t, n in zip(terms, names)}
+    joined = lambda ts: "[1]" + "".join(f" || {columns[t]}" for t in ts)
+    rest = {t: [u for u in terms if u != t and not set(t) < set(u)] for t in terms}
+    specs = [f"('all', 1, {joined(terms)})"] + [f"('{n}', {k}, {joined(ts)})" for t, n in zip(terms, names) for k, ts in ((0, rest[t]), (1, [*rest[t], t]))]
+    p = f"(SELECT beta FROM {x}p WHERE {x}p.BASIN_ID = w.BASIN_ID AND {x}p.term = '{{n}}')"
+    shares = ", ".join(f"100 * max(ss) FILTER (WHERE term = '{n}') / sum(ss) AS {n}_pct" for n in names)
+    return f"""
+{x}k AS MATERIALIZED (SELECT BASIN_ID, ssp_scenario, climate_model, hydro_model, month, year, count(*) AS n, avg({value}) AS mean, var_pop({value}) * count(*) AS css, min(NAME) AS basin_name, min(REGION) AS region FROM {rows} GROUP BY ALL),
+{x}l AS MATERIALIZED (SELECT list_sort(list(DISTINCT ssp_scenario)) AS s, list_sort(list(DISTINCT climate_model)) AS c, list_sort(list(DISTINCT hydro_model)) AS h FROM {x}k),
+{x}b AS MATERIALIZED (SELECT BASIN_ID, min(basin_name) AS basin_name, min(region) AS region, CAST(sum(n) AS BIGINT) AS n, sum(n * mean) / sum(n) AS middle, avg(year) AS y0, sum(css) AS within FROM {x}k GROUP BY BASIN_ID
+  HAVING sum(n) >= {av.LEAST} AND count(DISTINCT ssp_scenario) > 1 AND count(DISTINCT climate_model) > 1 AND count(DISTINCT hydro_model) > 1),
+{x}d AS MATERIALIZED (SELECT BASIN_ID, k.n, [1.0::DOUBLE]{"".join(f" || {coded[t]}" for t in terms)} || [mean - middle] AS d, {", ".join(f"len({coded[t]}) AS n_{n}" for t, n in zip(terms, names))} FROM {x}k k JOIN {x}b b USING (BASIN_ID), {x}l),
+{x}z AS (SELECT {", ".join(f"max(n_{n}) AS n_{n}" for n in names)}, max(len(d)) AS size FROM {x}d),
+{x}m AS MATERIALIZED (SELECT BASIN_ID, list(v ORDER BY i, j) AS m, list(v ORDER BY i) FILTER (WHERE i = j) AS first FROM (SELECT BASIN_ID, i, j, sum(n * d[i] * d[j]) AS v FROM {x}d, (SELECT unnest(range(1, size + 1)) AS i FROM {x}z), (SELECT unnest(range(1, size + 1)) AS j FROM {x}z) GROUP BY BASIN_ID, i, j) GROUP BY BASIN_ID),
+{x}o AS MATERIALIZED (SELECT o.term, o.part, o.cols, size FROM {x}z, LATERAL (VALUES {", ".join(specs)}) o(term, part, cols)),
+{x}s AS (SELECT BASIN_ID, term, part, cols, size, first, 1 AS step, 0 AS rank, m FROM {x}m, {x}o
+  UNION ALL SELECT BASIN_ID, term, part, cols, size, first, step + 1, rank + (m[(k - 1) * size + k] > 1e-9 * first[k])::INTEGER,
+    CASE WHEN m[(k - 1) * size + k] > 1e-9 * first[k] THEN [m[e + 1] - m[(e // size) * size + k] * m[(k - 1) * size + e % size + 1] / m[(k - 1) * size + k] FOR e IN range(size * size)] ELSE m END
+  FROM (SELECT *, cols[step] AS k FROM {x}s WHERE step <= len(cols))),
+{x}e AS MATERIALIZED (SELECT BASIN_ID, term, part, rank, m[size * size] AS rss FROM {x}s WHERE step = len(cols) + 1),
+{x}t AS MATERIALIZED (SELECT a.BASIN_ID, a.term, greatest(a.rss - c.rss, 0) AS ss, c.rank - a.rank AS df FROM {x}e a JOIN {x}e c ON a.BASIN_ID = c.BASIN_ID AND a.term = c.term AND a.part = 0 AND c.part = 1),
+{x}r AS MATERIALIZED (SELECT BASIN_ID, greatest(rss, 0) + within AS residual, n - rank AS df, (SELECT m[size * size] FROM {x}s q WHERE q.BASIN_ID = b.BASIN_ID AND q.term = 'all' AND step = 2) + within AS centre FROM {x}e JOIN {x}b b USING (BASIN_ID) WHERE term = 'all'),
+{x}f AS MATERIALIZED (SELECT BASIN_ID, term, CASE WHEN flip THEN b ELSE a END AS a, CASE WHEN flip THEN a ELSE b END AS b, CASE WHEN flip THEN 1 - x ELSE x END AS x, flip FROM (SELECT *, x > (a + 1) / (a + b + 2) AS flip FROM (
+  SELECT BASIN_ID, term, r.df / 2.0::DOUBLE AS a, t.df / 2.0::DOUBLE AS b, r.df / (r.df + t.df * (ss / t.df) / (residual / r.df)) AS x FROM {x}t t JOIN {x}r r USING (BASIN_ID) WHERE t.df > 0 AND ss > 0))),
+{x}g AS (SELECT BASIN_ID, term, a, b, x, 0 AS i, 1.0::DOUBLE AS c, 1 / (1 - (a + b) * x / (a + 1)) AS d, 1 / (1 - (a + b) * x / (a + 1)) AS h, 2.0::DOUBLE AS last FROM {x}f
+  UNION ALL SELECT BASIN_ID, term, a, b, x, i + 1, c2, d2, h * (c1 * d1) * (c2 * d2), c2 * d2 FROM (SELECT *, 1 / (1 + u2 * d1) AS d2, 1 + u2 / c1 AS c2 FROM (SELECT *, 1 / (1 + u1 * d) AS d1, 1 + u1 / c AS c1 FROM (
+    SELECT *, (i + 1) * (b - i - 1) * x / ((a + 2 * i + 1) * (a + 2 * i + 2)) AS u1, -(a + i + 1) * (a + b + i + 1) * x / ((a + 2 * i + 2) * (a + 2 * i + 3)) AS u2 FROM {x}g WHERE abs(last - 1) > 1e-15 AND i < 5000)))),
+{x}p AS MATERIALIZED (SELECT BASIN_ID, term, CASE WHEN flip THEN 1 - q ELSE q END AS beta FROM (SELECT f.BASIN_ID, f.term, flip, exp(lgamma(f.a + f.b) - lgamma(f.a) - lgamma(f.b) + f.a * ln(f.x) + f.b * ln(1 - f.x)) / f.a * arg_max(h, i) AS q FROM {x}f f JOIN {x}g g ON f.BASIN_ID = g.BASIN_ID AND f.term = g.term GROUP BY f.BASIN_ID, f.term, flip, f.a, f.b, f.x)),
+{x}w AS (SELECT BASIN_ID, {shares} FROM (SELECT BASIN_ID, term, ss FROM {x}t UNION ALL SELECT BASIN_ID, 'residual', residual FROM {x}r) GROUP BY BASIN_ID),
+{x} AS MATERIALIZED (SELECT w.BASIN_ID AS basin_id, basin_name, region, CAST(NULL AS DOUBLE) AS area_km2, b.n AS n_observations, 1 - residual / centre AS r_squared, '{model}' AS temporal_model, middle AS mean_value, sqrt(centre / (b.n - 1)) AS std_value,
+  {", ".join(f"{n}_pct, {p.format(n=n)} AS {n}_pvalue" for n in names)}, 100 - ({" + ".join(f"{n}_pct" for n in names)}) AS residual_pct FROM {x}w w JOIN {x}b b USING (BASIN_ID) JOIN {x}r r USING (BASIN_ID))"""
+
+
+_NAMES = [av.term_name(t) for t in av.BASE]
+_SHARES = [f"{n}_pct" for n in (*_NAMES, "residual")]
+_NUMBERS = ["r_squared", "mean_value", "std_value", *_SHARES, *(f"{n}_pvalue" for n in _NAMES)]
+_DAILY_ANOVA = f"WITH RECURSIVE {_PANEL}, {_swept_sql('v', 'panel', 'qtot', 'daily', av.BASE)}"
+_STATISTICS = {"Mean": "avg", "Median": "median", "Std Dev": "stddev_samp", "Min": "min", "Max": "max"}
+
+
+@_query(f"{_DAILY_ANOVA} SELECT * REPLACE ({', '.join(f'round({c}, 6) AS {c}' for c in _NUMBERS)}) FROM v")
 def anova_type2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _anova(spark, sf_dir)
+    return _round(_anova(spark, sf_dir), *_NUMBERS)
 
 
-@_query()
+@_query(f"{_DAILY_ANOVA} " + " UNION ALL ".join(f"SELECT '{name}' AS metric, {', '.join(f'round({f}({c}), 6) AS {c}' for c in _SHARES)} FROM v" for name, f in _STATISTICS.items()))
 def anova_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return av.summary(_anova(spark, sf_dir))
+    return _round(av.summary(_anova(spark, sf_dir)), *_SHARES)
 
 
-@_query()
+@_query(f"{_DAILY_ANOVA} " + " UNION ALL ".join(f"SELECT '{av.pretty(n)}' AS factor, count(*) FILTER (WHERE {n}_pvalue < 0.05) AS significant_basins, count(*) AS total_basins, round(100.0::DOUBLE * count(*) FILTER (WHERE {n}_pvalue < 0.05) / count(*), 6) AS percentage_significant FROM v" for n in _NAMES))
 def anova_significance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return av.significance(_anova(spark, sf_dir))
+    return _round(av.significance(_anova(spark, sf_dir)), "percentage_significant")
 
 
-@_query()
+@_query(f"{_DAILY_ANOVA} " + " UNION ALL ".join(f"SELECT '{av.pretty(n)}' AS factor, round(avg({n}_pct), 6) AS mean_pct, round(stddev_samp({n}_pct), 6) AS std_pct, round(100.0::DOUBLE * count(*) FILTER (WHERE {n}_pvalue < 0.05) / count(*), 6) AS percentage_significant, '{'interaction' if '_x_' in n else 'main'}' AS kind FROM v" for n in _NAMES))
+def anova_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(av.report(_anova(spark, sf_dir)), "mean_pct", "std_pct", "percentage_significant")
+
+
+@_query(f"{_DAILY_ANOVA}, {_swept_sql('u', 'monthly', 'qtot_mean', 'monthly', av.SEASONAL)} " + " UNION ALL ".join(f"SELECT temporal_model, round(avg(ssp_scenario_x_year_pct), 6) AS mean_ssp_x_year_pct, round(avg(r_squared), 6) AS mean_r_squared, count(*) AS n_basins FROM {x} GROUP BY temporal_model" for x in "vu"))
 def anova_model_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     monthly_means = _monthly(spark, sf_dir)
-    return av.compare_models([_anova(spark, sf_dir), av.anova(monthly_means, "qtot_mean", "monthly")])
+    return _round(av.compare_models([_anova(spark, sf_dir), av.anova(monthly_means, "qtot_mean", "monthly")]), "mean_ssp_x_year_pct", "mean_r_squared")
 
 
 @_query(f"""WITH {_PANEL}, u AS (SELECT BASIN_ID, count(*) AS n, count(DISTINCT ssp_scenario) AS a, count(DISTINCT climate_model) AS b, count(DISTINCT hydro_model) AS c FROM panel GROUP BY BASIN_ID)
@@ -494,6 +552,27 @@ f AS (SELECT BASIN_ID, year, {_basin} AS value FROM y JOIN mapped USING (lat_idx
 SELECT CAST(b AS BIGINT) AS BASIN_ID, n.year, round(coalesce(value, 0), 6) AS value FROM (VALUES (1), (2), (3), (4)) t(b) CROSS JOIN (SELECT DISTINCT year FROM y) n LEFT JOIN f ON f.BASIN_ID = b AND f.year = n.year""", f"annual_{_name}")(_annual_grid(_name))
 
 
+# The same on a grid with gaps, which count as 0: every seventh cell and step, and all of one year in one cell.
+_GAP = "(time_idx + lat_idx * 8 + lon_idx) % 7 = 0 OR (lat_idx = 5 AND lon_idx = 2 AND year(date) = 2001)"
+
+
+def _gappy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gone = ((F.col("time_idx") + F.col("lat_idx") * 8 + F.col("lon_idx")) % 7 == 0) | ((F.col("lat_idx") == 5) & (F.col("lon_idx") == 2) & (F.year("date") == 2001))
+    return grid(spark, sf_dir).withColumn("value", F.when(~gone, F.col("value")))
+
+
+def _annual_filled(method: str) -> Query:
+    return lambda spark, sf_dir: _round(zonal.annual(_gappy(spark, sf_dir), _map(spark), basins(spark), method, fill=0.0), "value")
+
+
+for _name in ("mean", "quantile", "meansd"):
+    _cell, _basin = _YEARLY[_name]
+    _query(f"""WITH {_GRID}, holes AS (SELECT * REPLACE (CASE WHEN {_GAP} THEN 0 ELSE value END AS value) FROM grid),
+y AS (SELECT lat_idx, lon_idx, CAST(year(date) AS INTEGER) AS year, {_cell} AS c FROM holes GROUP BY lat_idx, lon_idx, year(date)),
+f AS (SELECT BASIN_ID, year, {_basin} AS value FROM y JOIN mapped USING (lat_idx, lon_idx) GROUP BY BASIN_ID, year)
+SELECT CAST(b AS BIGINT) AS BASIN_ID, n.year, round(coalesce(value, 0), 6) AS value FROM (VALUES (1), (2), (3), (4)) t(b) CROSS JOIN (SELECT DISTINCT year FROM y) n LEFT JOIN f ON f.BASIN_ID = b AND f.year = n.year""", f"annual_{_name}_filled")(_annual_filled(_name))
+
+
 @_query(f"""WITH {_GRID} SELECT BASIN_ID, date, round(sum(value * ((lat_idx * 8 + lon_idx + 1) * 1e6 * (365.25 * 86400 * 1e-12))), 9) AS qtot_km3, round(max(value * (365.25 * 86400 * 1e-9)), 9) AS dis_km3
 FROM grid JOIN mapped USING (lat_idx, lon_idx) GROUP BY BASIN_ID, date""", dates=("date",))
 def unit_convert(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,10 @@ from __future__ import annotations
 
 import calendar
 import datetime
+import hashlib
+import json
 import struct
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -25,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.types import StructType
 
 from ..schema import AREA, GRID
 from . import files
@@ -347,6 +351,90 @@ class NetCdfSource(DataSource):
         return _Reader(dict(self.options), False)
 
 
+#: A sweep's rows: the run's number, a cell's step and value; and a row a chunk, without a cell, that says why it failed or that it didn't.
+RUN_GRID = StructType().add("run", "integer").add("date", "date").add("lat_idx", "integer").add("lon_idx", "integer").add("value", "double").add("error", "string")
+
+
+@dataclass
+class _RunChunk(InputPartition):
+    run: int
+    chunk: _Chunk | None
+    error: str = ""
+
+
+class _RunsReader(DataSourceReader):
+    """Files of several runs; what goes wrong in one is a row of that run and no error of the job."""
+
+    def __init__(self, options: dict):
+        self.options = options
+        self.runs = json.loads(options["runs"])
+
+    def _reader(self, run: dict) -> _Reader:
+        return _Reader({k: v for k, v in self.options.items() if k in ("chunk", "cells", "missing")} | {"path": ",".join(run["paths"]), "variable": run["variable"]}, False)
+
+    def partitions(self):
+        def own(numbered):
+            n, run = numbered
+            try:
+                return [_RunChunk(n, c) for c in self._reader(run).partitions()]
+            except Exception as e:  # noqa: BLE001  the run's row says it
+                return [_RunChunk(n, None, f"{type(e).__name__}: {e}")]
+
+        with ThreadPoolExecutor(16) as pool:  # headers alone
+            return [c for chunks in pool.map(own, enumerate(self.runs)) for c in chunks]
+
+    def read(self, part):
+        if part is None:
+            return
+        error = part.error or None
+        if part.chunk is not None:
+            try:
+                with files.opened(part.chunk.path) as f:
+                    cube = opened_cube(f)
+                    self._same_grid(cube)
+                    for b in self._reader(self.runs[part.run])._rows(cube, part.chunk):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, part.run, np.int32)), *(b.column(c) for c in ("date", "lat_idx", "lon_idx", "value")), pa.nulls(b.num_rows, pa.string())], names=RUN_GRID.names)
+            except Exception as e:  # noqa: BLE001
+                error = f"{type(e).__name__}: {e}"
+        # A row without a cell says how the chunk went.
+        yield pa.RecordBatch.from_arrays([pa.array([part.run], pa.int32()), *(pa.nulls(1, t) for t in (pa.date32(), pa.int32(), pa.int32(), pa.float64())), pa.array([error and error[:500]], pa.string())], names=RUN_GRID.names)
+
+    def _same_grid(self, cube: Classic | Hdf5) -> None:
+        if self.options.get("grid") not in (None, grid_digest(cube)):
+            raise ValueError("the grid is another one than the cell map's")
+
+
+def grid_digest(cube: Classic | Hdf5) -> str:
+    """Of the coordinates, to about a ten-thousandth of a degree: cubes of one grid have the same."""
+    h = hashlib.sha256()
+    for names in (_LAT, _LON):
+        h.update(np.round(cube.read(_coordinate(cube, names)).astype(float) * 1e4).astype(np.int64).tobytes() + b"|")
+    return h.hexdigest()
+
+
+class NetCdfRunsSource(DataSource):
+    """Cubes of many runs as one table; options: runs (JSON list of variable and paths), chunk, cells, missing, grid (see `grid_digest`)."""
+
+    @classmethod
+    def name(cls):
+        return "netcdf_runs"
+
+    def schema(self):
+        return RUN_GRID
+
+    def reader(self, schema):
+        return _RunsReader(dict(self.options))
+
+
+def read_runs(spark: SparkSession, runs: list[dict], mapped: DataFrame | None = None, grid: str | None = None, chunk: int = 100, drop_missing: bool = False) -> DataFrame:
+    """RUN_GRID of all runs (each a dict of variable and paths); `run` is the place in the list."""
+    spark.dataSource.register(NetCdfRunsSource)
+    reader = spark.read.format("netcdf_runs").option("runs", json.dumps(runs)).option("chunk", chunk)
+    reader = reader.option("cells", spans_of(mapped)) if mapped is not None else reader
+    reader = reader.option("missing", "drop") if drop_missing else reader
+    return (reader.option("grid", grid) if grid else reader).load()
+
+
 class NetCdfAreaSource(DataSource):
     """A field without time, as lat_idx, lon_idx, area_m2."""
 

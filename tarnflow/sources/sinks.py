@@ -98,13 +98,25 @@ def write_run_lines(long: DataFrame, value: str, folder: str, variable: str, fre
 
 def write_wide(long: DataFrame, value: str, dates: list[str], ids: tuple[str, ...], path: str) -> None:
     """A folder of CSV parts, each with the header: ids and one column per date."""
-    header = ",".join([*ids, *dates])
+    write_lines(wide_lines(long, value, dates, ids), path, ",".join([*ids, *dates]))
+
+
+def write_lines(lines: DataFrame, path: str, header: str | None = None) -> None:
+    """A folder of CSV parts of `line`, each with the header given, or else with the lines' own."""
 
     def headed(batches):
+        wanted = header
+        for batch in batches:
+            if wanted is None and batch.num_rows:
+                wanted = batch.column("header")[0].as_py()
+                yield pa.RecordBatch.from_arrays([pa.array([wanted])], names=["line"])
+            yield batch.select(["line"])
+
+    def given(batches):
         yield pa.RecordBatch.from_arrays([pa.array([header])], names=["line"])
-        yield from batches
+        yield from (b.select(["line"]) for b in batches)
 
-    wide_lines(long, value, dates, ids).select("line").mapInArrow(headed, "line string").write.mode("overwrite").option("compression", "none").text(path)
+    lines.select("header", "line").mapInArrow(headed if header is None else given, "line string").write.mode("overwrite").option("compression", "none").text(path)
 
 
 def write_results(results: dict[str, DataFrame], folder: str) -> list[str]:

@@ -212,3 +212,80 @@ def test_broken_files_say_so(tmp_path):
         (tmp_path / "x.nc").write_bytes(raw)
         with pytest.raises((ValueError, IndexError)), open(tmp_path / "x.nc", "rb") as f:
             opened_cube(f)
+
+
+def made_runs(tmp_path):
+    """Four runs of two variables: both formats, a broken file, another grid; and jobs for these and a missing one."""
+    from tarnflow.plans.config import RunConfig
+
+    write_cube(str(tmp_path / "area.nc"), "land area", np.arange(99.0).reshape(11, 9) * 1e6, LAT, LON)
+    write_basins(tmp_path / "b.shp", [square(1, 0, 5, 2.0), square(2, 1, 6, 3.0), square(3, 70, 70)])
+    jobs = []
+    for hydro, variable in (("H08", "qtot"), ("CWatM", "qtot"), ("CWatM", "dis"), ("broken", "qtot"), ("other", "qtot"), ("none", "qtot")):
+        folder = tmp_path / hydro / "ssp126" / "GFDL-ESM4"
+        folder.mkdir(parents=True, exist_ok=True)
+        path = str(folder / f"x_{variable}_monthly.nc")
+        if hydro == "H08":
+            write_cube(path, variable, VALUES, LAT, LON, np.arange(STEPS), UNITS)
+        elif hydro == "CWatM":
+            write_cube4(path, variable, VALUES * 2, LAT, LON, np.arange(STEPS), UNITS, True, (5, 4, 9))
+        elif hydro == "broken":
+            write_cube4(path, variable, VALUES, LAT, LON, np.arange(STEPS), UNITS, False, (5, 11, 9), (1,))
+            raw = bytearray((folder / f"x_{variable}_monthly.nc").read_bytes())
+            raw[9000:9400] = b"\xff" * 400  # a damaged chunk
+            (folder / f"x_{variable}_monthly.nc").write_bytes(raw)
+        elif hydro == "other":
+            write_cube(path, variable, VALUES, LAT + 0.25, LON, np.arange(STEPS), UNITS)
+        jobs.append(RunConfig(variable=variable, hydro_model=hydro, climate_model="gfdl-esm4", scenario="ssp126", data_period="future", input_dir=str(tmp_path), area_file=str(tmp_path / "area.nc"), basin_shapefile=str(tmp_path / "b.shp"), output_dir=str(tmp_path / "out")))
+    return jobs
+
+
+def test_a_sweep_is_one_plan_and_a_bad_run_fails_alone(spark, tmp_path):
+    from dataclasses import replace
+
+    from tarnflow.plans.jobs import run_sweep
+    from tarnflow.plans.pipelines import process_run
+    from tarnflow.sources import wide_csv
+
+    jobs = made_runs(tmp_path)
+    status = run_sweep(spark, jobs)
+    assert [r["status"] for r in status] == ["success", "success", "success", "failed", "failed", "failed"]
+    assert "grid" in status[4]["error"] and "file" in status[5]["error"] and status[3]["error"]
+    panel = spark.read.parquet(f"{jobs[0].output_dir}/panel")
+    got = {(r["variable"], r["hydro_model"], r["BASIN_ID"], r["date"]): r["value"] for r in panel.collect()}
+    want = {}
+    for job in jobs[:3]:
+        job = replace(job, output_dir=str(tmp_path / "single"), spatial_method="max" if job.variable == "dis" else "sum")
+        for r in spark.read.parquet(process_run(spark, job)[0]).where("date IS NOT NULL").collect():
+            want[job.variable, job.hydro_model, r["BASIN_ID"], r["date"]] = r[job.variable]
+    assert got == {k: pytest.approx(v, rel=1e-12) for k, v in want.items()} and len(got) == 3 * 2 * STEPS
+    wide = wide_csv.read_runs(spark, f"{jobs[0].output_dir}/wide/qtot_monthly", "qtot")
+    assert wide.count() == 2 * 2 * STEPS and {r[0] for r in wide.select("hydro_model").distinct().collect()} == {"H08", "CWatM"}
+    assert {r["BCU_name"] for r in wide.collect()} == {"bcu, 1", "bcu, 2"}
+    assert [r["status"] for r in run_sweep(spark, jobs[5:])] == ["failed"]
+
+
+def test_annual_and_outlet_commands(spark, tmp_path):
+    import json
+
+    from tarnflow.plans import cli
+
+    job = made_runs(tmp_path)[0]
+    argv = ["--input-dir", str(tmp_path / "H08" / "ssp126" / "GFDL-ESM4"), "--area-file", job.area_file, "--basin-shapefile", job.basin_shapefile, "--output-dir", str(tmp_path / "o"), "--test-file", str(tmp_path / "H08" / "ssp126" / "GFDL-ESM4" / "x_qtot_monthly.nc"), "--scenario", "ssp126", "--region", "R12"]
+    means = {}
+    for more in ([], ["--skip-missing"]):
+        assert cli.main(["annual", *argv, "--method", "mean", *more], spark) == 0
+        rows = spark.read.option("header", True).csv(str(tmp_path / "o" / "qtot_ssp126_mean.csv")).collect()
+        assert list(rows[0].asDict()) == ["BASIN_ID", "BCU_name", "2001", "2002", "Model", "Scenario", "Variable", "Region", "Unit"]
+        assert len(rows) == 3 and {r["Unit"] for r in rows} == {"km3/year"}
+        means[bool(more)] = {r["BASIN_ID"]: float(r["2001"]) for r in rows}
+    # Basin 1 has cells with lat from 5 to 7 and lon from 0 to 2, upper edges outside.
+    y, x = [k for k, v in enumerate(LAT) if 5 <= v < 7], [k for k, v in enumerate(LON) if 0 <= v < 2]
+    v = np.where(np.abs(VALUES[:12]) > 1e15, np.nan, VALUES[:12])[:, y][:, :, x] * (np.arange(99.0).reshape(11, 9)[y][:, x] * 1e6) * 365.25 * 86400 * 1e-12
+    assert means[False]["1"] == pytest.approx(np.nan_to_num(v).mean(axis=0).mean()) and means[True]["1"] == pytest.approx(np.nanmean(v, axis=0).mean())
+    assert means[False]["3"] == 0.0
+    assert cli.main(["outlets", *argv, "--every", "2"], spark) == 0
+    found = [json.loads(line) for p in (tmp_path / "o" / "outlets" / "basins.json").glob("part-*") for line in p.read_text().splitlines()]
+    assert {r["BASIN_ID"]: r["status"] for r in found} == {1: "moving", 2: "moving", 3: "empty"}
+    summary = [json.loads(line) for p in (tmp_path / "o" / "outlets" / "summary.json").glob("part-*") for line in p.read_text().splitlines()]
+    assert summary[0]["total_basins"] == 3 and summary[0]["moving_basins"] == 2

@@ -379,10 +379,44 @@ def test_anova_guards_summary_and_significance(spark):
     # An empty scenario by climate cell lowers the interaction's degrees of freedom.
     p = balanced(spark, 0.3).toPandas()
     for frame, df in ((p, 2), (p[~((p.ssp_scenario == "s1") & (p.climate_model == "c2"))], 1)):
-        cells = frame.groupby([*av.FACTORS, "year"], as_index=False).agg(n=("q", "size"), s=("q", "sum"), ss=("q", lambda x: (x * x).sum()))
+        cells = frame.groupby([*av.FACTORS, "year"], as_index=False).agg(n=("q", "size"), mean=("q", "mean"), css=("q", lambda x: ((x - x.mean()) ** 2).sum()))
         assert av.fit_cells(cells, av.BASE)["table"][("ssp_scenario", "climate_model")][1] == df
 
 
+def test_anova_does_not_change_with_the_origin(spark):
+    """Unbalanced data against nested least squares, and the same at 1e9."""
+    panel = balanced(spark, 0.5).where("NOT (ssp_scenario = 's1' AND climate_model = 'c2') AND (month + year) % 5 > 0")
+    p = panel.toPandas()
+
+    def rss(terms):
+        x = [np.ones((len(p), 1))]
+        for t in terms:
+            block = np.ones((len(p), 1))
+            for name in t:
+                one = p.year.to_numpy(float)[:, None] - 2002 if name == "year" else pd.get_dummies(p[name], drop_first=True).to_numpy(float)
+                block = (block[:, :, None] * one[:, None, :]).reshape(len(p), -1)
+            x.append(block)
+        x = np.concatenate(x, axis=1)
+        beta, _, rank, _ = np.linalg.lstsq(x, p.q.to_numpy(), rcond=1e-10)
+        return np.square(p.q - x @ beta).sum(), rank
+
+    full, rank = rss(av.SEASONAL)
+    want = {}
+    for t in av.SEASONAL:
+        rest = [u for u in av.SEASONAL if u != t and not set(t) < set(u)]
+        (a, ra), (b, rb) = rss(rest), rss([*rest, t])
+        want[av.term_name(t)] = a - b, rb - ra
+    total = sum(q for q, _ in want.values()) + full
+    for shift in (0.0, 1e9, -1e9):
+        row = av.anova(panel.withColumn("q", F.col("q") + shift), "q", terms=av.SEASONAL).collect()[0].asDict()
+        close = {"rel": 1e-9 if shift == 0 else 1e-5, "abs": 1e-9 if shift == 0 else 1e-6}
+        for name, (ss, df) in want.items():
+            assert row[f"{name}_pct"] == pytest.approx(100 * ss / total, **close)
+            assert row[f"{name}_pvalue"] == pytest.approx(av.f_survival((ss / df) / (full / (len(p) - rank)), df, len(p) - rank), **close)
+        assert row["residual_pct"] == pytest.approx(100 * full / total, **close) and row["r_squared"] == pytest.approx(1 - full / np.square(p.q - p.q.mean()).sum(), **close)
+        assert row["mean_value"] == pytest.approx(p.q.mean() + shift, rel=1e-12) and row["std_value"] == pytest.approx(p.q.std(), **close)
+
+
 def test_f_distribution_tail():
     for f, d2 in ((0.5, 10), (3.0, 40), (7.7, 1000)):
         assert av.f_survival(f, 2, d2) == pytest.approx((1 + 2 * f / d2) ** (-d2 / 2), rel=1e-9)
@@ -419,15 +453,9 @@ def test_jobs_and_settings(spark, tmp_path, monkeypatch):
     m = jobs.job_matrix(spark, climate=("a", "b", "c", "d", "e", "f"), resolutions=("daily", "monthly"))
     assert m.count() == 360 and {r["jobs"] for r in jobs.job_counts(m, "variable").collect()} == {180}
     few = jobs.configs(m.limit(3), RunConfig())
-    assert [r["status"] for r in jobs.run_jobs(few, lambda c: [], dry_run=True)] == ["planned"] * 3
-
-    def work(c):
-        if c is few[1]:
-            raise OSError("no disk")
-        return ["x"]
-
-    records = jobs.run_jobs(few, work)
-    assert [r["status"] for r in records] == ["success", "failed", "success"] and records[1]["error"] == "no disk"
+    records = jobs.planned(few)
+    assert [r["status"] for r in records] == ["planned"] * 3 and records[0]["climate_model"] == "a"
+    records = [{"status": x} for x in ("success", "failed", "success")]
     rate = jobs.success_rates(spark.createDataFrame([(r["status"],) for r in records], "status string")).collect()[0]
     assert (rate["total"], rate["failed"]) == (3, 1)
     monkeypatch.setenv("SOME_PLACE", "/data")

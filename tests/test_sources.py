@@ -175,7 +175,7 @@ def test_panel_pipelines_and_sinks(spark, tmp_path):
     panel = rolling_panel(past, future, windows={"5yr": 12})
     assert panel.count() == 2 * 2 * 36 * 2 and panel.where("qtot_mean_5yr IS NULL").count() == 0 and panel.where("climate_model = 'c1'").count() > 0
     results = variance_analysis(panel, {"qtot_mean": "annual"})
-    assert set(results) == {"annual_results", "annual_summary", "annual_significance", "comparison"} and results["annual_results"].count() == 1
+    assert set(results) == {"annual_results", "annual_summary", "annual_significance", "annual_report", "comparison"} and results["annual_results"].count() == 1
     assert "month_x_ssp_scenario_pct" in results["annual_results"].columns
     sinks.write_panel(panel, str(tmp_path / "panel"))
     back = read_panel(spark, str(tmp_path / "panel"), "qtot_mean")
