@@ -29,8 +29,8 @@ from .common import cut, map_arrow, partitions
 
 MODULI = (2147483647, 2147483629)
 BASES = (1566083941, 1823492057)
-#: Bytes summed before a modulus is taken: 2^8 * 2^31 * 2^12 stays below 2^63.
-BLOCK = 1 << 12
+#: Symbols summed before a modulus is taken: 2^8 of at most 2^8 * 2^31 stay below 2^53.
+BLOCK = 1 << 8
 #: Bytes of a piece, of the pieces hashed at once, and of a text whose pieces are dealt over tasks.
 PIECE, AT_ONCE, HUGE = 1 << 16, 1 << 22, 8 << 20
 #: Bits of the map of fingerprints that more than one row may have: 8 MB.
@@ -56,25 +56,30 @@ def combine(x: tuple[np.ndarray, int], y: tuple[np.ndarray, int]) -> tuple[np.nd
 
 
 def piece_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """[pieces, 2]: hash of data[begin:end] for each of some adjoining pieces (none overlapping)."""
+    """[pieces, 2]: hash of data[begin:end] for each piece.
+
+    Pieces are laid out in rows of BLOCK symbols, zeros before each (they add
+    nothing); a row's hash is a product with the powers of the base, exact in double
+    precision, and rows combine by the shift of those after them.
+    """
     out = np.zeros((len(begin), 2), np.uint64)
-    full = np.flatnonzero(end > begin)
+    size = end - begin
+    full = np.flatnonzero(size)
     if not len(full):
         return out
-    size = (end - begin)[full]
-    base = int(begin[full[0]])
-    raw = data[base : int(end[full[-1]])].astype(np.int64) + 1
-    owner = np.repeat(full, size)
-    left = end[owner] - 1 - base - np.arange(len(raw))  # bytes after this one in its piece
-    high = left // BLOCK
-    first = np.flatnonzero((np.diff(owner, prepend=-1) != 0) | (np.diff(high, prepend=-1) != 0))
-    low = left - high * BLOCK
-    piece_first = np.flatnonzero(np.diff(owner[first], prepend=-1))
+    rows = -(-size[full] // BLOCK)
+    past = np.cumsum(rows) * BLOCK
+    laid = np.zeros(int(past[-1]))
+    for a, b, e, n in zip(begin[full].tolist(), end[full].tolist(), past.tolist(), size[full].tolist()):
+        own = laid[e - n : e]
+        own[:] = data[a:b]
+        own += 1
+    first = np.cumsum(rows) - rows
+    after = np.repeat(first + rows - 1, rows) - np.arange(rows.sum())  # rows after this one in its piece
     for k, (b, m) in enumerate(zip(BASES, MODULI)):
-        weights = power(b, np.arange(BLOCK), m).astype(np.int64)
-        sums = np.add.reduceat(raw * weights[low], first).astype(np.uint64) % np.uint64(m)
-        moved = sums * power(b, high[first] * BLOCK, m) % np.uint64(m)
-        out[full, k] = np.add.reduceat(moved, piece_first) % np.uint64(m)
+        sums = (laid.reshape(-1, BLOCK) @ power(b, np.arange(BLOCK)[::-1], m).astype(float)).astype(np.uint64) % np.uint64(m)
+        moved = sums * power(b, np.arange(int(rows.max())) * BLOCK, m)[after] % np.uint64(m)
+        out[full, k] = np.add.reduceat(moved, first) % np.uint64(m)
     return out
 
 
@@ -123,6 +128,8 @@ class Marks:
         self.kind = docs.schema["doc_id"].dataType.simpleString()
         text = F.coalesce(F.col("text"), F.lit(""))
         self.piece, self.reduce = piece, reduce
+        longest = docs.agg(F.max(F.octet_length("text")).alias("n")).collect()[0]["n"] or 0
+        self.parts = longest > huge  # else no scan looks for texts to be dealt out
         self.rows = docs.select("doc_id", text.alias("text")).where(F.octet_length(text) <= huge)
         size = F.octet_length("text").cast("long")
         long = docs.select("doc_id", _ascii_lower(text).alias("text")).where(F.octet_length(text) > huge)
@@ -140,6 +147,8 @@ class Marks:
             return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(offsets)), pa.array(reduce(fingerprints(data, offsets, piece))), pa.array(sha, pa.binary())], names=["doc_id", "n", "fp", "sha"])
 
         whole = map_arrow(self.rows, run, f"doc_id {self.kind}, n long, fp long, sha binary")
+        if not self.parts:
+            return whole
         long = self.long.withColumn("sha", F.unhex(F.sha2("text", 256))).drop("text")
         same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("x") == F.col("_x")) & (F.col("n") == F.col("_n"))
         return whole.unionByName(long.join(self._summed(), same).select("doc_id", "n", "fp", "sha"))
@@ -190,6 +199,8 @@ class Marks:
             return pa.RecordBatch.from_arrays([pa.array(fp[text]), pa.array(np.diff(offsets)[text]), pa.array(nth.astype(np.int32)), content], names=["fp", "n", "at", "piece"])
 
         whole = map_arrow(self.rows, run, "fp long, n long, at int, piece binary")
+        if not self.parts:
+            return whole
         same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("x") == F.col("_x")) & (F.col("n") == F.col("_n"))
         return whole.unionByName(self._pieces().join(self._summed(), same).select("fp", "n", "at", "piece"))
 
