@@ -549,7 +549,10 @@ def score_documents(docs: DataFrame, folds: int = 10, prior: float = 5.0, **size
 
     Null texts are empty: one token, the end.  Rows with a null id belong to the
     fold of the empty text.  Repeated rows are learnt from and scored each.
-    Without training rows every count is 0.  Further columns are ignored.
+    Without training rows every count is 0.  Further columns are ignored.  Long
+    texts are scored whole, a few megabytes of words at a time; an empty table gives
+    no rows.  Words of equal counts are ordered by their hashes, so that equal
+    corpora give equal models.
     """
     marked = docs.select("doc_id", (fold(F.col("doc_id"), folds) == 0).alias("held_out"), "text")
     model, words = learn(marked.where("NOT held_out"), **sizes)

@@ -58,6 +58,7 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: floa
     That fixed point is min(cap, level * weight), with one level for all
     sources, found here by one pass over the sources in order of cap / weight.
     """
+    # One row a source from here on: the windows over them are one task, as large as there are sources.
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (rank % len(weights) + 1).cast("int"))

@@ -322,7 +322,14 @@ def find_personal_data(docs: DataFrame, model: BiLstmCrf | None = None) -> DataF
 
 
 def personal_data(docs: DataFrame, model: BiLstmCrf | None = None) -> DataFrame:
-    """The digest: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added."""
+    """The digest: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added.
+
+    Null and empty texts have no spans (the digest of nothing); long texts are
+    searched whole, their overlapping windows decoded at once.  Where a base span
+    and an added one overlap, the base one stays; of spans that begin together the
+    kind listed first comes first.  Repeated rows give repeated results, a null id
+    stays null, further columns are ignored, an empty table gives no rows.
+    """
     model = model or train(docs)
     found = find_personal_data(docs.select("doc_id", "text"), model)
     text = lambda s: F.concat_ws(",", F.transform(s, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))))

@@ -210,7 +210,9 @@ def near_duplicates(docs: DataFrame, radius: int = 2) -> DataFrame:
     component_id is the smallest id reachable over links of at most `radius`
     differing bits.  Null and empty texts have fingerprint zero and link like
     any other.  Rows with a null id get a component but never name one, unless
-    all its rows have null ids (then null).  Repeated rows stay rows.
+    all its rows have null ids (then null).  Repeated rows stay rows.  A shingle set
+    in exactly half of the hashes leaves the bit 0.  Long texts count whole; further
+    columns are ignored, whatever their names; an empty table gives no rows.
     """
     rows = cut(fingerprints(docs))
     named = groups(rows, radius)

@@ -265,8 +265,8 @@ def remove_repeats(docs: DataFrame, window: int = 13, seed: int = 5, hot: int =
     passage, the first document's included.  Null and empty texts have no words.
     Long texts are searched whole, in one block.  Repeated ids are one document's: they
     don't remove each other's words.  A null id counts as larger than any other.
-    Rows equal in id and text share a block; others are spread, whatever their
-    ids.  Columns other than doc_id and text are ignored.  An empty table gives
+    Rows equal in id and text are cut once and come out as often as they are there;
+    others are spread over blocks, whatever their ids.  Columns other than doc_id and text are ignored.  An empty table gives
     no rows.
     """
     if not 0 < seed <= window or window - seed >= 64:
@@ -275,6 +275,9 @@ def remove_repeats(docs: DataFrame, window: int = 13, seed: int = 5, hot: int =
     bits = "<u2" if window - seed < 16 else "<u8"
     spark = docs.sparkSession
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    # Rows equal in id and text are worked on once: a row may be there a million times.
+    once = base.groupBy("doc_id", F.xxhash64("text")).agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+    base = base.withColumn("copies", F.lit(1).cast("long")) if once else base.groupBy("doc_id", "text").agg(F.count("*").alias("copies"))
     size = base.agg(F.sum(F.octet_length("text")).alias("n")).collect()[0]["n"] or 0
     blocks = max(partitions(spark), -(-size // BLOCK_BYTES))
     shards = max(partitions(spark), -(-size // SHARD_BYTES))
@@ -372,12 +375,13 @@ def remove_repeats(docs: DataFrame, window: int = 13, seed: int = 5, hot: int =
         return pa.table({"block": rows["shard"], **{x: rows[x] for x in ("number", "mark", "owner")}}, schema=passages)
 
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    result = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string()), ("removed", span), ("n_recurring", pa.int64())])
+    result = pa.schema([("copies", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string()), ("removed", span), ("n_recurring", pa.int64())])
 
     def cut_out(table: pa.Table, found: pa.Table) -> pa.Table:
         if not table.num_rows:
             return result.empty_table()
         block = read_block(table)
+        copies = table.column("copies").to_numpy()[block.order]
         recurs = gone = np.zeros(len(block.word), bool)
         if found.num_rows:
             s = segments(block, window, seed)
@@ -392,6 +396,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, seed: int = 5, hot: int =
         for d in range(len(block.doc)):
             a, b = int(block.offsets[d]), int(block.offsets[d + 1])
             own = gone[a:b]
+            out["copies"].append(int(copies[d]))
             edges = np.flatnonzero(np.diff(own.astype(np.int8), prepend=0, append=0)).reshape(-1, 2)
             out["doc_id"].append(None if block.doc[d] == _LAST else int(block.doc[d]))
             out["n_words"].append(b - a)
@@ -406,4 +411,6 @@ def remove_repeats(docs: DataFrame, window: int = 13, seed: int = 5, hot: int =
     known = seeds.groupBy("shard").applyInArrow(recurring, "block int, seeds binary, hot binary")
     sent = by_block().cogroup(known.groupBy("block")).applyInArrow(send_pieces, "shard int, block int, number binary, low binary, high binary, texts binary")
     back = sent.groupBy("shard").applyInArrow(confirmed, "block int, number binary, mark binary, owner binary")
-    return by_block().cogroup(back.groupBy("block")).applyInArrow(cut_out, "doc_id long, n_words long, n_removed long, kept_text string, removed array<struct<start: long, end: long>>, n_recurring long")
+    found = by_block().cogroup(back.groupBy("block")).applyInArrow(cut_out, "copies long, doc_id long, n_words long, n_removed long, kept_text string, removed array<struct<start: long, end: long>>, n_recurring long")
+    each = found if once else found.withColumn("_nth", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    return each.drop("copies", "_nth")

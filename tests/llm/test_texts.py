@@ -866,3 +866,12 @@ def test_long_windows_are_whole(spark, window, seed):
     assert got == want and sum(want.values()) > 300
     with pytest.raises(ValueError):
         substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), window=80, seed=5)
+
+
+def test_a_row_repeated_many_times_is_cut_once(spark):
+    """Copies of one row are one text of a block, whatever their number."""
+    base = " ".join(f"w{k}" for k in range(40))
+    rows = [(5, base)] * 3000 + [(1, base), (2, "x " + base), (None, base), (None, base), (7, None), (7, None), (5, "other words")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = Counter(tuple(r) for r in substring.remove_repeats(df).select("doc_id", "n_words", "n_removed", "kept_text").collect())
+    assert got == {(5, 40, 40, ""): 3000, (1, 40, 0, base): 1, (2, 41, 40, "x"): 1, (None, 40, 40, ""): 2, (7, 0, 0, ""): 2, (5, 2, 0, "other words"): 1}
