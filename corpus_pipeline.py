@@ -6,6 +6,7 @@ documents.  `run` writes each stage's result as Parquet in the session's
 checkpoint folder and reads it again, so a lost executor never costs more than
 the stage at hand.
 
+Every stage takes whole texts, however long, and leaves columns of any name alone.
 Nulls: rows with null texts pass the filters as empty texts (all rows of equal
 fingerprint are one group), have size 0 in the mix and so are not taken by it.
 An empty table goes through as an empty table.
@@ -26,22 +27,22 @@ from tarnflow.llm.toxicity import drop_toxic
 
 
 def drop_toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model rejects go."""
+    """Documents that the toxicity model rejects go: a score of 0.5 or more; rows of one id and text go or stay together."""
     return drop_toxic(docs, read_table(spark, sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group stays, that of the smallest id."""
+    """One document of each SimHash group stays, that of the smallest id; of several rows of that id, the least by a hash of all columns."""
     return keep_one(docs)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each span of personal data gives way to its kind in brackets."""
+    """Each span of personal data gives way to its kind in brackets; of overlapping spans the first and longest."""
     return redact(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its source's target weight asks."""
+    """Each document as often as its source's target weight asks; which of equal ones are taken a hash of the row decides."""
     return apply_mix(docs)
 
 
