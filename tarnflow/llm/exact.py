@@ -33,6 +33,8 @@ BASES = (1566083941, 1823492057)
 BLOCK = 1 << 8
 #: Bytes of a piece, of the pieces hashed at once, and of a text whose pieces are dealt over tasks.
 PIECE, AT_ONCE, HUGE = 1 << 16, 1 << 22, 8 << 20
+#: Rows of a group from which on it is not dealt to one task.
+LARGE = 1024
 #: Bits of the map of fingerprints that more than one row may have: 8 MB.
 BITS = 1 << 26
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -223,10 +225,17 @@ def shared_bits(facts: DataFrame) -> np.ndarray:
 
 
 def settle(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows (doc_id, sha, keys) of equal keys are one group: the result's columns."""
+    """Rows (doc_id, sha, keys) of equal keys are one group: the result's columns.
+
+    Large groups, of which there can be 65,536 at most, are broadcast to their rows,
+    which then stay where they are; the others meet theirs by a join.
+    """
+    large = max(LARGE, -(-rows.count() // (1 << 16)))
     single = rows.groupBy("doc_id", "sha", *keys).agg(F.count("*").alias("_m"))
     groups = single.groupBy(*keys).agg(F.max("doc_id").alias("keep_id"), F.sum("_m").alias("group_size"))
-    each = single.join(groups, keys).withColumn("_nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_m"))))
+    hot, rest = F.broadcast(groups.where(F.col("group_size") >= large)), groups.where(F.col("group_size") < large)
+    met = single.join(hot, keys).unionByName(single.join(hot, keys, "left_anti").join(rest, keys))
+    each = met.withColumn("_nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_m"))))
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("_nth") == 1)
     return each.select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 

@@ -74,6 +74,14 @@ def test_groups_are_exact_whatever_the_fingerprints(spark, piece, huge, bits):
     assert sorted(map(tuple, got.collect()), key=str) == brute_groups(rows)
 
 
+def test_large_groups_are_the_same(spark, monkeypatch):
+    rows = [(i, f"text {i % 3 if i % 2 else i}") for i in range(120)] + [(7, "text 1"), (None, "text 1")]
+    df = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in rows], DOCS)
+    for large in (1, 5, 1000):
+        monkeypatch.setattr(exact, "LARGE", large)
+        assert sorted(map(tuple, exact.exact_duplicates(df).collect()), key=str) == brute_groups(rows)
+
+
 def test_exact_duplicates_of_awkward_and_empty_tables(spark):
     df = awkward(spark)
     rows = [(r["doc_id"], r["text"]) for r in df.collect()]
