@@ -120,6 +120,23 @@ def heatmap(panel: DataFrame, value: str, basin: int | None = None, scenario: st
     return rows.groupBy("BASIN_ID", "year").agg(*(F.avg(F.when(F.col("month") == m, F.col(value))).alias(f"m{m:02d}") for m in range(1, 13)))
 
 
+def heatmaps(panel: DataFrame, value: str, scenarios: tuple[str, ...] = (), models: tuple[str, ...] = ()) -> DataFrame:
+    """The same for several scenarios and climate models at once (all, unless named): a row for each basin, scenario, model and year, in one pass."""
+    keys = ("BASIN_ID", "ssp_scenario", "climate_model", "year")
+    rows = panel.dropna(subset=list(keys))
+    rows = rows.where(F.col("ssp_scenario").isin(*scenarios)) if scenarios else rows
+    rows = rows.where(F.col("climate_model").isin(*models)) if models else rows
+    return rows.groupBy(*keys).agg(*(F.avg(F.when(F.col("month") == m, F.col(value))).alias(f"m{m:02d}") for m in range(1, 13)))
+
+
+def grouped_series(annual: DataFrame, value: str) -> DataFrame:
+    """The spread over years by scenario, by climate model and by hydro model, in one pass: by, level, and `spread`'s columns."""
+    rows = annual.dropna(subset=["BASIN_ID", "year"])
+    levels = F.explode(F.array(*[F.struct(F.lit(c).alias("by"), F.col(c).alias("level")) for c in GROUPS]))
+    each = rows.select("BASIN_ID", "year", value, levels.alias("_l")).select("BASIN_ID", "year", value, "_l.by", "_l.level")
+    return each.dropna(subset=["level"]).groupBy("BASIN_ID", "by", "level", "year").agg(*_stats(value))
+
+
 def variance_decomposition(annual: DataFrame, value: str) -> DataFrame:
     """Per basin: variance of the means by scenario, climate model, hydro model and year, as percentages of the total variance.
 

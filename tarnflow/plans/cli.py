@@ -60,6 +60,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--variable", default="qtot_mean")
     p.add_argument("--by", choices=ensemble.GROUPS, default="ssp_scenario")
     p.add_argument("--basins", nargs="*", help="name patterns")
+    p.add_argument("--scenarios", nargs="*", default=[], help="of the heat maps; all without")
+    p.add_argument("--climate-models", nargs="*", default=[], help="of the heat maps; all without")
     p.add_argument("--regional", action="store_true")
     p.add_argument("--exclude-hydro-models", nargs="*", default=[])
     return top
@@ -100,7 +102,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             panel = ensemble.only_basins(panel, ensemble.match_basins(panel, tuple(a.basins)))
         yearly = ensemble.regional_annual(panel, a.variable) if a.regional else ensemble.annual_means(panel, a.variable)
         by_month = ensemble.regional_monthly(panel, a.variable) if a.regional else panel
-        results = {"spread": ensemble.spread(yearly, a.variable, a.by), "lines": ensemble.lines(yearly, a.variable, a.by), "climatology": ensemble.climatology(by_month, a.variable, a.by), "box": ensemble.box_stats(by_month, a.variable, a.by), "heatmap": ensemble.heatmap(by_month, a.variable), "variance": ensemble.variance_decomposition(yearly, a.variable)}
+        results = {"spread": ensemble.spread(yearly, a.variable, a.by), "lines": ensemble.lines(yearly, a.variable, a.by), "climatology": ensemble.climatology(by_month, a.variable, a.by), "box": ensemble.box_stats(by_month, a.variable, a.by), "heatmap": ensemble.heatmap(by_month, a.variable), "heatmaps": ensemble.heatmaps(by_month, a.variable, tuple(a.scenarios), tuple(a.climate_models)), "series": ensemble.grouped_series(yearly, a.variable), "variance": ensemble.variance_decomposition(yearly, a.variable)}
         write_results(results, a.output)
     return 0
 

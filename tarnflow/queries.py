@@ -317,6 +317,17 @@ def heatmap_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(ensemble.heatmap(daily_panel(spark, sf_dir), "qtot", scenario="O"), *[f"m{m:02d}" for m in range(1, 13)])
 
 
+@_query(f"WITH {_PANEL} SELECT BASIN_ID, ssp_scenario, climate_model, year, {_HEAT} FROM panel WHERE ssp_scenario IN ('O', 'F') AND climate_model IN ('1-URGENT', '5-LOW') GROUP BY BASIN_ID, ssp_scenario, climate_model, year")
+def heatmap_presets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(ensemble.heatmaps(daily_panel(spark, sf_dir), "qtot", ("O", "F"), ("1-URGENT", "5-LOW")), *[f"m{m:02d}" for m in range(1, 13)])
+
+
+@_query(f"WITH {_ANNUAL} " + " UNION ALL ".join(f"""SELECT BASIN_ID, '{c}' AS "by", {c} AS level, year, round(avg(qtot), 6) AS qtot_mean, round(stddev_samp(qtot), 6) AS qtot_std, round(min(qtot), 6) AS qtot_min, round(max(qtot), 6) AS qtot_max FROM annual GROUP BY BASIN_ID, {c}, year""" for c in ensemble.GROUPS))
+def grouped_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The presets of grouped plots: all three groupings."""
+    return _round(ensemble.grouped_series(_annual(spark, sf_dir), "qtot"), "qtot_mean", "qtot_std", "qtot_min", "qtot_max")
+
+
 _PARTS = {"ssp": "ssp_scenario", "climate_model": "climate_model", "hydro_model": "hydro_model", "year": "year"}
 _VARIANCES = ", ".join(f"v_{k} AS (SELECT BASIN_ID, coalesce(var_samp(m), 0) AS {k}_variance FROM (SELECT BASIN_ID, {c}, avg(qtot) AS m FROM annual GROUP BY BASIN_ID, {c}) GROUP BY BASIN_ID)" for k, c in _PARTS.items())
 _PCT = {k: f"CASE WHEN total_variance > 0 THEN {k}_variance / total_variance * 100 ELSE 0 END" for k in _PARTS}
