@@ -9,7 +9,7 @@ more than the test allows, (1 + epsilon / sqrt(d)); what is left after all
 columns is scored exactly, on the original vectors in double precision.
 
 Centroids come from a bounded sample of the candidates (about `sample` rows, or 16 a
-list if more); every candidate is indexed.  Lists lie side by side on a line as long
+list if more, of NUMBERS components in all); every candidate is indexed.  Lists lie side by side on a line as long
 as the table, and equal stretches of that line are the cells that tasks hold: a hot
 list covers many cells, small ones share one.  A query goes once to each cell that
 holds a list it probes, with these lists' numbers, so candidates are shuffled once.
@@ -36,6 +36,8 @@ from .vectors import CELL, best, first_of_equals, matrix, meet, ranked, usable
 
 #: Below this share of pairs left, pairs are handled one by one; else block by block.
 SPARSE = 0.02
+#: Numbers of the broadcast sample at most, of any width up to 8192 (64 MB).
+NUMBERS = 1 << 23
 #: Sample rows that tell how many lists their like must probe.
 FEW = 8
 
@@ -233,7 +235,8 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, lists: int | None =
     facts = candidates.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("width")).collect()[0]
     number, width = facts["n"], max(1, facts["width"] or 1)
     lists = lists or int(min(4096, max(16, round(number**0.5 / 2))))
-    drawn = sampled(candidates, max(sample, 16 * lists), number, F.col("vec_id")).toArrow().sort_by("vec_id")
+    size = min(max(sample, 16 * lists), max(1024, NUMBERS // width))
+    drawn = sampled(candidates, size, number, F.col("vec_id")).toArrow().sort_by("vec_id")
     units = unit(matrix(drawn.column("v"), width)) if drawn.num_rows else np.zeros((0, width))
     centres = centroids(units, lists) if len(units) else np.zeros((1, width))
     needed, middle = measured_probes(units, centres, k, recall) if len(units) else (np.ones((1, 2), np.int64), np.zeros(1))
