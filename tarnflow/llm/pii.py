@@ -322,8 +322,9 @@ def find_personal_data(docs: DataFrame, model: BiLstmCrf | None = None) -> DataF
 
 
 def personal_data(docs: DataFrame, model: BiLstmCrf | None = None) -> DataFrame:
-    """The digest: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added.
+    """The digest: doc_id, n_email, n_ip, n_card, n_phone, n_base_email, ..., base_sha256, spans, n_added.
 
+    n_{kind} counts all spans, n_base_{kind} those of the base patterns alone.
     Null and empty texts have no spans (the digest of nothing); long texts are
     searched whole, their overlapping windows decoded at once.  Where a base span
     and an added one overlap, the base one stays; of spans that begin together the
@@ -333,10 +334,10 @@ def personal_data(docs: DataFrame, model: BiLstmCrf | None = None) -> DataFrame:
     model = model or train(docs)
     found = find_personal_data(docs.select("doc_id", "text"), model)
     text = lambda s: F.concat_ws(",", F.transform(s, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))))
-    count = lambda k: F.size(F.filter("spans", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
+    count = lambda s, k: F.size(F.filter(s, lambda x: x["kind"] == k)).cast("long")
     base = F.filter("spans", lambda x: ~x["added"])
     return found.select(
-        "doc_id", *(count(k) for k in KINDS), F.sha2(text(base), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"),
+        "doc_id", *(count("spans", k).alias(f"n_{k}") for k in KINDS), *(count(base, k).alias(f"n_base_{k}") for k in KINDS), F.sha2(text(base), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"),
         F.size(F.filter("spans", lambda x: x["added"])).cast("long").alias("n_added"),
     )
 

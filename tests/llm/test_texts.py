@@ -15,6 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tarnflow.llm import attribution, classlm, common, mixing, packing, pii, simhash, substring, tagger, tokens, toxicity
+from tarnflow.llm import queries as llm_queries
 from tarnflow.llm.components import connected_components
 
 from .helpers import DOCS, awkward, empty
@@ -397,6 +398,20 @@ def test_personal_data_keeps_base_and_adds_only_valid_spans(spark, trained):
     assert pii.redacted("ab cd", [("ip", 0, 2), ("card", 1, 4)]) == "[IP]d"
 
 
+def test_personal_data_query_counts_base_spans_alone(spark, trained, tmp_path, monkeypatch):
+    """Numbers side by side, of which the tagger finds more than the base patterns: the counts don't follow it."""
+    texts = [f"onder thent {a}{gap}{b} the of" for a in ("+1 (269) 555-3296", "bob.42@example.com") for b in ("4524132264652876", "4539 1488 0343 6467", "8.8.4.4") for gap in (" ", "-", ", ")] + ["", None]
+    spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(pii, "train", lambda docs: trained)
+    rows = {r["doc_id"]: r for r in llm_queries.op6_personal_data(spark, str(tmp_path)).collect()}
+    assert len(rows) == len(texts) and sum(r["n_added"] for r in rows.values()) > 0
+    for k, text in enumerate(texts):
+        base = brute_spans(text or "")
+        assert [rows[k][f"n_{kind}"] for kind in pii.KINDS] == [sum(s[0] == kind for s in base) for kind in pii.KINDS]
+        assert rows[k]["base_sha256"] == hashlib.sha256(",".join(f"{a}:{b}:{c}" for a, b, c in base).encode()).hexdigest()
+        assert len([x for x in rows[k]["spans"].split(",") if x]) == len(base) + rows[k]["n_added"]
+
+
 def test_windows_cover_every_trigger():
     text = "x" * 500 + "9" + "y" * 300 + "@" + "z" * 40
     starts, x = pii.windows(text)
