@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import decade, in_period
 from ..schema import SERIES
+from ..session import scratch
 from .panel import join_history
 
 MONTHLY = {"5yr": 60, "10yr": 120, "30yr": 360}
@@ -14,6 +17,8 @@ DAILY = {"5yr": 1825, "10yr": 3650, "30yr": 10950}
 PERIODS = ((2015, 2030), (2040, 2055), (2070, 2085))
 #: Beyond this length a frame's cost, rows times length, is worse than sums over blocks.
 _SLIDING = 360
+#: A series of more rows is cut into stretches of about as many, one to a task.
+_STRETCH = 1 << 18
 
 
 def frequency(panel: DataFrame) -> str:
@@ -53,12 +58,41 @@ def block_means(panel: DataFrame, value: Column, windows: dict[str, int], keys:
     return out.drop("_v", "_row")
 
 
-def rolling_means(panel: DataFrame, value: str, windows: dict[str, int] | None = None, keys: tuple[str, ...] = SERIES, freq: str | None = None, method: str | None = None) -> DataFrame:
+def stretches(panel: DataFrame, rows: int, length: int, before: int, keys: tuple[str, ...], order: str = "date") -> DataFrame:
+    """panel in stretches of `length` rows, whatever its series: _chunk, and _own, which is false for copies.
+
+    The rows, about `rows`, are put in order by series and date and numbered
+    throughout; every `length` of them are a stretch, and a partition.  Each
+    stretch also gets copies of the `before` rows that precede it (at most
+    `length`), so that windows of before + 1 rows within a stretch and a series
+    are whole.  The ordered rows are written once to the shared folder: their
+    numbers must not change between the count of the partitions and their use.
+    The driver gets one number for each partition.
+    """
+    spark, path = panel.sparkSession, scratch(panel.sparkSession, "stretches")
+    ordered = panel.repartitionByRange(-(-rows // length), *keys, order).sortWithinPartitions(*keys, order)
+    ordered.withColumn("_at", F.monotonically_increasing_id()).write.parquet(path)  # partition << 33, plus the place in it
+    ordered = spark.read.schema(ordered.schema.add("_at", "long")).parquet(path)
+    part, place = F.shiftright("_at", 33).cast("int"), F.col("_at").bitwiseAND((1 << 33) - 1)
+    sizes = {r["part"]: r["count"] for r in ordered.groupBy(part.alias("part")).count().collect()}
+    starts = [0, *accumulate(sizes.get(k, 0) for k in range(max(sizes, default=0)))]
+    last = (sum(sizes.values()) - 1) // length
+    at = F.element_at(F.lit(starts), part + 1) + place
+    own = F.floor(F.col("_at") / length).cast("int")
+    both = (F.col("_at") % length >= length - before) & (own < last)
+    out = ordered.withColumn("_at", at).withColumn("_chunk", F.explode(F.when(both, F.array(own, own + 1)).otherwise(F.array(own))))
+    return out.withColumn("_own", F.col("_chunk") == own).drop("_at").repartitionById(last + 1, "_chunk")
+
+
+def rolling_means(panel: DataFrame, value: str, windows: dict[str, int] | None = None, keys: tuple[str, ...] = SERIES, freq: str | None = None, method: str | None = None, stretch: int = _STRETCH) -> DataFrame:
     """panel with {value}_{name} for each window.
 
     (keys, date) must be unique.  Short windows are sliding frames, longer ones
     sums over blocks (`method`: "sliding" or "blocks" for all).  History, future or
-    both may be there: it is one expression.
+    both may be there: it is one expression.  Series are counted first: if one has
+    more than `stretch` rows, all are worked on in stretches of that many rows (or
+    eight times the longest window, if that is more), so that no task holds more,
+    however long a series is.
     """
     if windows is None:
         windows = DAILY if (freq or frequency(panel)) == "daily" else MONTHLY
@@ -67,10 +101,19 @@ def rolling_means(panel: DataFrame, value: str, windows: dict[str, int] | None =
     how = {name: method or ("sliding" if n <= _SLIDING else "blocks") for name, n in windows.items()}
     if set(how.values()) - {"sliding", "blocks"}:
         raise ValueError("method must be 'sliding' or 'blocks'")
+    columns, before = panel.columns, max(windows.values(), default=1) - 1
+    length = max(stretch, 8 * before)
+    # Of many short series a task may hold several: they are spread by their keys.
+    longest, rows = panel.groupBy(*keys).count().agg(F.max("count"), F.sum("count")).collect()[0]
+    cut = (longest or 0) > length
+    if cut:
+        panel = stretches(panel, rows, length, before, keys)
+        keys = ("_chunk", *keys)
     out = panel.withColumns({f"{value}_{name}": trailing_mean(v, n, keys) for name, n in windows.items() if how[name] == "sliding"})
     long = {f"{value}_{name}": n for name, n in windows.items() if how[name] == "blocks"}
     out = block_means(out, v, long, keys) if long else out
-    return out.select(*panel.columns, *(f"{value}_{name}" for name in windows))
+    out = out.where("_own") if cut else out
+    return out.select(*columns, *(f"{value}_{name}" for name in windows))
 
 
 def with_periods(panel: DataFrame, periods: tuple[tuple[int, int], ...] = PERIODS) -> DataFrame:

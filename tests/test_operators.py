@@ -297,6 +297,34 @@ def test_block_sums_do_not_cancel(spark, n, length):
         rolling.rolling_means(df, "q", {"w": n}, ("BASIN_ID",), method="prefix")
 
 
+@pytest.mark.parametrize("method", ["sliding", "blocks"])
+def test_stretches_give_the_same_means(spark, method):
+    """Series of 1 to 700 rows in stretches of 88 or more, with null keys, dates and values, and at two widths."""
+    rng = random.Random(6)
+    rows = [(b, k % 2, None if k == 5 else D(1900, 1, 1) + dt.timedelta(days=2 * k), None if rng.random() < 0.01 else rng.uniform(0, 9)) for b, n in ((1, 700), (2, 1), (3, 176), (None, 300), (4, 12), (5, 88)) for k in range(n)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "BASIN_ID long, flag int, date date, q double").repartition(5)
+    result = lambda **how: sorted((tuple(str(round(x, 9) if isinstance(x, float) else x) for x in r) for r in rolling.rolling_means(df, "q", {"a": 12, "b": 3}, ("BASIN_ID",), method=method, **how).collect()))
+    want = result()
+    assert len(want) == len(rows) and want == result(stretch=88) == result(stretch=131)
+    # A stretch has its own rows and those just before it.
+    cut = rolling.stretches(df, len(rows), 88, 11, ("BASIN_ID",)).withColumn("p", F.spark_partition_id())
+    sizes = cut.groupBy("p").agg(F.sum(F.col("_own").cast("int")).alias("own"), F.count("*").alias("all"), F.countDistinct("_chunk").alias("chunks")).collect()
+    assert sum(r["own"] for r in sizes) == len(rows) and all(r["own"] <= 88 and r["all"] <= 99 and r["chunks"] == 1 for r in sizes)
+    assert rolling.rolling_means(df.limit(0), "q", {"a": 12}, ("BASIN_ID",), method=method).count() == 0
+
+
+def test_one_long_series_is_many_tasks(spark):
+    n = 700_000
+    df = spark.range(n).select(F.lit(1).alias("BASIN_ID"), F.col("id").alias("date"), (F.col("id") % 1000).cast("double").alias("q"))
+    out = rolling.rolling_means(df, "q", {"w": 3, "b": 400}, ("BASIN_ID",)).withColumn("p", F.spark_partition_id()).cache()
+    sizes = [r["count"] for r in out.groupBy("p").count().collect()]
+    assert sum(sizes) == n and max(sizes) <= 300_000
+    assert out.where("q_w IS NULL").count() == 2 and out.where("q_b IS NULL").count() == 399
+    assert out.where("date >= 2 AND date % 1000 >= 2 AND q_w <> q - 1").count() == 0
+    out.unpersist()
+
+
 def test_halo_gives_the_same_future_from_few_rows(spark):
     rng = random.Random(8)
     past = [(b, "h", c, "historical", d, d.year, d.month, rng.uniform(0, 9)) for b in (1, 2, 3) for c in "xy" for d in months(1990, 330) if b < 3 or d.year > 2014]  # to mid-2017
